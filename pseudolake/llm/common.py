@@ -105,3 +105,75 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def bits_to_long(a: np.ndarray) -> np.ndarray:
     """n x 64 booleans, lowest bit first, as signed 64-bit integers."""
     return np.packbits(a, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def char_ngrams(words: list[bytes], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams (n of 3 or more) of words with a space at either edge, and the word of each, ascending.
+
+    Every word has a trigram; shorter words have no longer n-gram.
+    """
+    s = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace").lower()
+    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    space, m = a == 32, len(a) - n + 1
+    if m <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h, inside = np.zeros(m, np.uint64), np.ones(m, bool)
+    for k in range(n):
+        h = (h ^ a[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        if 0 < k < n - 1:
+            inside &= ~space[k : k + m]
+    return (h[inside] >> np.uint64(64 - bits)).astype(np.int64), np.cumsum(space[:m])[inside] - 1
+
+
+def adam_step(p: dict, g: dict, state: dict, rate: float) -> None:
+    state["t"] = t = state.get("t", 0) + 1
+    for k, grad in g.items():
+        m, v = state.setdefault(k, [np.zeros_like(grad), np.zeros_like(grad)])
+        m += 0.1 * (grad - m)
+        v += 0.01 * (grad * grad - v)
+        p[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a small logistic regression (the last one is the bias), by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + (l2 * len(x) + 1e-6) * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (y - p) - l2 * len(x) * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def char_prefixes(words: list[bytes], lengths: range, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed beginnings of words (of each length; a shorter word ends in its edge and counts once), and the word of each."""
+    s = (b" ".join(words) + b" ").decode("utf-8", "replace").lower()
+    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass") + b" \0\0\0" * lengths.stop, np.uint32).astype(np.uint64)
+    ends = np.flatnonzero(a == 32)[: len(words)]
+    at = np.r_[0, ends[:-1] + 1]
+    h, live, found = np.full(len(words), 77, np.uint64), np.arange(len(words)), []
+    for k in range(lengths.stop):
+        c = a[at[live] + k]
+        h[live] = (h[live] ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h[live] ^= h[live] >> np.uint64(31)
+        over = c == 32
+        out = live if k + 1 in lengths else live[over]
+        found.append((h[out] >> np.uint64(64 - bits), out))
+        live = live[~over]
+    return np.concatenate([b for b, _ in found]).astype(np.int64), np.concatenate([w for _, w in found])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, label, and the other columns of `docs`) of a bounded sample of the documents that may be learned from.
+
+    At most most[k] ids of label k, the first by a hash of the id; ids with two different labels are left out.
+    The sample's ids are broadcast: sum(most) rows at most.
+    """
+    own = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id")
+    one = own.agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
+    sides = [one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
+    return docs.join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")

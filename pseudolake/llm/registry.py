@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ann, decontaminate, packing, simhash
+from . import ann, decontaminate, language, packing, pii, simhash, toxicity
 
-MODULES = (decontaminate, simhash, packing, ann)
+MODULES = (decontaminate, toxicity, pii, language, simhash, packing, ann)
 
 
 def queries() -> dict:
