@@ -4,7 +4,7 @@ Texts are lower-cased words in overlapping windows of WINDOW words, STRIDE apart
 word's input is a word vector (of the VOCAB most frequent training words; others share one), the mean of the
 vectors of its hashed character n-grams and beginnings, and their largest and mean log-odds. Two gated
 recurrent units read a window forwards and backwards, attention pools their states, one unit scores the pool.
-A text's score is a logistic function of its highest window and its number of windows.
+A text's score is a logistic function of its highest window, so that a long text can't hide a window.
 
 What is learned comes from a bounded sample of labelled texts (SAMPLE_TOXIC and SAMPLE_CLEAN at most). Its
 log-odds are counted by folds, and a text is judged by the other folds' counts while the network learns. The
@@ -275,7 +275,7 @@ def _raw_scores(rows: DataFrame, net: Net, keep: str, fold: int = -1) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Net, np.ndarray] | None:
-    """The network and the weights of the text score (highest window, log of their number, bias)."""
+    """The network and the weights of the text score (highest window, bias)."""
     rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", 4, 2, (SAMPLE_CLEAN, SAMPLE_TOXIC))
     rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")))
     counts = gram_counts(rows)
@@ -288,12 +288,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Net, np.ndarray] | None:
     net = Net(odds, {w: k for k, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCAB])})
     net.fit(windows)
     parts = [_raw_scores(rows.where(F.col("fold") == f), net, "label", f).where("n > 0").toPandas() for f in range(FOLDS)]
-    high, n, y = (np.concatenate([p[c] for p in parts]) for c in ("high", "n", "label"))
-    return net, logistic(np.column_stack([high, np.log(n)]), y)
+    high, y = (np.concatenate([p[c] for p in parts]) for c in ("high", "label"))
+    return net, logistic(high[:, None], y)
 
 
 def _probability(w: np.ndarray) -> Column:
-    z = F.col("high") * float(w[0]) + F.log(F.greatest("n", F.lit(1))) * float(w[1]) + float(w[2])
+    z = F.col("high") * float(w[0]) + float(w[1])
     return F.when(F.col("n") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0)
 
 
