@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ann, decontaminate, html, language, packing, pii, quality, simhash, toxicity
+from . import ann, decontaminate, html, language, packing, pii, quality, simhash, substring, toxicity
 
-MODULES = (decontaminate, toxicity, pii, quality, language, simhash, packing, html, ann)
+MODULES = (decontaminate, toxicity, pii, quality, language, substring, simhash, packing, html, ann)
 
 
 def queries() -> dict:
