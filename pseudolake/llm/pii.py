@@ -8,7 +8,7 @@ the entity in SUPPORT documents at least is generalised from GENERALISE on and r
 where it stands near the entity. Spans of both kinds are added after the base spans, which stay.
 
 Counts cover all documents. A first pass keeps the contexts of entities; the words of all documents are
-counted through a filter of fixed size over hashes of the candidate terms, and an exact join follows.
+counted through a filter of bounded size over hashes of the candidate terms, and an exact join follows.
 
 A null text counts as empty and has no spans; documents of N include it. Repeated rows (same id and text)
 count as documents of their own and get the same spans. Other columns are not read.
@@ -34,8 +34,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 REACH, CONTEXT_CHARS = 8, 200
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
-#: Slots of the filter over hashes of candidate terms, one byte each.
-SLOTS = 1 << 16
+#: Slots (bytes) of the filter over hashes of candidate terms: SPARSE for each term, but no more than MAX_SLOTS.
+SPARSE, MAX_SLOTS = 64, 1 << 21
 #: Copies of a join key's rows that share a hot entity's occurrences.
 SALT = 16
 
@@ -137,21 +137,25 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     free = near.where(~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
     near = cut(free.select("key", "row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
 
-    n = scanned.count()
+    n = F.lit(float(max(scanned.count(), 1)))
     together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    together = cut(together)
     of_entity = hot.select("row", F.explode("contexts.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
-    wanted = bytearray(SLOTS)
-    for r in together.select(slot(F.col("term")).alias("s")).distinct().collect():  # SLOTS rows at most
+    # A term in m_t documents near any entity is in n_t >= m_t documents, so that this bound loses no term.
+    around = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
+    together = together.join(of_entity, "entity").join(around, "term")
+    together = cut(together.where(F.col("m_t") <= F.col("n_te") * F.pow(n / F.col("n_e"), 1 - GENERALISE) * 1.000001))
+
+    slots = min(MAX_SLOTS, SPARSE << together.select("term").distinct().count().bit_length())
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
+    wanted = bytearray(slots)
+    for r in together.select(slot(F.col("term")).alias("s")).distinct().collect():  # `slots` rows at most
         wanted[r.s] = 1
     words = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}]+"), F.lower)
     maybe = F.filter(words, lambda w: F.substring(F.lit(wanted), slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
     counted = docs.select(F.explode(F.array_distinct(maybe)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
-    scored = together.join(counted, "term").join(of_entity, "entity").withColumn("ic", F.log(F.lit(float(max(n, 1))) / F.col("n_e")))
-    share = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.col("ic")
+    scored = together.join(counted, "term").withColumn("ic", F.log(n / F.col("n_e")))
+    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.col("ic")
     told = scored.where(F.col("ic") > 0).withColumn("share", share).where(F.col("share") >= GENERALISE)
     told = told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
