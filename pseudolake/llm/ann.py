@@ -74,7 +74,7 @@ def nearest(cid: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray,
             n = min(k, len(at))
             floor = np.partition(e - w, len(at) - n)[len(at) - n]
             at = at[e + w >= floor]
-            score = (x64[at] * q[i].astype(np.float64)).sum(1)
+            score = np.cumsum(x64[at] * q[i].astype(np.float64), axis=1)[:, -1]  # in the order of components, whatever the row
             best = np.lexsort((cid[at], -score))[:k]
             out.append((np.full(len(best), qid[i]), cid[at[best]], score[best]))
     return out
