@@ -91,8 +91,8 @@ def window_starts(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else range(0)
 
 
-def sample_windows(rows: DataFrame, odds: list[np.ndarray]) -> list[tuple[list[bytes], int, int]]:
-    """(words, label, fold) of the windows to learn from, chosen where the texts are."""
+def sample_windows(rows: DataFrame, odds: list[np.ndarray]) -> list[tuple[bytes, int, int]]:
+    """(words with spaces between, label, fold) of the windows to learn from, chosen where the texts are."""
     shared = rows.sparkSession.sparkContext.broadcast(odds)
 
     def make():
@@ -107,15 +107,15 @@ def sample_windows(rows: DataFrame, odds: list[np.ndarray]) -> list[tuple[list[b
                 order = sorted(starts, key=lambda a: -s[a : a + WINDOW].max())
                 rest = order[2 if label else 1 :]
                 chosen = order[: 2 if label else 1] + ([] if label else random.Random(doc_id).sample(rest, min(2, len(rest))))
-                out["words"] += [words[a : a + WINDOW] for a in chosen]
+                out["words"] += [b" ".join(words[a : a + WINDOW]) for a in chosen]
                 out["label"] += [label] * len(chosen)
                 out["fold"] += [fold] * len(chosen)
             return out
 
         return step
 
-    got = map_batches(rows.select("doc_id", "text", "label", "fold"), "words array<binary>, label int, fold int", make).collect()
-    return sorted(([bytes(w) for w in r.words], r.label, r.fold) for r in got)
+    got = map_batches(rows.select("doc_id", "text", "label", "fold"), "words binary, label int, fold int", make).toPandas()
+    return sorted(zip(got["words"], got["label"].tolist(), got["fold"].tolist()))
 
 
 def sig(x: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ class Net:
         np.add.at(g["char"], bucket, (d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / n[:, None])[word])
         return g
 
-    def fit(self, windows: list[tuple[list[bytes], int, int]], seed: int = 5) -> None:
+    def fit(self, windows: list[tuple[bytes, int, int]], seed: int = 5) -> None:
         """STEPS batches, each of one fold and half of each label where there are both."""
         rng, state = np.random.default_rng(seed), {}
         by: dict[int, dict[int, list]] = {}
@@ -214,7 +214,7 @@ class Net:
         for step in range(STEPS if folds else 0):
             fold = folds[step % len(folds)]
             batch = [(side[i], k) for k, side in by[fold].items() for i in rng.integers(0, len(side), BATCH // 2)]
-            words, ids, mask = arrange([w for w, _ in batch])
+            words, ids, mask = arrange([w.split(b" ") for w, _ in batch])
             g = self.gradients(words, ids, mask, np.array([y for _, y in batch], np.float32), fold)
             for k in g:
                 g[k] += DECAY * self.p[k]
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Net, np.ndarray] | None:
     # a text is never judged by counts of its own fold while the network learns; the last odds are from all
     odds = [log_odds(counts.sum(0) - counts[f]) for f in range(FOLDS)] + [log_odds(counts.sum(0))]
     windows = sample_windows(rows, odds)
-    seen = Counter(w for words, _, _ in windows for w in set(words))
+    seen = Counter(w for words, _, _ in windows for w in set(words.split(b" ")))
     net = Net(odds, {w: k for k, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCAB])})
     net.fit(windows)
     parts = [_raw_scores(rows.where(F.col("fold") == f), net, "label", f).where("n > 0").toPandas() for f in range(FOLDS)]
