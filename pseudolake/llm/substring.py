@@ -9,9 +9,15 @@ collide are joined and verified by the exact Jaccard similarity of their sets (0
 more than MAX_BUCKET sets is compared with its smallest set and its smallest by another hash instead of pairwise:
 each set meets such references in every band. Linked sets form classes (connected components).
 
-A paragraph repeats if its class is in two documents or more. Neighbouring repeating paragraphs of a document
-form a passage; one of RUN_WORDS words or more is reported, and every paragraph of it
-but the first occurrence of its class (smallest document, then place) is to be removed.
+A paragraph repeats if its class is in two documents or more. A window of RUN_WORDS words repeats if two documents
+or more have it word by word, wherever paragraphs end (64-bit hashes). Windows are found by winnowing: of any
+RUN_WORDS words the smallest hash of GRAM of them is a fingerprint, so that a repeating window has one that repeats.
+Where all places of such a fingerprint have the same words around it, every window with it repeats; around the
+others the windows are hashed and counted.
+
+Neighbouring repeating paragraphs and windows of a document form a passage; one of RUN_WORDS words or more is
+reported. Every paragraph of it but the first occurrence of its class (smallest document, then place), and
+every window that a smaller document has or that comes again in the smallest one, is to be removed.
 
 Null and empty texts have no paragraphs. Rows that repeat a doc_id count as one document; rows with a null
 doc_id take no part. Other columns are not read.
@@ -29,7 +35,8 @@ from .common import WORD_TABLE, components, cut, map_batches, stored, table
 
 SHINGLE, SIMILAR, MOST = 5, 0.8, 64
 LONG, BANDS, BAND_ROWS, MAX_BUCKET = 20, 10, 2, 32
-RUN_WORDS = 30
+RUN_WORDS, GRAM = 30, 16
+NO_DOC = -(1 << 63)
 TOKENS_HELD, CHUNK_CHARS = 500_000, 1_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +80,8 @@ def _tokens(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def paragraphs(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]:
     """The paragraphs of five words or more of some texts, in order; places in code points.
 
-    text: which text; place: counts in the text; start, end, words; set_id; and for the long ones `long` (which),
+    text: which text; place: counts in the text; start, end, words; at: words of the text before it; reach: words before
+    the next of them (before its own end if it is the last); set_id; and for the long ones `long` (which),
     `shingles` (their distinct hashes, one after the other) and `sizes`.
     """
     parts = [_tokens(t or "", known) for t in texts]
@@ -81,7 +89,7 @@ def paragraphs(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]
     v, end, begin, after = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(4))
     if not len(v):
         none = np.empty(0, np.int64)
-        return dict.fromkeys(("text", "place", "start", "end", "words", "set_id", "long", "sizes"), none) | {"shingles": none.view(np.uint64)}
+        return dict.fromkeys(("text", "place", "start", "end", "words", "at", "reach", "set_id", "long", "sizes"), none) | {"shingles": none.view(np.uint64)}
     text = np.repeat(np.arange(len(parts)), n)
     word = (v >> 1).astype(np.uint64)
     end = end.astype(bool) | (v & 1).astype(bool)
@@ -111,10 +119,54 @@ def paragraphs(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]
     ids = np.add.reduceat(_mixed(s), at).view(np.int64) if len(at) else np.empty(0, np.int64)
     of_text = text[first][good]
     start_of = np.searchsorted(of_text, np.arange(len(parts)))
+    at_word = np.cumsum(words) - words
+    at_word = (at_word - at_word[np.flatnonzero(np.r_[True, text[first][1:] != text[first][:-1]])][np.searchsorted(np.unique(text), text[first])])[good]
+    reach = at_word + words[good]
+    same = of_text[1:] == of_text[:-1]
+    reach[:-1][same] = at_word[1:][same]
     long = sizes >= LONG
     return {
         "text": of_text, "place": np.arange(len(of_text)) - start_of[of_text], "start": begin[first][good], "end": after[last][good], "words": words[good],
-        "set_id": ids, "long": np.flatnonzero(long), "shingles": s[np.repeat(long, sizes)], "sizes": sizes[long],
+        "at": at_word, "reach": reach, "set_id": ids, "long": np.flatnonzero(long), "shingles": s[np.repeat(long, sizes)], "sizes": sizes[long],
+    }
+
+
+def windows(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]:
+    """The windows of RUN_WORDS words of some texts, in order: text, at (word of the text), start, end, hash; and of the fingerprints: print_text, print_at, print,
+    around (hash of the words of all windows with it, 0 at the ends of a text)."""
+    parts = [_tokens(t or "", known) for t in texts]
+    v, _, begin, after = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(4))
+    text = np.repeat(np.arange(len(parts)), np.array([len(p[0]) for p in parts], np.int64))
+    full = v > 1
+    word, text, begin, after = (v[full] >> 1).astype(np.uint64), text[full], begin[full], after[full]
+    if len(word) < RUN_WORDS:
+        none = np.empty(0, np.int64)
+        return dict.fromkeys(("text", "at", "start", "end", "hash", "print_text", "print_at", "print", "around", "begins", "ends"), none)
+    at = np.arange(len(word)) - np.searchsorted(text, text)
+    g, size = word, 1
+    while size < GRAM:
+        step = min(size, GRAM - size)
+        g = _mixed(_mixed(g[: len(g) - step]) * _PRIME + g[step:])
+        size += step
+    more = RUN_WORDS - GRAM
+    h = _mixed(g[: len(g) - more] * _PRIME + g[more:])
+    inside = text[: len(h)] == text[RUN_WORDS - 1 :]
+    low = g[: len(h)].copy()
+    for k in range(1, more + 1):
+        np.minimum(low, g[k : k + len(h)], out=low)
+    low[~inside] = 0
+    top = np.zeros(len(g), np.uint64)
+    for k in range(more + 1):
+        np.maximum(top[k : k + len(h)], low, out=top[k : k + len(h)])
+    chosen = np.flatnonzero((top == g) & (top > 0))
+    w = np.flatnonzero(inside)
+    left, right = np.maximum(chosen - more, 0), np.minimum(chosen, len(h) - 1)
+    whole = (left == chosen - more) & (right == chosen) & inside[left] & inside[right]
+    around = np.where(whole, _mixed(h[left] * _PRIME + h[right]), np.uint64(0))
+    return {
+        "text": text[w], "at": at[w], "start": begin[w], "end": after[w + RUN_WORDS - 1], "hash": h[w].view(np.int64),
+        "print_text": text[chosen], "print_at": at[chosen], "print": g[chosen].view(np.int64),
+        "around": around.view(np.int64), "begins": begin, "ends": after,
     }
 
 
@@ -142,19 +194,19 @@ def _chunks(texts: list[str | None]):
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, start, end, words, set_id, shingles, bands); shingles and bands are null below LONG; place counts these rows."""
+    """(doc_id, place, start, end, words, at, reach, set_id, shingles, bands); shingles and bands are null below LONG; place counts these rows."""
 
     def make():
         known = _Tokens()
 
         def step(batch):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "place", "start", "end", "words", "set_id", "shingles", "bands")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "place", "start", "end", "words", "at", "reach", "set_id", "shingles", "bands")}
             for a, b in _chunks(batch["text"]):
                 if len(known) > TOKENS_HELD:
                     known.clear()
                 p = paragraphs(batch["text"][a:b], known)
                 ids = np.array(batch["doc_id"][a:b], np.int64)
-                for c, x in (("doc_id", ids[p["text"]]), *((c, p[c]) for c in ("place", "start", "end", "words", "set_id"))):
+                for c, x in (("doc_id", ids[p["text"]]), *((c, p[c]) for c in ("place", "start", "end", "words", "at", "reach", "set_id"))):
                     out[c].append(x)
                 shingles, bands = [None] * len(p["text"]), [None] * len(p["text"])
                 for k, one, band in zip(p["long"].tolist(), np.split((p["shingles"] >> np.uint64(33)).astype(np.int32), np.cumsum(p["sizes"])[:-1]), _bands(p["shingles"], p["sizes"])):
@@ -166,7 +218,95 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
         return step
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, "doc_id long, place int, start int, end int, words int, set_id long, shingles array<int>, bands array<long>", make)
+    return map_batches(rows, "doc_id long, place int, start int, end int, words int, at int, reach int, set_id long, shingles array<int>, bands array<long>", make)
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, until, start, end, class_id, first_doc, gone): runs of windows of RUN_WORDS words that two documents or more have.
+
+    gone: whether the words stand in a smaller document, or before in this one. class_id is the smallest hash.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+
+    def make_prints():
+        known = _Tokens()
+
+        def step(batch):
+            out: dict[str, list] = {c: [] for c in ("doc_id", "place", "print", "around")}
+            for a, b in _chunks(batch["text"]):
+                if len(known) > TOKENS_HELD:
+                    known.clear()
+                w = windows(batch["text"][a:b], known)
+                for c, x in (("doc_id", np.array(batch["doc_id"][a:b], np.int64)[w["print_text"]]), ("place", w["print_at"]), ("print", w["print"]), ("around", w["around"])):
+                    out[c].append(x)
+            return {c: np.concatenate(x) if x else [] for c, x in out.items()}
+
+        return step
+
+    prints = stored(map_batches(rows, "doc_id long, place int, print long, around long", make_prints))
+    shared = prints.groupBy("print").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "around") for n, f in (("low", F.min), ("high", F.max))]).where("low_doc_id < high_doc_id")
+    shared = shared.select("print", F.when(F.expr("low_around = high_around and low_around <> 0"), F.col("low_doc_id")).alias("first_doc"))
+    seeds = prints.drop("around").join(shared, "print").groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("first_doc").isNull(), F.col("place"))).alias("seeds"), F.array_sort(F.collect_set(F.when(F.col("first_doc").isNotNull(), F.struct("place", "print", "first_doc")))).alias("sure"),
+    )
+    more = RUN_WORDS - GRAM
+
+    def sure_runs(doc: int, sure: list[dict], w: dict[str, np.ndarray]):
+        """Rows of the words around fingerprints whose windows all repeat."""
+        for again in (False, True):
+            place, word, first_doc = (np.array([x[c] for x in sure], np.int64) for c in ("place", "print", "first_doc"))
+            at = np.searchsorted(w["print_at"], place)
+            own = at < len(w["print_at"])  # places may be of another row of the same doc_id
+            own[own] = (w["print_at"][at[own]] == place[own]) & (w["print"][at[own]] == word[own])
+            place, word, first_doc = place[own], word[own], first_doc[own]
+            _, first, which = np.unique(word, return_index=True, return_inverse=True)
+            gone = (first_doc < doc) | (place >= place[first][which] + RUN_WORDS + more) if len(place) else np.empty(0, bool)
+            place, word, first_doc = (x[gone == again] for x in (place, word, first_doc))
+            if len(place):
+                head = np.flatnonzero(np.r_[True, place[1:] > place[:-1] + RUN_WORDS + more])
+                begin, until = place[head] - more, place[np.r_[head[1:], len(place)] - 1] + RUN_WORDS
+                yield begin, until, w["begins"][begin], w["ends"][until - 1], np.minimum.reduceat(word, head), np.full(len(head), again), np.minimum.reduceat(first_doc, head)
+
+    def make_windows():
+        known = _Tokens()
+
+        def step(batch):
+            names = ("doc_id", "at", "until", "start", "end", "hash", "again", "first_doc")
+            out: dict[str, list] = {c: [] for c in names}
+            for doc, text, seeds, sure in zip(*(batch[c] for c in ("doc_id", "text", "seeds", "sure"))):
+                if len(known) > TOKENS_HELD:
+                    known.clear()
+                w = windows([text], known)
+                if not len(w["at"]):
+                    continue
+                for row in sure_runs(doc, sure, w):
+                    for c, x in zip(names, (np.full(len(row[0]), doc), *row)):
+                        out[c].append(x)
+                n = len(w["at"])
+                mark = np.zeros(n + RUN_WORDS + 1, np.int64)
+                seed = np.array(seeds, np.int64)
+                seed = seed[seed < n + more]
+                np.add.at(mark, np.maximum(seed - more, 0), 1)
+                np.add.at(mark, seed + 1, -1)
+                k = np.flatnonzero(np.cumsum(mark)[:n] > 0)
+                _, first, which = np.unique(w["hash"][k], return_index=True, return_inverse=True)
+                for c, x in (("doc_id", np.full(len(k), doc)), *((c, w[c][k]) for c in ("at", "start", "end", "hash")), ("again", k >= k[first][which] + RUN_WORDS), ("until", k + RUN_WORDS), ("first_doc", np.full(len(k), NO_DOC))):
+                    out[c].append(x)
+            return {c: np.concatenate(x) if x else [] for c, x in out.items()}
+
+        return step
+
+    every = stored(map_batches(rows.join(seeds, "doc_id"), "doc_id long, at int, until int, start int, end int, hash long, again boolean, first_doc long", make_windows))
+    sure = every.where(F.col("first_doc") != NO_DOC).select("doc_id", "at", "until", "start", "end", F.col("hash").alias("class_id"), "first_doc", F.col("again").alias("gone"))
+    every = every.where(F.col("first_doc") == NO_DOC).drop("first_doc", "until")
+    common = every.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").drop("last")
+    found = every.join(common, "hash").withColumn("gone", (F.col("first_doc") < F.col("doc_id")) | F.col("again"))
+    run = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "gone").orderBy("at"))
+    counted = found.withColumn("run", run).groupBy("doc_id", "gone", "run").agg(
+        F.min("at").alias("at"), (F.max("at") + RUN_WORDS).alias("until"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min("hash").alias("class_id"), F.min("first_doc").alias("first_doc"),
+    )
+    return sure.unionByName(counted.drop("run"))
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -207,14 +347,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = sets.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.max("last").alias("high")).where("high > low")
     member = sets.where("root is not null").select("set_id", "root").join(classes, "root").select("set_id", F.col("root").alias("class_id"), F.col("low").alias("first_doc"))
     alone = sets.where("root is null").select("set_id", F.col("set_id").alias("class_id"), F.col("first").alias("first_doc"))
-    narrow = rows.select("doc_id", "place", "start", "end", "words", "set_id")
+    narrow = rows.select("doc_id", "place", "start", "end", "words", "at", "reach", "set_id")
     hits = narrow.join(alone.unionByName(member), "set_id").drop("set_id").distinct().repartition("doc_id")
-    in_doc = Window.partitionBy("doc_id").orderBy("place")
     in_class = Window.partitionBy("doc_id", "class_id").orderBy("place")
-    hits = hits.withColumn("is_first", (F.col("doc_id") == F.col("first_doc")) & (F.row_number().over(in_class) == 1))
-    runs = hits.withColumn("run", F.col("place") - F.row_number().over(in_doc)).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("class_id").alias("class_id"),
-        F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_list(F.when(~F.col("is_first"), F.struct("start", "end")))).alias("removed"),
+    gone = ~((F.col("doc_id") == F.col("first_doc")) & (F.row_number().over(in_class) == 1))
+    hits = hits.withColumn("gone", gone).withColumn("until", F.col("at") + F.col("words")).drop("place", "words")
+    hits = hits.unionByName(repeated_windows(docs).withColumn("reach", F.col("until")))
+
+    # passages are islands of touching or overlapping pieces; what is to be removed is made disjoint
+    in_doc = Window.partitionBy("doc_id").orderBy("at", "until", "start", "end", "gone", "class_id")
+    before = in_doc.rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.select(
+        "*", F.max("reach").over(before).alias("reached"), F.max("until").over(before).alias("counted"),
+        F.max(F.when(F.col("gone"), F.col("end"))).over(before).alias("cut_to"),
+    )
+    hits = hits.withColumn("run", F.sum(F.when(F.col("at") <= F.col("reached"), 0).otherwise(1)).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    fresh = F.greatest(F.lit(0), F.col("until") - F.greatest("at", F.coalesce("counted", F.lit(0))))
+    new_cut = F.when(F.col("gone") & (F.col("end") > F.coalesce("cut_to", F.lit(-1))), F.struct(F.greatest("start", F.coalesce("cut_to", F.lit(0))).alias("start"), "end"))
+    runs = hits.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(fresh).alias("n_words"), F.min("class_id").alias("class_id"),
+        F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_list(new_cut)).alias("removed"),
     )
     found = runs.where(F.col("n_words") >= RUN_WORDS)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))

@@ -57,3 +57,43 @@ def test_places_are_code_points():
     assert [t[a:b] for a, b in zip(got["start"][own], got["end"][own])] == ["Éa bb cc dd ee.", "ff gg\u00a0hh ii jj kk?", "ll 😀 mm nn oo pp qq."]
     assert got["place"][own].tolist() == [0, 1, 2] and (got["text"] == 3).any() and not (got["text"] == 0).any()
     assert len(substring.paragraphs([None], substring._Tokens())["text"]) == 0
+
+
+def test_verbatim_runs_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [[word() for _ in range(n)] for n in (29, 30, 31, 45, 58)]
+    shared[4][20] += "."  # no whole sentence of 30 words
+    rows = []
+    for i in range(15):
+        own = [word() for _ in range(rng.randint(5, 90))]
+        at = rng.randrange(len(own))
+        rows.append((i, " ".join(own[:at] + shared[i % 5] + own[at:]) + "\n" + " - ".join(word() for _ in range(3))))
+    rows += [(20, "w " * 100), (21, "w " * 40)]
+    copy = " ".join(word() for _ in range(400))
+    rows += [(k, copy) for k in (25, 26)] + [(27, copy.replace(copy.split()[200], "edited"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {}
+    words = {i: [w.strip(".") for w in t.split() if w != "-"] for i, t in rows}
+    for i, w in words.items():
+        for k in range(len(w) - 29):
+            grams.setdefault(tuple(w[k : k + 30]), set()).add(i)
+    want = {i: sorted({j for k in range(len(w) - 29) if len(grams[tuple(w[k : k + 30])]) > 1 for j in range(k, k + 30)}) for i, w in words.items()}
+    got = {r.doc_id: r for r in substring.repeated_passages(df).collect()}
+    text = dict(rows)
+    assert set(got) == {i for i in want if want[i]} == {i for i in range(15) if i % 5} | {20, 21, 25, 26, 27}
+    assert {i: got[i].n_words for i in (25, 26)} == {25: 400, 26: 400}
+    for i, r in got.items():
+        if i == 27:  # an edit between two passages
+            continue
+        assert r.n_words == len(want[i]) and text[i][r.start : r.end].replace(".", "").split() == [words[i][j] for j in want[i]]
+        assert r.first_doc == (25 if i > 24 else 20 if i > 19 else i % 5) and bool(r.removed) == (i not in (*range(5), 25))
+    passages = [r.n_words for r in sorted(substring.repeated_passages(df).where("doc_id = 27").collect(), key=lambda r: r.start)]
+    assert passages == [200, 199]
+    clean = {r.doc_id: r.text for r in substring.cleaned(df, substring.repeated_passages(df)).collect()}
+    assert len(clean[20].split()) == 30 and clean[21].split() == [] and len(clean[9].split()) == len(text[9].split()) - 58
+
+
+def test_places_in_words():
+    got = substring.paragraphs(["a b.\nc d e f g. x y. h i j k l m.", None, "", "-", "n o p q r.", "s t."], substring._Tokens())
+    assert got["at"].tolist() == [2, 9, 0] and got["reach"].tolist() == [9, 15, 5]
