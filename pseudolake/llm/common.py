@@ -145,14 +145,16 @@ def adam_step(p: dict, g: dict, state: dict, rate: float) -> None:
         p[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a small logistic regression (the last one is the bias), by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50, share: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a small logistic regression (the last one is the bias), by Newton's method. A row counts share times (once without)."""
+    share = np.ones(len(x)) if share is None else share
+    n = share.sum()
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + (l2 * len(x) + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - l2 * len(x) * w)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + (l2 * n + 1e-6) * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (share * (y - p)) - l2 * n * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -177,13 +179,24 @@ def char_prefixes(words: list[bytes], lengths: range, bits: int) -> tuple[np.nda
     return np.concatenate([b for b, _ in found]).astype(np.int64), np.concatenate([w for _, w in found])
 
 
+def _learnable(labels: DataFrame, label: str, parts: int, part: int) -> DataFrame:
+    """(doc_id, label) of the ids outside the held-out part with one label."""
+    own = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id")
+    return own.agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
+
+
+def sample_shares(labels: DataFrame, label: str, parts: int, part: int, most: tuple[int, int]) -> np.ndarray:
+    """For each label, how many ids that may be learned from an id of labelled_sample() stands for: 1 where its bound doesn't bind."""
+    n = {r["label"]: r["n"] for r in _learnable(labels, label, parts, part).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return np.array([max(1.0, n.get(k, 0) / most[k]) for k in (0, 1)])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: tuple[int, int]) -> DataFrame:
     """(doc_id, label, and the other columns of `docs`) of a bounded sample of the documents that may be learned from.
 
     At most most[k] ids of label k, the first by a hash of the id; ids with two different labels are left out.
     The sample's ids are broadcast: sum(most) rows at most.
     """
-    own = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id")
-    one = own.agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
+    one = _learnable(labels, label, parts, part)
     sides = [one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
     return docs.join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")

@@ -6,7 +6,8 @@ Words and shapes are hashed to fixed numbers of rows. Each row has a sparse rand
 vector is the sum, over the whole corpus, of the index vectors of the words and shapes up to REACH tokens away.
 A text is the mean and the mean square of its words' and its shapes' vectors. A network of two layers (numpy)
 learns from at most SAMPLE texts of each label; a temperature fitted on a part that it did not learn from
-calibrates its probabilities.
+calibrates its probabilities. Before that the bias is moved from the sample's shares of the labels to those of
+all labels, where SAMPLE binds.
 
 Null and empty texts are the zero vector and scored like any other. Without labels of both kinds every score
 is 0.5. Repeated rows are scored one by one; a doc_id with both labels isn't learned from.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, adam_step, cut, held_out, labelled_sample, map_batches, table
+from .common import WORD_TABLE, adam_step, cut, held_out, labelled_sample, map_batches, sample_shares, table
 
 WORDS, SHAPES, DIM, NONZERO, REACH = 8192, 1024, 32, 2, 2
 ROWS = WORDS + SHAPES
@@ -139,7 +140,8 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 class Net:
     """Standardised features, a hidden layer, one output; `heat` divides the logit."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 1) -> Net:
+    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 1, shares: tuple[float, float] = (1.0, 1.0)) -> Net:
+        """shares: how many labelled texts one of the sample stands for, by label."""
         rng = np.random.default_rng(seed)
         self.mean, self.std, self.heat = x.mean(0), x.std(0) + 1e-6, 1.0
         order = rng.permutation(len(x))
@@ -155,8 +157,9 @@ class Net:
             dh = err @ self.p["c"].T * (1 - h * h)
             g = {"a": z.T @ dh + 1e-3 * self.p["a"], "b": dh.sum(0), "c": h.T @ err + 1e-3 * self.p["c"], "d": err.sum(0)}
             adam_step(self.p, g, state, RATE * (1 - step / STEPS))
-        z = self.logits(x[apart])
-        loss = lambda t: np.logaddexp(0, np.where(y[apart] == 1, -z, z) / t).mean()
+        self.p["d"] += np.log(shares[1] / shares[0])
+        z, weight = self.logits(x[apart]), np.asarray(shares)[y[apart].astype(int)]
+        loss = lambda t: np.average(np.logaddexp(0, np.where(y[apart] == 1, -z, z) / t), weights=weight)
         self.heat = min(np.geomspace(0.2, 20, 200), key=loss)
         return self
 
@@ -172,7 +175,9 @@ def matrix(rows: list[bytes]) -> np.ndarray:
 def train(features: DataFrame, labels: DataFrame) -> Net | None:
     got = labelled_sample(features, labels, "quality", 5, 0, (SAMPLE, SAMPLE)).toPandas().sort_values(["doc_id", "v"])
     y = got["label"].to_numpy()
-    return Net().fit(matrix(got["v"].tolist()), y) if len(set(y)) == 2 else None
+    if len(set(y)) < 2:
+        return None
+    return Net().fit(matrix(got["v"].tolist()), y, shares=tuple(sample_shares(labels, "quality", 5, 0, (SAMPLE, SAMPLE))))
 
 
 def score(features: DataFrame, net: Net | None) -> DataFrame:

@@ -9,7 +9,8 @@ A text's score is a logistic function of its highest window, so that a long text
 What is learned comes from a bounded sample of labelled texts (SAMPLE_TOXIC and SAMPLE_CLEAN at most). Its
 log-odds are counted by folds, and a text is judged by the other folds' counts while the network learns. The
 network learns from windows: of a toxic text the two with the highest log-odds, of a clean one the highest and
-two others. Scoring reads whole texts, without any limit.
+two others. Scoring reads whole texts, without any limit. In the logistic function a sampled text counts as the
+labelled texts that it stands for, so that scores are probabilities at the labels' own shares, whatever the bounds.
 
 Texts without words score 0. With no label of both kinds to learn from every score is 0. Repeated rows are
 scored one by one; a doc_id with both labels isn't learned from.
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam_step, char_ngrams, char_prefixes, cut, held_out, labelled_sample, logistic, map_batches, table, words_of
+from .common import adam_step, char_ngrams, char_prefixes, cut, held_out, labelled_sample, logistic, map_batches, sample_shares, table, words_of
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, VOCAB, CHAR_BITS, ODDS_BITS = 12, 12, 12, 4096, 12, 16
@@ -289,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Net, np.ndarray] | None:
     net.fit(windows)
     parts = [_raw_scores(rows.where(F.col("fold") == f), net, "label", f).where("n > 0").toPandas() for f in range(FOLDS)]
     high, y = (np.concatenate([p[c] for p in parts]) for c in ("high", "label"))
-    return net, logistic(high[:, None], y)
+    shares = sample_shares(labels, "toxic", 4, 2, (SAMPLE_CLEAN, SAMPLE_TOXIC))
+    return net, logistic(high[:, None], y, share=shares[y])
 
 
 def _probability(w: np.ndarray) -> Column:

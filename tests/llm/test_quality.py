@@ -36,3 +36,11 @@ def test_vectors_do_not_depend_on_chunks(monkeypatch):
     for k in range(3):
         assert np.concatenate([p[k] for p in parts]).tolist() == whole[k].tolist()
     assert (whole[1] == quality.REPEATED).sum() == 1
+
+
+def test_probabilities_follow_the_shares_of_all_labels():
+    rng = np.random.default_rng(4)
+    y = np.arange(2000) % 2
+    x = rng.standard_normal((2000, 3)) + 0.5 * y[:, None]
+    mean = lambda net: np.average(1 / (1 + np.exp(-net.logits(x))), weights=np.where(y == 1, 6.0, 1.0))
+    assert abs(mean(quality.Net().fit(x, y, shares=(1.0, 6.0))) - 6 / 7) < 0.04 < 0.1 < 6 / 7 - mean(quality.Net().fit(x, y))

@@ -1,7 +1,9 @@
 import random
+import zlib
 
 import numpy as np
 
+from pseudolake.llm import common
 from pseudolake.llm import toxicity as tox
 from pseudolake.llm.common import words_of
 
@@ -78,3 +80,30 @@ def test_learns_planted_words(spark):
     assert {r.score for r in tox.score(docs, tox.train(docs, lab.limit(0))).collect()} == {0.0}
     assert tox.score(docs.limit(0), None).count() == 0
     assert words_of(None) == []
+
+
+def test_bounds_of_the_sample_do_not_move_the_threshold(spark):
+    rng = np.random.default_rng(2)
+    y = (np.arange(40000) % 10 == 0).astype(int)
+    x = rng.standard_normal(len(y)) + 2 * y
+    few = (y == 1) | (np.cumsum(y == 0) <= 6000)
+    want, got = common.logistic(x[:, None], y), common.logistic(x[few, None], y[few], share=np.array([6.0, 1.0])[y[few]])
+    assert np.abs(want - got).max() < 0.1 < 1 < common.logistic(x[few, None], y[few])[1] - want[1]
+    rows = [(i, int(i % 10 == 0)) for i in range(400)] + [(1, 1), (2, None), (5, 0)]
+    lab = spark.createDataFrame(rows, "doc_id long, toxic int")
+    every, held = common.sample_shares(lab, "toxic", 4, 2, (1, 1)), sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(400) if i != 1)
+    assert every.sum() == 399 - held and common.sample_shares(lab, "toxic", 4, 2, (1000, 10)).tolist() == [1, every[1] / 10]
+    assert common.sample_shares(lab.limit(0), "toxic", 4, 2, (1, 1)).tolist() == [1, 1]
+
+
+def test_bound_training_scores_at_the_true_shares(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        rows.append((i, " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(20)) + (" odd" if bad or i % 6 == 1 else "")))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(tox, "SAMPLE_CLEAN", 75)
+    seen = {r.doc_id: r.score for r in tox.score(docs, tox.train(docs, lab)).collect()}
+    assert 0.35 < np.mean([seen[i] for i in range(0, 600, 6)]) < 0.65  # half of the texts with the word are toxic
