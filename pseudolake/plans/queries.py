@@ -372,6 +372,14 @@ def replace_by_value(spark, sf_dir):
     return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
 
 
+@query()
+def replace_by_value_all(spark, sf_dir):
+    """Over all documents: neighbouring matches have no SQL."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1).alias("one"))
+    values = spark.createDataFrame([(1, "Licensed under the Apache License", "[PRODUCT_1]"), (1, "worthless", "[MISC_2]")], "one int, value string, token string")
+    return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
+
+
 @query(f"""WITH {SEEDED} SELECT doc_id, regexp_matches(text, 'Фирма 3»') AS has_3, text LIKE '%[ORG]%' AS token FROM seeded""")
 def extra_redact(spark, sf_dir):
     d = seeded(spark, sf_dir)
@@ -521,6 +529,12 @@ def normalize_search(spark, sf_dir):
     return d.select("doc_id", tx.normalize_for_search(F.col("text")).alias("norm"))
 
 
+@query()
+def normalize_search_all(spark, sf_dir):
+    """Over all documents: the fold of other letters has no SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_for_search(F.col("text")).alias("norm"))
+
+
 @query("SELECT page_id, regexp_matches('s-' || page_id || CASE WHEN page_id % 5 = 0 THEN ' x' ELSE '_y' END, '^[A-Za-z0-9_-]{1,64}$') AS ok FROM pages")
 def session_id_check(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
