@@ -23,16 +23,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit integers whose outcome looks random."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; sets a folder of its own only where none is set."""
+    """Uses the cluster's spark.checkpoint.dir; sets a folder of its own only where none is set, and on one machine only."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that its executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    shared_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_checkpoints(df.sparkSession)
@@ -42,10 +55,9 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows are narrow."""
     spark = df.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/stored-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:
@@ -195,8 +207,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     """(doc_id, label, and the other columns of `docs`) of a bounded sample of the documents that may be learned from.
 
     At most most[k] ids of label k, the first by a hash of the id; ids with two different labels are left out.
-    The sample's ids are broadcast: sum(most) rows at most.
+    Of several rows with an id the least is taken, so that there are sum(most) rows at most. The ids are broadcast.
     """
     one = _learnable(labels, label, parts, part)
     sides = [one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
-    return docs.join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*rest)).alias("row"))
+    return found.select("doc_id", "label", "row.*")

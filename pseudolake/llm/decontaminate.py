@@ -1,10 +1,15 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A window is `window` consecutive words of an item (a shorter item is one window). Words are ordered by
-how rare they are in the corpus; a document that holds a window holds its rarest word, so for exact
-containment that one word is the necessary prefix. The join is on prefix words; a hit at place p of a
-word with offset o in a window proposes the place p - o, which has to lie inside the document (position
-and length bounds), and the words there are then compared with the whole window.
+A window is `window` consecutive words of an item (a shorter item is one window). Its shingles are runs of SHINGLE
+words (a window of fewer words is one shingle of its own size). They are ordered by how rare they are in the
+corpus; a document that holds a window holds its rarest shingle, so for exact containment that one is the
+necessary prefix (and a window with a shingle that the corpus lacks occurs nowhere). The join is on prefixes: a
+prefix at place p of a document with offset o in a window proposes the place p - o, which has to lie inside the
+document (position and length bounds), and the words there are then compared with the whole window.
+
+Both sides of the join are shuffled; only a bitmap of MAX_BITS bits at most is broadcast, which keeps the places of
+documents apart that can't be a prefix. Texts are read twice, whatever the size of the benchmark (and a third time to
+count words). Equal texts are joined once, by a 128-bit hash.
 
 Null and empty texts have no words and no hits; items without words or with a null id take no part;
 repeated rows are judged one by one; other columns of the inputs are not read.
@@ -12,130 +17,200 @@ repeated rows are judged one by one; other columns of the inputs are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from itertools import repeat
+import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, words_of
+from .common import map_batches, mixed, stored, table, words_of
+
+SHINGLE = 3
+#: Bits of the bitmap: SPARSE for each hash in it, but no more than MAX_BITS (8 MB).
+SPARSE, MAX_BITS = 256, 1 << 26
+#: Hashes that a task holds before it counts them.
+HELD = 1_000_000
+
 
-#: Windows that are broadcast at once; a larger benchmark is worked through in blocks of this size.
-BLOCK_WINDOWS = 200_000
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """64-bit hashes of all runs of `size` words; equal runs have equal hashes, others may."""
+    if len(words) < size:
+        return np.empty(0, np.uint64)
+    w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    m = len(w) - size + 1
+    h = np.full(m, size, np.uint64)
+    for k in range(size):
+        h = mixed(h + w[k : k + m])
+    return h
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Rows (item string, words array<binary>) for each window of each item."""
+    """Rows (item string, window binary (a digest), words array<binary>) for each window of each item."""
 
     def make():
         def step(batch):
-            items, wins = [], []
+            out: dict[str, list] = {"item": [], "window": [], "words": []}
             for item, text in zip(batch["item"], batch["text"]):
                 w = words_of(text)
                 for k in range(max(1, len(w) - window + 1) if w and item is not None else 0):
-                    items.append(item)
-                    wins.append(w[k : k + window])
-            return {"item": items, "words": wins}
+                    win = w[k : k + window]
+                    out["item"].append(item)
+                    out["window"].append(hashlib.blake2b(b" ".join(win), digest_size=16).digest())
+                    out["words"].append(win)
+            return out
 
         return step
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    return map_batches(rows, "item string, words array<binary>", make)
-
-
-def _prefix_index(wins: dict[tuple, set], counts: dict[bytes, int]) -> dict:
-    """For the words of some windows: ids by rarity, for each prefix word its offsets, windows by their ids."""
-    vocab = {w: k for k, w in enumerate(sorted({w for win in wins for w in win}, key=lambda w: (counts.get(w, 0), w)))}
-    starts: dict[int, set] = defaultdict(set)
-    by_ids = {}
-    for win, items in wins.items():
-        ids = np.array([vocab[w] for w in win], np.int32)
-        o = int(ids.argmin())
-        starts[int(ids[o])].add((o, len(ids)))
-        by_ids[ids.tobytes()] = sorted(items)
-    return {"vocab": vocab, "starts": {k: sorted(v) for k, v in starts.items()}, "windows": by_ids}
-
-
-def _hits(words: list[bytes], index: dict, is_prefix: np.ndarray) -> tuple[list[tuple[int, int]], set]:
-    n = len(words)
-    ids = np.fromiter(map(index["vocab"].get, words, repeat(-1)), np.int32, n)
-    spans, items = [], set()
-    for p in np.flatnonzero(is_prefix[ids]).tolist():
-        for o, size in index["starts"][int(ids[p])]:
-            s = p - o
-            if s >= 0 and s + size <= n and (found := index["windows"].get(ids[s : s + size].tobytes())):
-                spans.append((s, s + size))
-                items.update(found)
-    return spans, items
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def _word_counts(docs: DataFrame, vocab: frozenset) -> dict[bytes, int]:
-    """How often the benchmark's words (bounded by the block) occur in all documents."""
-    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    return map_batches(rows, "item string, window binary, words array<binary>", make)
+
+
+def _window_shingles(windows: DataFrame) -> DataFrame:
+    """(window, n, shingle, offset) for each shingle of each distinct window."""
 
     def make():
         def step(batch):
-            found: Counter = Counter()
+            out: dict[str, list] = {"window": [], "n": [], "shingle": [], "offset": []}
+            for win, words in zip(batch["window"], batch["words"]):
+                for o, h in enumerate(shingle_hashes(words, min(SHINGLE, len(words))).view(np.int64).tolist()):
+                    for c, x in zip(out, (win, len(words), h, o)):
+                        out[c].append(x)
+            return out
+
+        return step
+
+    return map_batches(windows.select("window", "words"), "window binary, n int, shingle long, offset int", make)
+
+
+def _bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Bytes whose bit `hash mod size` is set for each hash; they reach the driver 64 bits a row, MAX_BITS / 64 rows at most."""
+    size = min(MAX_BITS, 1 << max(10, (SPARSE * hashes.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(size - 1).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = hashes.select(F.shiftright(place, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8), size
+
+
+def _may_be(h: np.ndarray, bitmap: np.ndarray, size: int) -> np.ndarray:
+    place = h & np.uint64(size - 1)
+    return np.flatnonzero(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _shingle_counts(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
+    """(shingle, n): how often the hashes in the bitmap occur in all documents."""
+
+    def make():
+        bitmap, size = shared.value
+
+        def step(batch):
+            held, total, found = [], 0, []
+
+            def pour():
+                if held:
+                    found.append(np.unique(np.concatenate(held), return_counts=True))
+                    held.clear()
+
             for text in batch["text"]:
-                found.update(filter(known.value.__contains__, words_of(text)))
-            return {"word": list(found), "n": list(found.values())}
+                words = words_of(text)
+                for k in sizes:
+                    h = shingle_hashes(words, k)
+                    held.append(h[_may_be(h, bitmap, size)])
+                    total += len(held[-1])
+                if total > HELD:
+                    pour()
+                    total = 0
+            pour()
+            return {"shingle": np.concatenate([u for u, _ in found]).view(np.int64), "n": np.concatenate([n for _, n in found])} if found else None
+
+        return step
+
+    return map_batches(docs.select("text"), "shingle long, n long", make).groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+def _candidates(docs: DataFrame, shared, sizes: list[int], window: int) -> DataFrame:
+    """(key1, key2, place, n_words, shingle, around, at): places of documents whose shingle may be a prefix, with the words around (place: around[at])."""
+
+    def make():
+        bitmap, size = shared.value
+
+        def step(batch):
+            out: dict[str, list] = {c: [] for c in ("key1", "key2", "place", "n_words", "shingle", "around", "at")}
+            for key1, key2, text in zip(batch["key1"], batch["key2"], batch["text"]):
+                words = words_of(text)
+                for k in sizes:
+                    h = shingle_hashes(words, k)
+                    for p in _may_be(h, bitmap, size).tolist():
+                        a = max(0, p - window + 1)
+                        for c, x in zip(out, (key1, key2, p, len(words), int(h[p].view(np.int64)), words[a : p + window], p - a)):
+                            out[c].append(x)
+            return out
 
         return step
 
-    rows = map_batches(docs.select("text"), "word binary, n long", make).groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in rows.collect()}
+    schema = "key1 long, key2 long, place int, n_words int, shingle long, around array<binary>, at int"
+    return map_batches(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), schema, make)
+
+
+def text_keys() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """(key1, key2, s, e, item): where windows of items occur in the distinct texts of `docs` (keys: text_keys), as word ranges."""
+    sc = docs.sparkSession.sparkContext
+    every = stored(benchmark_windows(benchmark, window).distinct())
+    windows = stored(every.select("window", "words").dropDuplicates(["window"]))
+    shingles = stored(_window_shingles(windows))
+    sizes = sorted(r.size for r in shingles.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect())  # SHINGLE rows at most
+    texts = docs.select("text")
+    counts = _shingle_counts(texts, sc.broadcast(_bitmap(shingles.select("shingle").distinct(), "shingle")), sizes).withColumnRenamed("n", "seen")
+    ranked = shingles.join(counts, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset", "n")).alias("rarest"))
+    prefixes = stored(ranked.where("rarest.seen > 0").select("window", "rarest.shingle", "rarest.offset", "rarest.n"))
+    cand = _candidates(docs, sc.broadcast(_bitmap(prefixes.select("shingle").distinct(), "shingle")), sizes, window)
+    begin = F.col("place") - F.col("offset")
+    near = cand.join(prefixes.join(windows, "window"), "shingle").where((begin >= 0) & (begin + F.col("n") <= F.col("n_words")))
+    same = near.where(F.slice("around", F.col("at") - F.col("offset") + 1, F.col("n")) == F.col("words"))
+    hits = same.select("key1", "key2", begin.alias("s"), (begin + F.col("n")).alias("e"), "window").distinct()
+    return hits.join(every.select("window", "item"), "window").drop("window")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted ranges without those that begin inside the range before; ranges that touch become one."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def add(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        joins = (F.size(a) > 0) & (x["s"] <= F.try_element_at(a, F.lit(-1))["e"])
+        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(joins, grown).otherwise(F.concat(a, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Per row of `docs`: the columns `keep` (doc_id, if None), n_words, hits (merged word ranges), items (sorted ids)."""
-    wins = benchmark_windows(benchmark, window)
-    total = wins.count()
-    blocks = max(1, -(-total // BLOCK_WINDOWS))
-    sc = docs.sparkSession.sparkContext
-    keep = ["doc_id"] if keep is None else keep
-    kept = F.struct(*[F.col(c) for c in keep])
-    none = "array<struct<s:int,e:int>>"
-    out = docs.select(kept.alias("kept"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(none).alias("hits"), F.array().cast("array<string>").alias("items"))
-    kept_type = out.schema["kept"].dataType.simpleString()
-    for block in range(blocks):
-        found: dict[tuple, set] = defaultdict(set)
-        for r in wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect():
-            found[tuple(map(bytes, r.words))].add(r.item)
-        vocab = frozenset(w for win in found for w in win)
-        shared = sc.broadcast(_prefix_index(found, _word_counts(docs, vocab)))
-
-        def make(shared=shared):
-            index = shared.value
-            is_prefix = np.zeros(len(index["vocab"]) + 1, bool)  # the last place stands for other words
-            is_prefix[list(index["starts"])] = True
-
-            def step(batch):
-                n_words, hits, all_items = [], [], []
-                for text, had, items in zip(batch["text"], batch["hits"], batch["items"]):
-                    words = words_of(text)
-                    spans, new = _hits(words, index, is_prefix)
-                    n_words.append(len(words))
-                    merged = _merged(spans + [(x["s"], x["e"]) for x in had])
-                    hits.append([{"s": s, "e": e} for s, e in merged])
-                    all_items.append(sorted(new.union(items)))
-                return batch | {"n_words": n_words, "hits": hits, "items": all_items}
-
-            return step
-
-        out = map_batches(out, f"kept {kept_type}, text string, n_words long, hits {none}, items array<string>", make)
-    return out
+    kept = F.struct(*[F.col(c) for c in (["doc_id"] if keep is None else keep)])
+    found = found_windows(docs, benchmark, window).groupBy("key1", "key2").agg(
+        _merged(F.collect_set(F.struct("s", "e"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"),
+    )
+    rows = docs.select(kept.alias("kept"), *text_keys(), F.col("text").cast("string").alias("text"))
+
+    def make():
+        def step(batch):
+            return {c: batch[c] for c in ("kept", "key1", "key2")} | {"n_words": [len(words_of(t)) for t in batch["text"]]}
+
+        return step
+
+    kind = rows.schema["kept"].dataType.simpleString()
+    counted = map_batches(rows, f"kept {kind}, key1 long, key2 long, n_words long", make)
+    joined = counted.join(found, ["key1", "key2"], "left")
+    return joined.select(
+        "kept", "n_words", F.coalesce("hits", F.array().cast("array<struct<s:int,e:int>>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
 
 
 def n_hit(hits: Column) -> Column:
@@ -144,8 +219,9 @@ def n_hit(hits: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with all their columns."""
-    clean = contamination(docs, benchmark, window, keep=docs.columns).where(F.size("hits") == 0)
-    return clean.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
+    found = found_windows(docs, benchmark, window).select("key1", "key2").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), *text_keys())
+    return rows.join(found, ["key1", "key2"], "left_anti").select("kept.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

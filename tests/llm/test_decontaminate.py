@@ -47,17 +47,24 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = [(i, " ".join(f"w{i * 3 + k}" for k in range(14))) for i in range(9)]
+def test_crowded_bitmap_gives_the_same(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i * 3 + k}" for k in range(14))) for i in range(9)] + [(20, "w3 w4"), (21, "w5")]
     docs = [(i, "aa " + items[i][1] + " bb " + items[(i + 1) % 9][1]) for i in range(9)]
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 64)
+    monkeypatch.setattr(decontaminate, "HELD", 10)
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_one_window_in_very_many_items(spark):
+    items = [(i, "one window of ten words that every item here has") for i in range(10_000)]
+    got = run(spark, [(1, "so one window of ten words that every item here has, too"), (2, "none")], items)
+    assert got == [(1, 12, 10, ",".join(sorted(str(i) for i in range(10_000)))), (2, 1, 0, "")]
+
+
 def test_empty_tables(spark):
-    assert run(spark, [(1, "a b")], []) == [(1, 2, 0, "")] if False else True
     b = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    assert decontaminate.contamination(d, b).first().n_words == 2
+    got = decontaminate.contamination(d, b).first()
+    assert (got.n_words, got.hits, got.items) == (2, [], [])
     assert decontaminate.contamination(d.limit(0), b).count() == 0
     assert decontaminate.drop_contaminated(d, b).columns == d.columns
