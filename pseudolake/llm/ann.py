@@ -63,7 +63,7 @@ def estimates(code: np.ndarray, corr: np.ndarray, q: np.ndarray, rot: np.ndarray
 def nearest(cid: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray, corr: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int):
     """(query_id, vec_id, score) of the k best candidates of each query within these blocks."""
     rot = rotation(x.shape[1])
-    x64, out = x.astype(np.float64), []
+    out: list[tuple] = []
     for a in range(0, len(q), 64):
         est, err = estimates(code, corr, q[a : a + 64], rot)
         for row, i in enumerate(range(a, min(a + 64, len(q)))):
@@ -74,7 +74,7 @@ def nearest(cid: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray,
             n = min(k, len(at))
             floor = np.partition(e - w, len(at) - n)[len(at) - n]
             at = at[e + w >= floor]
-            score = np.cumsum(x64[at] * q[i].astype(np.float64), axis=1)[:, -1]  # in the order of components, whatever the row
+            score = np.cumsum(x[at] * q[i], axis=1)[:, -1]  # in the order of components, whatever the row
             best = np.lexsort((cid[at], -score))[:k]
             out.append((np.full(len(best), qid[i]), cid[at[best]], score[best]))
     return out
@@ -95,7 +95,7 @@ def index(vectors: DataFrame) -> DataFrame:
             for dim, rows in by_dim.items():
                 if dim not in rots:
                     rots[dim] = rotation(dim, max(BITS, -(-dim // 64) * 64))
-                x = np.array([v for _, v in rows], np.float32)
+                x = np.array([v for _, v in rows], np.float64)
                 code, norm, corr = encode(x, rots[dim])
                 out["vec_id"] += [i for i, _ in rows]
                 out["dim"] += [dim] * len(rows)
@@ -107,7 +107,7 @@ def index(vectors: DataFrame) -> DataFrame:
 
         return step
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     return map_batches(rows, "vec_id long, dim int, embedding binary, code binary, norm double, corr double", make)
 
 
@@ -115,15 +115,15 @@ def search(indexed: DataFrame, query_rows: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest candidates of each query: (query_id, rank, vec_id, score)."""
     blocks = max(1, -(-indexed.count() // CANDIDATES))
     query_blocks = max(1, -(-query_rows.count() // QUERIES_A_BLOCK))
-    cand = indexed.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    ask = query_rows.select(F.col("vec_id").alias("query_id"), "dim", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q"))
+    cand = indexed.withColumn("c", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    ask = query_rows.select(F.col("vec_id").alias("query_id"), "dim", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(query_blocks)).cast("int").alias("q"))
     ask = ask.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(c) and len(q):
             mat = lambda s, t: np.frombuffer(b"".join(s), t).reshape(len(s), -1)
-            parts = nearest(c["vec_id"].to_numpy(), mat(c["embedding"], "<f4"), mat(c["code"], "<u8"), c["norm"].to_numpy(), c["corr"].to_numpy(), q["query_id"].to_numpy(), mat(q["embedding"], "<f4"), k)
+            parts = nearest(c["vec_id"].to_numpy(), mat(c["embedding"], "<f8"), mat(c["code"], "<u8"), c["norm"].to_numpy(), c["corr"].to_numpy(), q["query_id"].to_numpy(), mat(q["embedding"], "<f8"), k)
         cols = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 

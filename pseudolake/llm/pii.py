@@ -91,8 +91,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def row_key(text: Column) -> Column:
+    """128 bits over id and text: what rows are found again by. Rows with the same id and text have the same spans."""
+    return F.struct(F.xxhash64(F.col("doc_id"), text).alias("a"), F.xxhash64(F.lit(1), text, F.col("doc_id")).alias("b"))
 
 
 def _near_terms(piece: Column, at: Column, last: bool, cut_off: Column) -> Column:
@@ -112,7 +113,7 @@ def _near_terms(piece: Column, at: Column, last: bool, cut_off: Column) -> Colum
 def _scan(docs: DataFrame) -> DataFrame:
     """(key, doc_id, spans, contexts) of all documents; contexts hold the text around each span."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = rows.select(row_key().alias("key"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
+    spans = rows.select(row_key(F.col("text")).alias("key"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
     text = F.col("text")
 
     def context(s: Column) -> Column:
@@ -177,7 +178,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     scanned = cut(_scan(docs))
     found = disclosing_terms(docs, scanned).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added_"))
-    keyed = docs.withColumn("key_", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    keyed = docs.select("*", row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key_"))
     text = F.col("text")
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"], s["end"], s["kind"]))
     joined = keyed.join(found.withColumnRenamed("key", "key_"), "key_", "left")

@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bits_to_long, components, cut, map_batches, table
@@ -84,16 +84,20 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp) for every row of `docs`."""
+    """Rows (doc_id, fp, text_hash) for every row of `docs`."""
 
     def make():
         def step(batch):
-            return {"doc_id": batch["doc_id"], "fp": fingerprints_of(batch["text"])}
+            return {"doc_id": batch["doc_id"], "fp": fingerprints_of(batch["text"]), "text_hash": batch["text_hash"]}
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, "doc_id long, fp long", make)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("text_hash"))
+    return map_batches(rows, "doc_id long, fp long, text_hash long", make)
+
+
+def _text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -140,26 +144,35 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.select(F.col("fp").alias("u"), "v").unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, component_id) for every row of `docs`."""
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fp, text_hash, root, component_id) for every row of `docs`; root is one of the component's fingerprints."""
     marked = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(links(distinct))
     with_root = linked.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first")
     least = with_root.groupBy("root").agg(F.min("first").alias("low"))
-    named = with_root.join(least, "root").select("fp", "low")
-    final = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    named = with_root.join(least, "root").select("fp", "root", "low")
+    final = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first").alias("component_id")))
+    return marked.join(final, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fp, component_id) for every row of `docs`."""
+    return _grouped(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates (that of the smallest doc_id), with all its columns.
+    """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id (null last), then of the smallest fingerprint.
 
-    Of several rows with that doc_id one is kept. Rows without doc_id stay.
+    A component is named by a fingerprint here, so that texts that share a doc_id stay apart. Of equal rows one is kept, of
+    rows with the same id and text any.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return ids.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash")
+    chosen = _grouped(docs).groupBy("root").agg(F.min(least).alias("one")).select("one.doc_id", "one.text_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"))
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("kept.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,13 @@ def test_query_on_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = sorted(r.doc_id for r in simhash.keep_first(df.where("doc_id is not null")).collect())
     assert kept == [3, 7, 9]
+    assert simhash.keep_first(df).columns == df.columns and simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(4)
+    say = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(40))
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(3, a), (3, b), (9, b), (None, c), (None, c), (5, c), (None, d), (None, d), (2, a), (2, a), (None, None), (None, "")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as root", "3 as kept")).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted([(2, a), (3, b), (5, c), (None, d), (None, "")], key=str)
