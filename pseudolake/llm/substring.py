@@ -1,389 +1,375 @@
-"""Substring dedup: repeated paragraphs inside documents, by MinHash banding.
-
-The lines of a text are cut into paragraphs at the ends of sentences (and, where MOST words pass without one,
-after words of a fixed hash), so that a passage set into the middle of another line falls into the same
-paragraphs wherever it stands. A paragraph is the set of its 5-word shingles; those of fewer than five words
-don't count. Paragraphs of the same set are one from there on. Sets of LONG or more shingles get
-BANDS bands of BAND_ROWS MinHash values (at a similarity of 0.8 all bands miss once in 30,000); those that
-collide are joined and verified by the exact Jaccard similarity of their sets (0.8 or more). A band that holds
-more than MAX_BUCKET sets is compared with its smallest set and its smallest by another hash instead of pairwise:
-each set meets such references in every band. Linked sets form classes (connected components).
-
-A paragraph repeats if its class is in two documents or more. A window of RUN_WORDS words repeats if two documents
-or more have it word by word, wherever paragraphs end (64-bit hashes). Windows are found by winnowing: of any
-RUN_WORDS words the smallest hash of GRAM of them is a fingerprint, so that a repeating window has one that repeats.
-Where all places of such a fingerprint have the same words around it, every window with it repeats; around the
-others the windows are hashed and counted.
-
-Neighbouring repeating paragraphs and windows of a document form a passage; one of RUN_WORDS words or more is
-reported. Every paragraph of it but the first occurrence of its class (smallest document, then place), and
-every window that a smaller document has or that comes again in the smallest one, is to be removed.
-
-Null and empty texts have no paragraphs. Rows that repeat a doc_id count as one document; rows with a null
-doc_id take no part. Other columns are not read.
+"""Substring dedup: repeated passages inside documents, by MinHash banding of paragraphs.
+
+A text's words are cut into paragraphs at the ends of sentences and lines; where a sentence has more than LONGEST
+words, also before words whose hash is the smallest of some WINDOW words in a row. A cut counts when SHINGLE words or
+more lie before it, so paragraphs have SHINGLE words at least, and a passage set into other text falls into the same
+ones but for its edges. A paragraph is the set of its 5-word shingles; equal sets are one from there on.
+
+Banding is tuned to full recall: the bands of a set of n shingles are its n - ceil(0.8 n) + 1 smallest MinHash values.
+Two sets at a similarity of 0.8 share ceil(0.8 n) shingles at least, so one of these. Sets that collide are joined and
+verified by the exact Jaccard similarity. A band of more than MAX_BUCKET sets isn't paired: its sets are banded again by
+pairs of their n - ceil(0.8 n) + 2 smallest values, two of which they share by the same count; what is still crowded is
+compared in blocks of BLOCK sets, of which only a spanning forest leaves a task. No link is lost, whatever the size.
+Linked sets form classes (connected components).
+
+A paragraph repeats if its class is in two documents or more. Neighbouring ones that all stay, or all go, form an island; it is aligned with the
+first other document that has its rarest paragraph, and grows at both ends word by word (up to REACH words) as long
+as the words agree. Islands with up to GAP words between them are one passage; one of RUN_WORDS words or more is
+reported. To be removed are its paragraphs (with the words grown) but the first occurrence of each class.
+
+Null texts and texts of fewer than five words have no paragraphs. Rows that repeat a doc_id count as one document; rows
+with a null doc_id take no part. Other columns are not read. Equality is that of 64-bit hashes of shingles, and of
+32-bit hashes of words where islands grow.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, components, cut, map_batches, stored, table
+from .common import WORD_TABLE, components, cut, map_batches, mixed, stored, table, words_of
 
-SHINGLE, SIMILAR, MOST = 5, 0.8, 64
-LONG, BANDS, BAND_ROWS, MAX_BUCKET = 20, 10, 2, 32
-RUN_WORDS, GRAM = 30, 16
-NO_DOC = -(1 << 63)
-TOKENS_HELD, CHUNK_CHARS = 500_000, 1_000_000
+SHINGLE, SIMILAR = 5, 0.8
+LONGEST, WINDOW = 16, 12
+MAX_BUCKET, BLOCK = 32, 256
+RUN_WORDS, REACH, GAP = 50, 32, 2
+#: Slots (bytes) of the filters over hashes of ids: 16 for each id, but no more than MAX_SLOTS.
+MAX_SLOTS = 1 << 22
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_ENDS = bytes(10 if chr(b) in ".?!\n\r" else c for b, c in enumerate(WORD_TABLE))
 
 
-class _Tokens(dict):
-    """Token to twice the hash of its word (0: none), plus 1 at the end of a sentence."""
+def band_count(n):
+    """How many of its n smallest values two similar sets share one of."""
+    return n - -(-n * 4 // 5) + 1
 
-    def __missing__(self, token: str) -> int:
-        word = token.encode("utf-8", "surrogatepass").translate(WORD_TABLE).replace(b" ", b"")
-        self[token] = out = 2 * ((zlib.crc32(word) or 1) if word else 0) + ("." in token or "?" in token)
-        return out
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _PRIME
-    return x ^ (x >> np.uint64(29))
-
-
-def _tokens(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: word hash and end mark, whether a line ends with it, first place, place after it."""
-    lines = [line.split() for line in text.split("\n")]
-    tokens = [t for line in lines for t in line]
-    v = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    at_end = np.zeros(len(tokens), bool)
-    n = np.cumsum([len(line) for line in lines])
-    at_end[n[n > 0] - 1] = True
-    if int(length.sum()) + len(tokens) - 1 == len(text):
-        begin = np.cumsum(length + 1) - length - 1
-    else:
-        at, places = 0, []
-        for t in tokens:
-            at = text.index(t, at)
-            places.append(at)
-            at += len(t)
-        begin = np.array(places, np.int64)
-    return v, at_end, begin, begin + length
-
-
-def paragraphs(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]:
-    """The paragraphs of five words or more of some texts, in order; places in code points.
-
-    text: which text; place: counts in the text; start, end, words; at: words of the text before it; reach: words before
-    the next of them (before its own end if it is the last); set_id; and for the long ones `long` (which),
-    `shingles` (their distinct hashes, one after the other) and `sizes`.
-    """
-    parts = [_tokens(t or "", known) for t in texts]
-    n = np.array([len(p[0]) for p in parts], np.int64)
-    v, end, begin, after = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(4))
-    if not len(v):
+def paragraphs(text: str | None) -> dict[str, np.ndarray]:
+    """The paragraphs of a text: at (words before), words, and its set: n (distinct shingles), set_id, and all sets' shingles, ascending."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_ENDS)
+    words = data.split()
+    total = len(words)
+    if total < SHINGLE:
         none = np.empty(0, np.int64)
-        return dict.fromkeys(("text", "place", "start", "end", "words", "at", "reach", "set_id", "long", "sizes"), none) | {"shingles": none.view(np.uint64)}
-    text = np.repeat(np.arange(len(parts)), n)
-    word = (v >> 1).astype(np.uint64)
-    end = end.astype(bool) | (v & 1).astype(bool)
-    end[np.cumsum(n)[n > 0] - 1] = True
-    first = np.flatnonzero(np.r_[True, end[:-1]])
-    size = np.diff(np.r_[first, len(v)])
-    end |= np.repeat(size > MOST, size) & (word % np.uint64(16) == 0)
-    unit = np.cumsum(np.r_[False, end[:-1]])
-    full = word > 0
-    words = np.bincount(unit[full], minlength=int(unit[-1]) + 1)
-    good = words >= SHINGLE
-    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-    last = np.r_[first[1:], len(v)] - 1
-    w, u = word[full], unit[full]
-    m = max(0, len(w) - SHINGLE + 1)
-    s = np.zeros(m, np.uint64)
-    for k in range(SHINGLE if m else 0):
-        s = _mixed(s + w[k : k + m])
-    inside = u[:m] == u[SHINGLE - 1 : SHINGLE - 1 + m]
-    s, u = s[inside], u[:m][inside]
+        return {"at": none, "words": none, "n": none, "set_id": none, "shingles": none.view(np.uint64)}
+    h = mixed(np.fromiter(map(zlib.crc32, words), np.uint64, total))
+    lowest = np.zeros(total, np.uint64)
+    if total > LONGEST:
+        low = h[: total - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            np.minimum(low, h[k : k + len(low)], out=low)
+        for k in range(WINDOW):
+            np.maximum(lowest[k : k + len(low)], low, out=lowest[k : k + len(low)])
+    is_cut = h == lowest
+    starts, last, at = [0], 0, 0
+    for line in data.split(b"\n"):
+        n = line.count(b" ") and len(line.split()) or (1 if line.strip() else 0)
+        if n > LONGEST:
+            for x in (at + np.flatnonzero(is_cut[at : at + n])).tolist():
+                if x - last >= SHINGLE:
+                    starts.append(last := x)
+        at += n
+        if at - last >= SHINGLE and at < total:
+            starts.append(last := at)
+    start = np.array(starts, np.int64)
+    size = np.diff(np.append(start, total))
+    s = np.full(total - SHINGLE + 1, 7, np.uint64)
+    for k in range(SHINGLE):
+        s = mixed(s + h[k : k + len(s)])
+    unit = np.repeat(np.arange(len(start)), size)
+    inside = unit[: len(s)] == unit[SHINGLE - 1 :]
+    s, u = s[inside], unit[: len(s)][inside]
     order = np.lexsort((s, u))
     s, u = s[order], u[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (u[1:] != u[:-1])][: len(s)]
+    new = np.r_[True, (s[1:] != s[:-1]) | (u[1:] != u[:-1])]
     s, u = s[new], u[new]
-    at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
-    sizes = np.diff(np.r_[at, len(u)])
-    ids = np.add.reduceat(_mixed(s), at).view(np.int64) if len(at) else np.empty(0, np.int64)
-    of_text = text[first][good]
-    start_of = np.searchsorted(of_text, np.arange(len(parts)))
-    at_word = np.cumsum(words) - words
-    at_word = (at_word - at_word[np.flatnonzero(np.r_[True, text[first][1:] != text[first][:-1]])][np.searchsorted(np.unique(text), text[first])])[good]
-    reach = at_word + words[good]
-    same = of_text[1:] == of_text[:-1]
-    reach[:-1][same] = at_word[1:][same]
-    long = sizes >= LONG
+    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    which = u[first]
     return {
-        "text": of_text, "place": np.arange(len(of_text)) - start_of[of_text], "start": begin[first][good], "end": after[last][good], "words": words[good],
-        "at": at_word, "reach": reach, "set_id": ids, "long": np.flatnonzero(long), "shingles": s[np.repeat(long, sizes)], "sizes": sizes[long],
+        "at": start[which], "words": size[which], "n": np.diff(np.append(first, len(s))),
+        "set_id": np.add.reduceat(mixed(s), first).view(np.int64), "shingles": s,
     }
 
 
-def windows(texts: list[str | None], known: _Tokens) -> dict[str, np.ndarray]:
-    """The windows of RUN_WORDS words of some texts, in order: text, at (word of the text), start, end, hash; and of the fingerprints: print_text, print_at, print,
-    around (hash of the words of all windows with it, 0 at the ends of a text)."""
-    parts = [_tokens(t or "", known) for t in texts]
-    v, _, begin, after = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(4))
-    text = np.repeat(np.arange(len(parts)), np.array([len(p[0]) for p in parts], np.int64))
-    full = v > 1
-    word, text, begin, after = (v[full] >> 1).astype(np.uint64), text[full], begin[full], after[full]
-    if len(word) < RUN_WORDS:
-        none = np.empty(0, np.int64)
-        return dict.fromkeys(("text", "at", "start", "end", "hash", "print_text", "print_at", "print", "around", "begins", "ends"), none)
-    at = np.arange(len(word)) - np.searchsorted(text, text)
-    g, size = word, 1
-    while size < GRAM:
-        step = min(size, GRAM - size)
-        g = _mixed(_mixed(g[: len(g) - step]) * _PRIME + g[step:])
-        size += step
-    more = RUN_WORDS - GRAM
-    h = _mixed(g[: len(g) - more] * _PRIME + g[more:])
-    inside = text[: len(h)] == text[RUN_WORDS - 1 :]
-    low = g[: len(h)].copy()
-    for k in range(1, more + 1):
-        np.minimum(low, g[k : k + len(h)], out=low)
-    low[~inside] = 0
-    top = np.zeros(len(g), np.uint64)
-    for k in range(more + 1):
-        np.maximum(top[k : k + len(h)], low, out=top[k : k + len(h)])
-    chosen = np.flatnonzero((top == g) & (top > 0))
-    w = np.flatnonzero(inside)
-    left, right = np.maximum(chosen - more, 0), np.minimum(chosen, len(h) - 1)
-    whole = (left == chosen - more) & (right == chosen) & inside[left] & inside[right]
-    around = np.where(whole, _mixed(h[left] * _PRIME + h[right]), np.uint64(0))
-    return {
-        "text": text[w], "at": at[w], "start": begin[w], "end": after[w + RUN_WORDS - 1], "hash": h[w].view(np.int64),
-        "print_text": text[chosen], "print_at": at[chosen], "print": g[chosen].view(np.int64),
-        "around": around.view(np.int64), "begins": begin, "ends": after,
-    }
+def _smallest(p: dict[str, np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The `count` smallest shingles of each set, one after the other, and how many these are."""
+    rank = np.arange(len(p["shingles"])) - np.repeat(np.cumsum(p["n"]) - p["n"], p["n"])
+    count = np.minimum(count, p["n"])
+    return p["shingles"][rank < np.repeat(count, p["n"])].view(np.int64), count
 
 
-def _bands(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """sets x BANDS keys of sets of shingles that lie one after the other."""
-    if not len(sizes):
-        return np.empty((0, BANDS), np.int64)
-    at = np.cumsum(sizes) - sizes
-    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sizes), 1))
-    for k in range(BANDS * BAND_ROWS):
-        low = np.minimum.reduceat(_mixed(s ^ np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))), at)
-        key[:, k // BAND_ROWS] = _mixed(key[:, k // BAND_ROWS] * _PRIME + low)
-    return key.view(np.int64)
-
-
-def _chunks(texts: list[str | None]):
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size > CHUNK_CHARS:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, start, end, words, at, reach, set_id, shingles, bands); shingles and bands are null below LONG; place counts these rows."""
+    """(doc_id, at, words, set_id, keys): the paragraphs of all texts with their bands; sets that nothing but an equal set is similar to have none."""
 
     def make():
-        known = _Tokens()
-
         def step(batch):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "place", "start", "end", "words", "at", "reach", "set_id", "shingles", "bands")}
-            for a, b in _chunks(batch["text"]):
-                if len(known) > TOKENS_HELD:
-                    known.clear()
-                p = paragraphs(batch["text"][a:b], known)
-                ids = np.array(batch["doc_id"][a:b], np.int64)
-                for c, x in (("doc_id", ids[p["text"]]), *((c, p[c]) for c in ("place", "start", "end", "words", "at", "reach", "set_id"))):
+            out: dict[str, list] = {c: [] for c in ("doc_id", "at", "words", "set_id")}
+            keys, sizes = [], []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                p = paragraphs(text)
+                for c, x in (("doc_id", np.full(len(p["n"]), doc)), *((c, p[c]) for c in ("at", "words", "set_id"))):
                     out[c].append(x)
-                shingles, bands = [None] * len(p["text"]), [None] * len(p["text"])
-                for k, one, band in zip(p["long"].tolist(), np.split((p["shingles"] >> np.uint64(33)).astype(np.int32), np.cumsum(p["sizes"])[:-1]), _bands(p["shingles"], p["sizes"])):
-                    shingles[k], bands[k] = one, band
-                out["shingles"] += shingles
-                out["bands"] += bands
-            return {c: x if c in ("shingles", "bands") else np.concatenate(x) if x else [] for c, x in out.items()}
+                key, size = _smallest(p, np.where(p["n"] >= 4, band_count(p["n"]), 0))
+                keys.append(key)
+                sizes.append(size)
+            return {c: np.concatenate(x) if x else [] for c, x in out.items()} | {"keys": _lists(keys, sizes)}
 
         return step
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, "doc_id long, place int, start int, end int, words int, at int, reach int, set_id long, shingles array<int>, bands array<long>", make)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, "doc_id long, at int, words int, set_id long, keys array<long>", make)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, until, start, end, class_id, first_doc, gone): runs of windows of RUN_WORDS words that two documents or more have.
+def _maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """`rows` without most of those whose `column` is not among `ids` (a filter of bounded size; an exact join has to follow)."""
+    slots = min(MAX_SLOTS, 16 << max(6, ids.count().bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+    wanted = np.zeros(slots, np.uint8)
+    wanted[ids.select(slot(F.col(column)).alias("s")).distinct().toArrow()["s"].to_numpy()] = 1  # `slots` rows at most
+    return rows.where(F.substring(F.lit(bytearray(wanted.tobytes())), slot(F.col(column)) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
 
-    gone: whether the words stand in a smaller document, or before in this one. class_id is the smallest hash.
-    """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
 
-    def make_prints():
-        known = _Tokens()
+def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again from the first document that has it."""
+    ids = ids.distinct()
+    at = _maybe_in(rows.select("set_id", "doc_id"), "set_id", ids).join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    asked = stored(at.groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
 
+    def make():
         def step(batch):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "place", "print", "around")}
-            for a, b in _chunks(batch["text"]):
-                if len(known) > TOKENS_HELD:
-                    known.clear()
-                w = windows(batch["text"][a:b], known)
-                for c, x in (("doc_id", np.array(batch["doc_id"][a:b], np.int64)[w["print_text"]]), ("place", w["print_at"]), ("print", w["print"]), ("around", w["around"])):
-                    out[c].append(x)
-            return {c: np.concatenate(x) if x else [] for c, x in out.items()}
+            ids, values, sizes = [], [], []
+            for text, wanted in zip(batch["text"], batch["wanted"]):
+                p = paragraphs(text)
+                here = np.isin(p["set_id"], np.array(wanted, np.int64))
+                ids.append(p["set_id"][here])
+                values.append(p["shingles"][np.repeat(here, p["n"])].view(np.int64))
+                sizes.append(p["n"][here])
+            return {"set_id": np.concatenate(ids) if ids else [], "shingles": _lists(values, sizes)}
 
         return step
 
-    prints = stored(map_batches(rows, "doc_id long, place int, print long, around long", make_prints))
-    shared = prints.groupBy("print").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "around") for n, f in (("low", F.min), ("high", F.max))]).where("low_doc_id < high_doc_id")
-    shared = shared.select("print", F.when(F.expr("low_around = high_around and low_around <> 0"), F.col("low_doc_id")).alias("first_doc"))
-    seeds = prints.drop("around").join(shared, "print").groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("first_doc").isNull(), F.col("place"))).alias("seeds"), F.array_sort(F.collect_set(F.when(F.col("first_doc").isNotNull(), F.struct("place", "print", "first_doc")))).alias("sure"),
-    )
-    more = RUN_WORDS - GRAM
-
-    def sure_runs(doc: int, sure: list[dict], w: dict[str, np.ndarray]):
-        """Rows of the words around fingerprints whose windows all repeat."""
-        for again in (False, True):
-            place, word, first_doc = (np.array([x[c] for x in sure], np.int64) for c in ("place", "print", "first_doc"))
-            at = np.searchsorted(w["print_at"], place)
-            own = at < len(w["print_at"])  # places may be of another row of the same doc_id
-            own[own] = (w["print_at"][at[own]] == place[own]) & (w["print"][at[own]] == word[own])
-            place, word, first_doc = place[own], word[own], first_doc[own]
-            _, first, which = np.unique(word, return_index=True, return_inverse=True)
-            gone = (first_doc < doc) | (place >= place[first][which] + RUN_WORDS + more) if len(place) else np.empty(0, bool)
-            place, word, first_doc = (x[gone == again] for x in (place, word, first_doc))
-            if len(place):
-                head = np.flatnonzero(np.r_[True, place[1:] > place[:-1] + RUN_WORDS + more])
-                begin, until = place[head] - more, place[np.r_[head[1:], len(place)] - 1] + RUN_WORDS
-                yield begin, until, w["begins"][begin], w["ends"][until - 1], np.minimum.reduceat(word, head), np.full(len(head), again), np.minimum.reduceat(first_doc, head)
-
-    def make_windows():
-        known = _Tokens()
+    return stored(map_batches(texts.select("text", "wanted"), "set_id long, shingles array<long>", make).dropDuplicates(["set_id"]))
 
-        def step(batch):
-            names = ("doc_id", "at", "until", "start", "end", "hash", "again", "first_doc")
-            out: dict[str, list] = {c: [] for c in names}
-            for doc, text, seeds, sure in zip(*(batch[c] for c in ("doc_id", "text", "seeds", "sure"))):
-                if len(known) > TOKENS_HELD:
-                    known.clear()
-                w = windows([text], known)
-                if not len(w["at"]):
-                    continue
-                for row in sure_runs(doc, sure, w):
-                    for c, x in zip(names, (np.full(len(row[0]), doc), *row)):
-                        out[c].append(x)
-                n = len(w["at"])
-                mark = np.zeros(n + RUN_WORDS + 1, np.int64)
-                seed = np.array(seeds, np.int64)
-                seed = seed[seed < n + more]
-                np.add.at(mark, np.maximum(seed - more, 0), 1)
-                np.add.at(mark, seed + 1, -1)
-                k = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                _, first, which = np.unique(w["hash"][k], return_index=True, return_inverse=True)
-                for c, x in (("doc_id", np.full(len(k), doc)), *((c, w[c][k]) for c in ("at", "start", "end", "hash")), ("again", k >= k[first][which] + RUN_WORDS), ("until", k + RUN_WORDS), ("first_doc", np.full(len(k), NO_DOC))):
-                    out[c].append(x)
-            return {c: np.concatenate(x) if x else [] for c, x in out.items()}
 
-        return step
+def _counted(keyed: DataFrame) -> DataFrame:
+    """The rows (key, set_id) of keys with several sets, and n, their number."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(several, "key")
 
-    every = stored(map_batches(rows.join(seeds, "doc_id"), "doc_id long, at int, until int, start int, end int, hash long, again boolean, first_doc long", make_windows))
-    sure = every.where(F.col("first_doc") != NO_DOC).select("doc_id", "at", "until", "start", "end", F.col("hash").alias("class_id"), "first_doc", F.col("again").alias("gone"))
-    every = every.where(F.col("first_doc") == NO_DOC).drop("first_doc", "until")
-    common = every.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").drop("last")
-    found = every.join(common, "hash").withColumn("gone", (F.col("first_doc") < F.col("doc_id")) | F.col("again"))
-    run = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "gone").orderBy("at"))
-    counted = found.withColumn("run", run).groupBy("doc_id", "gone", "run").agg(
-        F.min("at").alias("at"), (F.max("at") + RUN_WORDS).alias("until"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min("hash").alias("class_id"), F.min("first_doc").alias("first_doc"),
-    )
-    return sure.unionByName(counted.drop("run"))
 
+def _pairs(met: DataFrame) -> DataFrame:
+    few = met.where(F.col("n") <= MAX_BUCKET).select("key", F.col("set_id").alias("u"))
+    return few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v").distinct()
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (u, v) of similar long sets; sets: (set_id, shingles, bands), a set may come repeatedly.
 
-    Shingles are fetched for sets that share a band with another set only.
-    """
-    keyed = sets.select("set_id", F.explode("bands").alias("band"))
-    few_of = F.min("set_id").alias("one"), F.max("set_id").alias("other")
-    shared = keyed.groupBy("band").agg(*few_of, F.min_by("set_id", F.xxhash64("set_id")).alias("two")).where("one <> other")
-    met = stored(keyed.join(shared.select("band", "one", "two"), "band").distinct())
-    sizes = met.groupBy("band").agg(F.count("*").alias("n"))
-    met = met.join(sizes, "band")
-    few = met.where(F.col("n") <= MAX_BUCKET).select("band", F.col("set_id").alias("u"))
-    pairs = few.join(few.withColumnRenamed("u", "v"), "band").where("u > v").select("u", "v")
-    many = met.where(F.col("n") > MAX_BUCKET)
-    stars = [many.select(F.col("set_id").alias("u"), F.col(c).alias("v")).where("u <> v") for c in ("one", "two")]
-    both = stored(pairs.unionByName(stars[0]).unionByName(stars[1]).distinct())
-    wanted = both.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
-    text = stored(sets.select("set_id", "shingles").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
-    a = both.join(text.withColumnsRenamed({"set_id": "u", "shingles": "a"}), "u").join(text.withColumnsRenamed({"set_id": "v", "shingles": "b"}), "v")
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+    a = pairs.join(sets.withColumnsRenamed({"set_id": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"set_id": "v", "shingles": "b"}), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return a.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return a.where(5 * common >= 4 * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (u, v) that connect what is similar among the sets of one block, or of one block and another."""
+    pdf = pdf.drop_duplicates("set_id", ignore_index=True)
+    ids, sizes = pdf["set_id"].to_numpy(np.int64), pdf["shingles"].map(len).to_numpy(np.int64)
+    _, token = np.unique(np.concatenate(pdf["shingles"].to_list()), return_inverse=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(token, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(token[order]) > 0, True])
+    common = np.zeros((len(ids), len(ids)), np.int32)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        members = row[order[a:b]]
+        common[members[:, None], members] += 1
+    near = 5 * common >= 4 * (sizes[:, None] + sizes - common)
+    seen, out = np.zeros(len(ids), bool), []
+    for k in range(len(ids)):
+        todo = [] if seen[k] else [k]
+        seen[k] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            out += [(ids[i], ids[j]) for j in new]
+            todo += new.tolist()
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def crowded_links(sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all sets of `sets` (set_id, shingles ascending, four or more) that are similar to each other."""
+    n = F.size("shingles")
+    low = F.slice("shingles", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)
+    every = F.flatten(F.transform(low, lambda x, i: F.transform(F.slice(low, i + 2, F.size(low)), lambda y: F.xxhash64(x, y))))
+    keyed = sets.select("set_id", F.explode(F.array_distinct(every)).alias("key"))
+    met = stored(_counted(keyed))
+    links = _similar(_pairs(met), sets)
+    many = met.where(F.col("n") > MAX_BUCKET).join(sets, "set_id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = many.withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = many.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set_id", "shingles")
+    return links.unionByName(dealt.groupBy("key", "low", "high").applyInPandas(_forest, "u long, v long"))
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (u, v) between sets, enough to connect all that are similar; rows: paragraph_table(docs)."""
+    bands = [f"k{i}" for i in range(band_count(LONGEST + SHINGLE))]
+    keys = [F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(bands)]
+    one = rows.where(F.size("keys") > 0).select("set_id", *keys).groupBy("set_id").agg(*[F.min(c).alias(c) for c in bands])
+    keyed = one.select("set_id", F.explode(F.array_compact(F.array(*bands))).alias("key"))
+    # counted where the rows of a key meet, so that they are shuffled once; sets are distinct here
+    met = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    pairs = stored(_pairs(met))
+    crowded = met.where(F.col("n") > MAX_BUCKET).select("set_id").distinct()
+    sets = fetch_sets(docs, rows, pairs.select(F.explode(F.array("u", "v")).alias("set_id")).unionByName(crowded))
+    return _similar(pairs, sets).unionByName(crowded_links(sets.join(crowded, "set_id", "left_semi")))
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, words, class_id, first_doc, last_doc, n, gone): paragraphs whose class is in several documents; n: their number."""
+    rows = stored(paragraph_table(docs))
+    joined = cut(components(links(docs, rows)).select(F.col("node").alias("set_id"), "root"))
+    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    sets = stored(sets.join(joined, "set_id", "left").where("first < last or root is not null"))
+    named = sets.withColumn("class_id", F.coalesce("root", "set_id"))
+    classes = named.groupBy("class_id").agg(F.min("first").alias("first_doc"), F.max("last").alias("last_doc"), F.sum("n").alias("n")).where("first_doc < last_doc")
+    member = stored(named.select("set_id", "class_id").join(classes, "class_id"))
+    narrow = _maybe_in(rows.select("doc_id", "at", "words", "set_id"), "set_id", member.select("set_id"))
+    hits = narrow.join(member, "set_id").drop("set_id").distinct().repartition("doc_id")
+    again = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("at")) > 1
+    return hits.withColumn("gone", (F.col("doc_id") != F.col("first_doc")) | again)
+
+
+def _words_around(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, pos, before array<int>, after array<int>): hashes of the words before (nearest first) and from pos on, for asked (doc_id, pos)."""
+    asked = stored(asked.groupBy("doc_id").agg(F.collect_set("pos").alias("places")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
+
+    def make():
+        def step(batch):
+            out: dict[str, list] = {c: [] for c in ("doc_id", "pos", "before", "after")}
+            for doc, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
+                words = words_of(text)
+                h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).view(np.int32)
+                for p in places:
+                    for c, x in zip(out, (doc, p, h[max(0, p - REACH) : max(0, p)][::-1], h[max(0, p) : max(0, p + REACH)])):
+                        out[c].append(x)
+            return out
+
+        return step
+
+    return map_batches(texts.select("doc_id", "text", "places"), "doc_id long, pos int, before array<int>, after array<int>", make)
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays agree."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
+    return F.when(at == 0, F.size(a)).otherwise(at - 1)
+
+
+def grown_islands(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, island, start, end, left, right, class_id, first_doc): islands of touching paragraphs, with the words they grow by at either end."""
+    rep = hits.groupBy("class_id").agg(F.min(F.struct("doc_id", "at", "words")).alias("low"), F.max(F.struct("doc_id", "at", "words")).alias("high"))
+    islands = stored(hits.groupBy("doc_id", "island").agg(
+        F.min("at").alias("start"), F.max(F.col("at") + F.col("words")).alias("end"), F.min(F.struct("n", "at", "class_id", "words")).alias("rarest"),
+        F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"),
+    ))
+    pairs = islands.select("doc_id", "island", "start", "end", "rarest", F.col("rarest.class_id").alias("class_id")).join(rep, "class_id")
+    pairs = pairs.withColumn("other", F.when(F.col("low.doc_id") != F.col("doc_id"), F.col("low")).otherwise(F.col("high")))
+    # paragraphs that are similar only may differ at one edge: aligned at the first word and at the last
+    first = F.col("other.at") - F.col("rarest.at")
+    shifts = F.array_distinct(F.array(first, first + F.col("other.words") - F.col("rarest.words")))
+    sides = F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("left")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("left")))
+    ends = pairs.select("doc_id", "island", F.col("other.doc_id").alias("other"), F.explode(sides).alias("e"), shifts.alias("shifts"))
+    ends = ends.select("doc_id", "island", "other", "e.pos", "e.left", F.explode("shifts").alias("shift"))
+    ends = stored(ends.withColumn("other_pos", F.col("pos") + F.col("shift")).drop("shift"))
+    around = stored(_words_around(docs, ends.select("doc_id", "pos").unionByName(ends.select(F.col("other").alias("doc_id"), F.col("other_pos").alias("pos"))).distinct()))
+    there = around.select(F.col("doc_id").alias("other"), F.col("pos").alias("other_pos"), F.col("before").alias("b2"), F.col("after").alias("a2"))
+    both = ends.join(around, ["doc_id", "pos"]).join(there, ["other", "other_pos"])
+    grown = both.groupBy("doc_id", "island").agg(
+        F.max(F.when(F.col("left"), _agree(F.col("before"), F.col("b2")))).alias("left"), F.max(F.when(~F.col("left"), _agree(F.col("after"), F.col("a2")))).alias("right")
+    )
+    zero = F.lit(0)
+    return islands.drop("rarest").join(grown, ["doc_id", "island"], "left").withColumn("left", F.coalesce("left", zero)).withColumn("right", F.coalesce("right", zero))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, passage, start, end, n_words, class_id, first_doc, removed array of structs start, end).
+    """(doc_id, passage, start, end, n_words, class_id, first_doc, removed array of structs start, end); places count the words of the text.
 
     class_id is the smallest class of the passage's paragraphs, first_doc the smallest document with any of them.
     """
-    rows = stored(paragraph_table(docs))
-    long = rows.where("bands is not null").select("set_id", "shingles", "bands")
-    joined = cut(components(links(long)).select(F.col("node").alias("set_id"), "root"))
-
-    # the first occurrence of each set and the last document with it, aggregated before the shuffle
-    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    sets = stored(sets.join(joined, "set_id", "left").where("last > first or root is not null"))
-    classes = sets.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.max("last").alias("high")).where("high > low")
-    member = sets.where("root is not null").select("set_id", "root").join(classes, "root").select("set_id", F.col("root").alias("class_id"), F.col("low").alias("first_doc"))
-    alone = sets.where("root is null").select("set_id", F.col("set_id").alias("class_id"), F.col("first").alias("first_doc"))
-    narrow = rows.select("doc_id", "place", "start", "end", "words", "at", "reach", "set_id")
-    hits = narrow.join(alone.unionByName(member), "set_id").drop("set_id").distinct().repartition("doc_id")
-    in_class = Window.partitionBy("doc_id", "class_id").orderBy("place")
-    gone = ~((F.col("doc_id") == F.col("first_doc")) & (F.row_number().over(in_class) == 1))
-    hits = hits.withColumn("gone", gone).withColumn("until", F.col("at") + F.col("words")).drop("place", "words")
-    hits = hits.unionByName(repeated_windows(docs).withColumn("reach", F.col("until")))
-
-    # passages are islands of touching or overlapping pieces; what is to be removed is made disjoint
-    in_doc = Window.partitionBy("doc_id").orderBy("at", "until", "start", "end", "gone", "class_id")
+    in_doc = Window.partitionBy("doc_id").orderBy("at", "words", "class_id", "gone")
     before = in_doc.rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.select(
-        "*", F.max("reach").over(before).alias("reached"), F.max("until").over(before).alias("counted"),
-        F.max(F.when(F.col("gone"), F.col("end"))).over(before).alias("cut_to"),
-    )
-    hits = hits.withColumn("run", F.sum(F.when(F.col("at") <= F.col("reached"), 0).otherwise(1)).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    fresh = F.greatest(F.lit(0), F.col("until") - F.greatest("at", F.coalesce("counted", F.lit(0))))
-    new_cut = F.when(F.col("gone") & (F.col("end") > F.coalesce("cut_to", F.lit(-1))), F.struct(F.greatest("start", F.coalesce("cut_to", F.lit(0))).alias("start"), "end"))
-    runs = hits.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(fresh).alias("n_words"), F.min("class_id").alias("class_id"),
-        F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_list(new_cut)).alias("removed"),
+    hits = repeated_paragraphs(docs).withColumn("reached", F.max(F.col("at") + F.col("words")).over(before))
+    # what is to be removed grows apart from what stays, so that it covers its edges
+    apart = F.when((F.col("at") <= F.col("reached")) & (F.col("gone") == F.lag("gone").over(in_doc)), 0).otherwise(1)
+    hits = stored(hits.withColumn("island", F.sum(apart).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("reached"))
+    islands = grown_islands(docs, hits)
+
+    # what is to be removed of an island: its paragraphs that are gone, with the words grown next to them
+    spans = hits.where("gone").select("doc_id", "island", F.col("at").alias("a"), (F.col("at") + F.col("words")).alias("b")).distinct()
+    cuts = spans.groupBy("doc_id", "island").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    rows = islands.join(cuts, ["doc_id", "island"], "left")
+    grown = F.transform("cuts", lambda s: F.struct(
+        F.when(s["a"] == F.col("start"), s["a"] - F.col("left")).otherwise(s["a"]).alias("start"), F.when(s["b"] == F.col("end"), s["b"] + F.col("right")).otherwise(s["b"]).alias("end")
+    ))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    rows = rows.select("doc_id", "class_id", "first_doc", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"), F.coalesce(grown, none).alias("cuts"))
+
+    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("reached", reached)
+    apart = F.when(F.col("start") <= F.col("reached") + GAP, 0).otherwise(1)
+    rows = rows.withColumn("run", F.sum(apart).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"),
+        F.array_sort(F.flatten(F.collect_list("cuts"))).alias("removed"),
     )
-    found = runs.where(F.col("n_words") >= RUN_WORDS)
+    found = runs.where(F.col("end") - F.col("start") >= RUN_WORDS)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
-    return found.select("doc_id", number.alias("passage"), "start", "end", "n_words", "class_id", "first_doc", "removed")
+    return found.select("doc_id", number.alias("passage"), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "class_id", "first_doc", "removed")
 
 
-def cleaned(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, text) of every document with the paragraphs that are to be removed cut out of its text."""
-    cuts = passages.select("doc_id", F.explode("removed").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("cuts"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    text = F.col("text")
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
-    def add(a, c):
-        return F.struct(c["end"].alias("pos"), F.concat(a["out"], F.array(F.substring(text, a["pos"] + 1, c["start"] - a["pos"]))).alias("out"))
 
-    kept = F.aggregate("cuts", zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text))))
-    return docs.select("doc_id", "text").join(cuts, "doc_id", "left").select("doc_id", F.when(F.col("cuts").isNull(), text).otherwise(kept).alias("text"))
+def cleaned(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, text) of every row with the words that are to be removed, and what lies between them, cut out of its text."""
+    cuts = passages.select("doc_id", F.explode("removed").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("cuts"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts in zip(batch["text"].to_pylist(), batch["cuts"].to_pylist()):
+                if text and cuts:
+                    at = [m.span() for m in _WORD.finditer(text)]
+                    parts, pos = [], 0
+                    for c in cuts:
+                        if c["start"] < min(c["end"], len(at)):
+                            parts.append(text[pos : max(pos, at[c["start"]][0])])
+                            pos = max(pos, at[min(c["end"], len(at)) - 1][1])
+                    text = "".join(parts) + text[pos:]
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(cuts, "doc_id", "left")
+    return rows.select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

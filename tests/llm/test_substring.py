@@ -3,97 +3,124 @@ import random
 import numpy as np
 
 from pseudolake.llm import substring
+from pseudolake.llm.common import components, words_of
 
 
 def sentences(rng, n):
-    return " ".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(rng.randint(4, 14))) + "." for _ in range(n))
+    return " ".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(rng.randint(1, 24))) + "." for _ in range(n))
 
 
-def test_planted_passages(spark):
-    rng = random.Random(3)
-    shared = [sentences(rng, 8) for _ in range(6)]
-    long = " ".join(f"word{k}" for k in range(60))
-    near = long.replace("word59", "other")
-    rows = [(i, sentences(rng, 10) + "\n" + sentences(rng, 3)) for i in range(40)]
-    for i in range(0, 18):
-        t = rows[i][1]
-        cut = t.index(" ", len(t) // 2)
-        rows[i] = (i, t[:cut] + " " + shared[i % 6] + t[cut:])
-    rows += [(50, sentences(rng, 3) + "\n" + long + ".\n" + sentences(rng, 2)), (51, sentences(rng, 3) + "\n" + near + ".\n" + sentences(rng, 2))]
-    rows += [(60, None), (61, ""), (None, shared[0]), (30, rows[30][1]), (62, "Common short line here again.\nx " * 30), (63, "Common short line here again.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as place", "2 as start", "3 as first")
-    got = substring.repeated_passages(df).collect()
-    assert {r.doc_id for r in got} == {*range(18), 50, 51}
-    text = {i: t for i, t in rows if i is not None}
-    for r in got:
-        part = text[r.doc_id][r.start : r.end]
-        assert part in text[r.doc_id] and len(part.split()) >= r.n_words >= substring.RUN_WORDS
-        if r.doc_id < 18:
-            assert part.split()[5:] and part[-20:] in shared[r.doc_id % 6] + text[r.doc_id]
-            assert r.first_doc == r.doc_id % 6 and (r.doc_id < 6) == (not r.removed)
-    assert {r.doc_id: r.class_id for r in got}[50] == {r.doc_id: r.class_id for r in got}[51]
-    clean = {r.doc_id: r.text for r in substring.cleaned(df.where("doc_id < 60").dropDuplicates(["doc_id"]), substring.repeated_passages(df)).collect()}
-    assert clean[20] == text[20] and clean[3] == text[3] and len(clean[9]) < len(text[9]) - 100
-    assert substring.repeated_passages(df.limit(0)).count() == 0
+def similarity(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
 
 
-def test_links_equal_brute_force(spark):
-    rng = np.random.default_rng(5)
-    base = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(25)]
-    sets = base + [np.unique(np.r_[b[k:], rng.integers(0, 1 << 62, k).astype(np.uint64)]) for b in base for k in (1, 3, 6)]
-    bands = substring._bands(np.concatenate(sets), np.array([len(s) for s in sets]))
-    rows = [(k, s.view(np.int64).tolist(), b.tolist()) for k, (s, b) in enumerate(zip(sets, bands))]
-    df = spark.createDataFrame(rows, "set_id long, shingles array<long>, bands array<long>")
-    got = {tuple(sorted((r.u, r.v))) for r in substring.links(df).collect()}
-    j = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if j(sets[a], sets[b]) >= 0.8}
-    assert got == want
-
-
-def test_places_are_code_points():
-    t = "\t Éa bb cc dd ee.  ff gg\u00a0hh ii jj kk?\n\nll 😀 mm nn oo pp qq. short one."
-    got = substring.paragraphs([None, t, "", "w " * 50000], substring._Tokens())
-    own = got["text"] == 1
-    assert [t[a:b] for a, b in zip(got["start"][own], got["end"][own])] == ["Éa bb cc dd ee.", "ff gg\u00a0hh ii jj kk?", "ll 😀 mm nn oo pp qq."]
-    assert got["place"][own].tolist() == [0, 1, 2] and (got["text"] == 3).any() and not (got["text"] == 0).any()
-    assert len(substring.paragraphs([None], substring._Tokens())["text"]) == 0
-
-
-def test_verbatim_runs_equal_brute_force(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    shared = [[word() for _ in range(n)] for n in (29, 30, 31, 45, 58)]
-    shared[4][20] += "."  # no whole sentence of 30 words
+def test_paragraphs():
+    rng = random.Random(2)
+    for t in [None, "", "a b c d", "a b c d e", "é " * 3000, sentences(rng, 60), "One two. Three four five?\nsix\n\n7 eight nine ten 11 12"]:
+        p, words = substring.paragraphs(t), words_of(t)
+        end = p["at"] + p["words"]
+        assert (p["words"] >= substring.SHINGLE).all() and (p["words"] <= substring.LONGEST + substring.SHINGLE).all()
+        assert (p["at"][1:] == end[:-1]).all() and (not words[4:] or (p["at"][0] == 0 and end[-1] >= len(words) - 4))
+        assert p["n"].sum() == len(p["shingles"]) and (p["n"] <= p["words"] - 4).all()
+    assert substring.paragraphs("One two. Three four five?\nsix\n\n7 eight nine ten 11 12")["at"].tolist() == [0, 5]
+
+
+def test_bands_hold_every_similar_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        a = rng.integers(0, 1 << 62, rng.integers(4, 17))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 3))])
+        a = np.unique(a)
+        if len(b) > 3 and similarity(a, b) >= 0.8:
+            assert set(a[: substring.band_count(len(a))]) & set(b[: substring.band_count(len(b))])
+
+
+def test_passages_equal_brute_force(spark):
+    """Every run of RUN_WORDS words that an earlier document has is in a passage, and passages hold no more than repeats."""
+    rng = random.Random(3)
+    shared = [sentences(rng, 30).split()[:n] for n in (40, 49, 50, 51, 58, 66, 90, 140)]
     rows = []
-    for i in range(15):
-        own = [word() for _ in range(rng.randint(5, 90))]
+    for i in range(48):
+        own = sentences(rng, rng.randint(2, 12)).split()
         at = rng.randrange(len(own))
-        rows.append((i, " ".join(own[:at] + shared[i % 5] + own[at:]) + "\n" + " - ".join(word() for _ in range(3))))
-    rows += [(20, "w " * 100), (21, "w " * 40)]
-    copy = " ".join(word() for _ in range(400))
-    rows += [(k, copy) for k in (25, 26)] + [(27, copy.replace(copy.split()[200], "edited"))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    grams = {}
-    words = {i: [w.strip(".") for w in t.split() if w != "-"] for i, t in rows}
+        rows.append((i, " ".join(own[:at] + shared[i % 8] + own[at:]) + "\n" + " - ".join("abc")))
+    copy = sentences(rng, 40)
+    rows += [(60, copy), (61, copy), (62, copy.replace(copy.split()[200], "edited")), (70, None), (71, ""), (None, copy), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as at", "2 as words", "3 as keys", "4 as start")
+    words = {i: words_of(t) for i, t in rows if i is not None}
+    grams: dict = {}
     for i, w in words.items():
-        for k in range(len(w) - 29):
-            grams.setdefault(tuple(w[k : k + 30]), set()).add(i)
-    want = {i: sorted({j for k in range(len(w) - 29) if len(grams[tuple(w[k : k + 30])]) > 1 for j in range(k, k + 30)}) for i, w in words.items()}
-    got = {r.doc_id: r for r in substring.repeated_passages(df).collect()}
+        for k in range(len(w) - 49):
+            grams.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i: {j for k in range(len(w) - 49) if len(grams[tuple(w[k : k + 50])]) > 1 for j in range(k, k + 50)} for i, w in words.items()}
+    got: dict = {}
+    for r in substring.repeated_passages(df).collect():
+        assert r.n_words == r.end - r.start >= substring.RUN_WORDS
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        if r.doc_id < 60:
+            assert r.first_doc == r.doc_id % 8 and bool(r.removed) == (r.doc_id >= 8)
+    assert {i for i in want if want[i]} == set(got)
+    for i in got:
+        assert want[i] <= got[i] and len(got[i] - want[i]) <= (3 if i > 59 else 2), i
+    clean = {r.doc_id: r.text for r in substring.cleaned(df.where("doc_id is not null").dropDuplicates(["doc_id"]), substring.repeated_passages(df)).collect()}
     text = dict(rows)
-    assert set(got) == {i for i in want if want[i]} == {i for i in range(15) if i % 5} | {20, 21, 25, 26, 27}
-    assert {i: got[i].n_words for i in (25, 26)} == {25: 400, 26: 400}
-    for i, r in got.items():
-        if i == 27:  # an edit between two passages
-            continue
-        assert r.n_words == len(want[i]) and text[i][r.start : r.end].replace(".", "").split() == [words[i][j] for j in want[i]]
-        assert r.first_doc == (25 if i > 24 else 20 if i > 19 else i % 5) and bool(r.removed) == (i not in (*range(5), 25))
-    passages = [r.n_words for r in sorted(substring.repeated_passages(df).where("doc_id = 27").collect(), key=lambda r: r.start)]
-    assert passages == [200, 199]
-    clean = {r.doc_id: r.text for r in substring.cleaned(df, substring.repeated_passages(df)).collect()}
-    assert len(clean[20].split()) == 30 and clean[21].split() == [] and len(clean[9].split()) == len(text[9].split()) - 58
-
-
-def test_places_in_words():
-    got = substring.paragraphs(["a b.\nc d e f g. x y. h i j k l m.", None, "", "-", "n o p q r.", "s t."], substring._Tokens())
-    assert got["at"].tolist() == [2, 9, 0] and got["reach"].tolist() == [9, 15, 5]
+    assert clean[3] == text[3] and clean[60] == text[60] and not words_of(clean[61]) and clean[70] is None
+    assert 0 <= len(words_of(clean[15])) - (len(words[15]) - 140) <= substring.LONGEST  # edges beside paragraphs that are only similar can stay
+    assert substring.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_sentences(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    one = [[word() for _ in range(15)] for _ in range(4)]
+    text = lambda s: " ".join(" ".join(x) + "." for x in s)
+    rows = [(1, text(one)), (2, text([[*s[:-1], word()] for s in one])), (3, text([[word() for _ in range(15)] for _ in range(4)]))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, bool(r.removed)) for r in got) == [(1, 60, False), (2, 60, True)]
+
+
+def _classes_match(spark, texts):
+    sets = {}
+    for t in texts:
+        p = substring.paragraphs(t)
+        for s, i in zip(np.split(p["shingles"], np.cumsum(p["n"])[:-1]), p["set_id"].tolist()):
+            sets[i] = s
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if similarity(sets[ids[a]], sets[ids[b]]) >= 0.8:
+                x, y = sorted((find(ids[a]), find(ids[b])))
+                root[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.node: r.root for r in components(substring.links(df, substring.paragraph_table(df))).collect()}
+    assert {i: found.get(i, i) for i in ids} == {i: find(i) for i in ids}
+    return len({find(i) for i in ids}), len(ids)
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(rng.randint(8, 16))] for _ in range(30)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-k], *(word() for _ in range(k))]) for b in base for k in (1, 2)]
+    classes, n = _classes_match(spark, texts)
+    assert classes < n
+
+
+def test_crowded_bands_lose_no_link(spark, monkeypatch):
+    """200 sets share most of their shingles, of which some are linked and most are not."""
+    monkeypatch.setattr(substring, "BLOCK", 64)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    stem = [word() for _ in range(11)]
+    texts = [" ".join([*stem, *(word() for _ in range(5))]) for _ in range(150)]
+    texts += [" ".join([*t.split()[:-1], word()]) for t in texts[:40]]
+    texts += [" ".join([*stem, word(), word()]) for _ in range(60)]
+    classes, n = _classes_match(spark, texts)
+    assert n == 250 and 1 < classes < n
