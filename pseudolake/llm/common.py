@@ -60,6 +60,40 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap: SPARSE for each value in it, but no more than MAX_BITS (8 MB).
+SPARSE, MAX_BITS = 256, 1 << 26
+
+
+def bitmap(values: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Bytes whose bit `value mod size` is set for each value; they reach the driver 64 bits a row, MAX_BITS / 64 rows at most."""
+    size = min(MAX_BITS, 1 << max(10, (SPARSE * values.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(size - 1).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = values.select(F.shiftright(place, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8), size
+
+
+def may_be(values: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    """The indexes of the unsigned values that a bitmap may hold: all that it holds, and few others while it is sparse."""
+    place = values & np.uint64(size - 1)
+    return np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """`rows` without most of those whose long `column` is not among that of `ids`, and null; an exact join has to follow."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(column).distinct(), column))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = may_be(batch[column].to_numpy(zero_copy_only=False).view(np.uint64), *shared.value)
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    return rows.where(F.col(column).isNotNull()).mapInArrow(run, rows.schema)
+
+
 def held_out(id_col: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder `part` modulo `parts`; a null id counts as ''."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == part

@@ -7,7 +7,7 @@ necessary prefix (and a window with a shingle that the corpus lacks occurs nowhe
 prefix at place p of a document with offset o in a window proposes the place p - o, which has to lie inside the
 document (position and length bounds), and the words there are then compared with the whole window.
 
-Both sides of the join are shuffled; only a bitmap of MAX_BITS bits at most is broadcast, which keeps the places of
+Both sides of the join are shuffled; only a bitmap of bounded size (common.MAX_BITS bits) is broadcast, which keeps the places of
 documents apart that can't be a prefix. Texts are read twice, whatever the size of the benchmark (and a third time to
 count words). Equal texts are joined once, by a 128-bit hash.
 
@@ -24,11 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, mixed, stored, table, words_of
+from .common import bitmap, map_batches, may_be, mixed, stored, table, words_of
 
 SHINGLE = 3
-#: Bits of the bitmap: SPARSE for each hash in it, but no more than MAX_BITS (8 MB).
-SPARSE, MAX_BITS = 256, 1 << 26
 #: Hashes that a task holds before it counts them.
 HELD = 1_000_000
 
@@ -83,27 +81,11 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
     return map_batches(windows.select("window", "words"), "window binary, n int, shingle long, offset int", make)
 
 
-def _bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Bytes whose bit `hash mod size` is set for each hash; they reach the driver 64 bits a row, MAX_BITS / 64 rows at most."""
-    size = min(MAX_BITS, 1 << max(10, (SPARSE * hashes.count()).bit_length()))
-    place = F.col(column).bitwiseAND(F.lit(size - 1).cast("long"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    got = hashes.select(F.shiftright(place, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint8), size
-
-
-def _may_be(h: np.ndarray, bitmap: np.ndarray, size: int) -> np.ndarray:
-    place = h & np.uint64(size - 1)
-    return np.flatnonzero(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-
-
 def _shingle_counts(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
     """(shingle, n): how often the hashes in the bitmap occur in all documents."""
 
     def make():
-        bitmap, size = shared.value
+        bits, size = shared.value
 
         def step(batch):
             held, total, found = [], 0, []
@@ -117,7 +99,7 @@ def _shingle_counts(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
                 words = words_of(text)
                 for k in sizes:
                     h = shingle_hashes(words, k)
-                    held.append(h[_may_be(h, bitmap, size)])
+                    held.append(h[may_be(h, bits, size)])
                     total += len(held[-1])
                 if total > HELD:
                     pour()
@@ -134,7 +116,7 @@ def _candidates(docs: DataFrame, shared, sizes: list[int], window: int) -> DataF
     """(key1, key2, place, n_words, shingle, around, at): places of documents whose shingle may be a prefix, with the words around (place: around[at])."""
 
     def make():
-        bitmap, size = shared.value
+        bits, size = shared.value
 
         def step(batch):
             out: dict[str, list] = {c: [] for c in ("key1", "key2", "place", "n_words", "shingle", "around", "at")}
@@ -142,7 +124,7 @@ def _candidates(docs: DataFrame, shared, sizes: list[int], window: int) -> DataF
                 words = words_of(text)
                 for k in sizes:
                     h = shingle_hashes(words, k)
-                    for p in _may_be(h, bitmap, size).tolist():
+                    for p in may_be(h, bits, size).tolist():
                         a = max(0, p - window + 1)
                         for c, x in zip(out, (key1, key2, p, len(words), int(h[p].view(np.int64)), words[a : p + window], p - a)):
                             out[c].append(x)
@@ -167,10 +149,10 @@ def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     shingles = stored(_window_shingles(windows))
     sizes = sorted(r.size for r in shingles.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect())  # SHINGLE rows at most
     texts = docs.select("text")
-    counts = _shingle_counts(texts, sc.broadcast(_bitmap(shingles.select("shingle").distinct(), "shingle")), sizes).withColumnRenamed("n", "seen")
+    counts = _shingle_counts(texts, sc.broadcast(bitmap(shingles.select("shingle").distinct(), "shingle")), sizes).withColumnRenamed("n", "seen")
     ranked = shingles.join(counts, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset", "n")).alias("rarest"))
     prefixes = stored(ranked.where("rarest.seen > 0").select("window", "rarest.shingle", "rarest.offset", "rarest.n"))
-    cand = _candidates(docs, sc.broadcast(_bitmap(prefixes.select("shingle").distinct(), "shingle")), sizes, window)
+    cand = _candidates(docs, sc.broadcast(bitmap(prefixes.select("shingle").distinct(), "shingle")), sizes, window)
     begin = F.col("place") - F.col("offset")
     near = cand.join(prefixes.join(windows, "window"), "shingle").where((begin >= 0) & (begin + F.col("n") <= F.col("n_words")))
     same = near.where(F.slice("around", F.col("at") - F.col("offset") + 1, F.col("n")) == F.col("words"))

@@ -35,14 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, components, cut, map_batches, mixed, stored, table, words_of
+from .common import WORD_TABLE, components, cut, map_batches, maybe_in, mixed, stored, table, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-LONGEST, WINDOW = 16, 12
+LONGEST, WINDOW = 20, 16
 MAX_BUCKET, BLOCK = 32, 256
-RUN_WORDS, REACH, GAP = 50, 32, 2
-#: Slots (bytes) of the filters over hashes of ids: 16 for each id, but no more than MAX_SLOTS.
-MAX_SLOTS = 1 << 22
+RUN_WORDS, REACH, GAP = 50, 28, 2
 
 _ENDS = bytes(10 if chr(b) in ".?!\n\r" else c for b, c in enumerate(WORD_TABLE))
 
@@ -70,13 +68,15 @@ def paragraphs(text: str | None) -> dict[str, np.ndarray]:
             np.maximum(lowest[k : k + len(low)], low, out=lowest[k : k + len(low)])
     is_cut = h == lowest
     starts, last, at = [0], 0, 0
-    for line in data.split(b"\n"):
-        n = line.count(b" ") and len(line.split()) or (1 if line.strip() else 0)
-        if n > LONGEST:
-            for x in (at + np.flatnonzero(is_cut[at : at + n])).tolist():
+    byte = np.frombuffer(data, np.uint8)
+    space = (byte == 32) | (byte == 10)
+    ends = np.cumsum(~space & np.r_[True, space[:-1]])[byte == 10]  # words before each end of a sentence
+    for end in [*ends.tolist(), total]:
+        if end - at > LONGEST:
+            for x in (at + np.flatnonzero(is_cut[at:end])).tolist():
                 if x - last >= SHINGLE:
                     starts.append(last := x)
-        at += n
+        at = end
         if at - last >= SHINGLE and at < total:
             starts.append(last := at)
     start = np.array(starts, np.int64)
@@ -133,22 +133,13 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
     return map_batches(rows, "doc_id long, at int, words int, set_id long, keys array<long>", make)
 
 
-def _maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """`rows` without most of those whose `column` is not among `ids` (a filter of bounded size; an exact join has to follow)."""
-    slots = min(MAX_SLOTS, 16 << max(6, ids.count().bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
-    wanted = np.zeros(slots, np.uint8)
-    wanted[ids.select(slot(F.col(column)).alias("s")).distinct().toArrow()["s"].to_numpy()] = 1  # `slots` rows at most
-    return rows.where(F.substring(F.lit(bytearray(wanted.tobytes())), slot(F.col(column)) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
-
-
 def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again from the first document that has it."""
     ids = ids.distinct()
-    at = _maybe_in(rows.select("set_id", "doc_id"), "set_id", ids).join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    at = maybe_in(rows.select("set_id", "doc_id"), "set_id", ids).join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     asked = stored(at.groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted")))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = _maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
+    texts = maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
 
     def make():
         def step(batch):
@@ -248,32 +239,33 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     named = sets.withColumn("class_id", F.coalesce("root", "set_id"))
     classes = named.groupBy("class_id").agg(F.min("first").alias("first_doc"), F.max("last").alias("last_doc"), F.sum("n").alias("n")).where("first_doc < last_doc")
     member = stored(named.select("set_id", "class_id").join(classes, "class_id"))
-    narrow = _maybe_in(rows.select("doc_id", "at", "words", "set_id"), "set_id", member.select("set_id"))
-    hits = narrow.join(member, "set_id").drop("set_id").distinct().repartition("doc_id")
+    narrow = maybe_in(rows.select("doc_id", "at", "words", "set_id"), "set_id", member.select("set_id"))
+    hits = narrow.join(member, "set_id").drop("set_id").repartition("doc_id").distinct()
     again = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("at")) > 1
     return hits.withColumn("gone", (F.col("doc_id") != F.col("first_doc")) | again)
 
 
 def _words_around(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, pos, before array<int>, after array<int>): hashes of the words before (nearest first) and from pos on, for asked (doc_id, pos)."""
-    asked = stored(asked.groupBy("doc_id").agg(F.collect_set("pos").alias("places")))
+    """(doc_id, pos, left, words array<int>): hashes of the words before pos (left, nearest first) or from pos on, for asked (doc_id, pos, left)."""
+    asked = stored(asked.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "left")).alias("places")))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = _maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
+    texts = maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
 
     def make():
         def step(batch):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "pos", "before", "after")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "pos", "left", "words")}
             for doc, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
                 words = words_of(text)
-                h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).view(np.int32)
-                for p in places:
-                    for c, x in zip(out, (doc, p, h[max(0, p - REACH) : max(0, p)][::-1], h[max(0, p) : max(0, p + REACH)])):
+                for place in places:
+                    p, left = place["pos"], place["left"]
+                    near = words[max(0, p - REACH) : max(0, p)][::-1] if left else words[max(0, p) : max(0, p + REACH)]
+                    for c, x in zip(out, (doc, p, left, np.fromiter(map(zlib.crc32, near), np.uint32, len(near)).view(np.int32))):
                         out[c].append(x)
             return out
 
         return step
 
-    return map_batches(texts.select("doc_id", "text", "places"), "doc_id long, pos int, before array<int>, after array<int>", make)
+    return map_batches(texts.select("doc_id", "text", "places"), "doc_id long, pos int, left boolean, words array<int>", make)
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -298,12 +290,12 @@ def grown_islands(docs: DataFrame, hits: DataFrame) -> DataFrame:
     ends = pairs.select("doc_id", "island", F.col("other.doc_id").alias("other"), F.explode(sides).alias("e"), shifts.alias("shifts"))
     ends = ends.select("doc_id", "island", "other", "e.pos", "e.left", F.explode("shifts").alias("shift"))
     ends = stored(ends.withColumn("other_pos", F.col("pos") + F.col("shift")).drop("shift"))
-    around = stored(_words_around(docs, ends.select("doc_id", "pos").unionByName(ends.select(F.col("other").alias("doc_id"), F.col("other_pos").alias("pos"))).distinct()))
-    there = around.select(F.col("doc_id").alias("other"), F.col("pos").alias("other_pos"), F.col("before").alias("b2"), F.col("after").alias("a2"))
-    both = ends.join(around, ["doc_id", "pos"]).join(there, ["other", "other_pos"])
-    grown = both.groupBy("doc_id", "island").agg(
-        F.max(F.when(F.col("left"), _agree(F.col("before"), F.col("b2")))).alias("left"), F.max(F.when(~F.col("left"), _agree(F.col("after"), F.col("a2")))).alias("right")
-    )
+    here, there = ends.select("doc_id", "pos", "left"), ends.select(F.col("other").alias("doc_id"), F.col("other_pos").alias("pos"), "left")
+    around = stored(_words_around(docs, here.unionByName(there).distinct()))
+    there = around.withColumnsRenamed({"doc_id": "other", "pos": "other_pos", "words": "there"})
+    both = ends.join(around, ["doc_id", "pos", "left"]).join(there, ["other", "other_pos", "left"])
+    by = _agree(F.col("words"), F.col("there"))
+    grown = both.groupBy("doc_id", "island").agg(F.max(F.when(F.col("left"), by)).alias("left"), F.max(F.when(~F.col("left"), by)).alias("right"))
     zero = F.lit(0)
     return islands.drop("rarest").join(grown, ["doc_id", "island"], "left").withColumn("left", F.coalesce("left", zero)).withColumn("right", F.coalesce("right", zero))
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from pseudolake.llm import decontaminate
+from pseudolake.llm import common, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
 def test_crowded_bitmap_gives_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i * 3 + k}" for k in range(14))) for i in range(9)] + [(20, "w3 w4"), (21, "w5")]
     docs = [(i, "aa " + items[i][1] + " bb " + items[(i + 1) % 9][1]) for i in range(9)]
-    monkeypatch.setattr(decontaminate, "MAX_BITS", 64)
+    monkeypatch.setattr(common, "MAX_BITS", 64)
     monkeypatch.setattr(decontaminate, "HELD", 10)
     assert run(spark, docs, items) == brute(docs, items)
 
