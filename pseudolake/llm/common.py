@@ -46,6 +46,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_checkpoints(df.sparkSession)

@@ -50,6 +50,16 @@ def band_count(n):
     return n - -(-n * 4 // 5) + 1
 
 
+def _over_windows(f, x: np.ndarray) -> np.ndarray:
+    """f (minimum or maximum) over each WINDOW neighbours."""
+    size = 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        x = f(x[:-step], x[step:])
+        size += step
+    return x
+
+
 def paragraphs(text: str | None) -> dict[str, np.ndarray]:
     """The paragraphs of a text: at (words before), words, and its set: n (distinct shingles), set_id, and all sets' shingles, ascending."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(_ENDS)
@@ -61,11 +71,9 @@ def paragraphs(text: str | None) -> dict[str, np.ndarray]:
     h = mixed(np.fromiter(map(zlib.crc32, words), np.uint64, total))
     lowest = np.zeros(total, np.uint64)
     if total > LONGEST:
-        low = h[: total - WINDOW + 1].copy()
-        for k in range(1, WINDOW):
-            np.minimum(low, h[k : k + len(low)], out=low)
-        for k in range(WINDOW):
-            np.maximum(lowest[k : k + len(low)], low, out=lowest[k : k + len(low)])
+        low = _over_windows(np.minimum, h)
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        lowest = _over_windows(np.maximum, np.concatenate([edge, low, edge]))
     is_cut = h == lowest
     starts, last, at = [0], 0, 0
     byte = np.frombuffer(data, np.uint8)
@@ -112,15 +120,15 @@ def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, words, set_id, keys): the paragraphs of all texts with their bands; sets that nothing but an equal set is similar to have none."""
+    """(doc_id, at, words, n, set_id, keys): the paragraphs of all texts with their bands; sets that nothing but an equal set is similar to have none."""
 
     def make():
         def step(batch):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "at", "words", "set_id")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "at", "words", "n", "set_id")}
             keys, sizes = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 p = paragraphs(text)
-                for c, x in (("doc_id", np.full(len(p["n"]), doc)), *((c, p[c]) for c in ("at", "words", "set_id"))):
+                for c, x in (("doc_id", np.full(len(p["n"]), doc)), *((c, p[c]) for c in ("at", "words", "n", "set_id"))):
                     out[c].append(x)
                 key, size = _smallest(p, np.where(p["n"] >= 4, band_count(p["n"]), 0))
                 keys.append(key)
@@ -130,11 +138,14 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
         return step
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, "doc_id long, at int, words int, set_id long, keys array<long>", make)
+    return map_batches(rows, "doc_id long, at int, words int, n int, set_id long, keys array<long>", make)
 
 
 def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again from the first document that has it."""
+    """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again from the first document that has it.
+
+    A set comes twice only where several rows have that document's id.
+    """
     ids = ids.distinct()
     at = maybe_in(rows.select("set_id", "doc_id"), "set_id", ids).join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     asked = stored(at.groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted")))
@@ -147,6 +158,7 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
             for text, wanted in zip(batch["text"], batch["wanted"]):
                 p = paragraphs(text)
                 here = np.isin(p["set_id"], np.array(wanted, np.int64))
+                here[here] = np.isin(np.flatnonzero(here), np.flatnonzero(here)[np.unique(p["set_id"][here], return_index=True)[1]])
                 ids.append(p["set_id"][here])
                 values.append(p["shingles"][np.repeat(here, p["n"])].view(np.int64))
                 sizes.append(p["n"][here])
@@ -154,18 +166,20 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
 
         return step
 
-    return stored(map_batches(texts.select("text", "wanted"), "set_id long, shingles array<long>", make).dropDuplicates(["set_id"]))
+    return stored(map_batches(texts.select("text", "wanted"), "set_id long, shingles array<long>", make))
 
 
 def _counted(keyed: DataFrame) -> DataFrame:
-    """The rows (key, set_id) of keys with several sets, and n, their number."""
+    """The rows (key, set_id, size) of keys with several sets, and n, their number."""
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return keyed.join(several, "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    few = met.where(F.col("n") <= MAX_BUCKET).select("key", F.col("set_id").alias("u"))
-    return few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v").distinct()
+    """(u, v): sets (set_id, size) that meet in a key which isn't crowded, and whose sizes allow for a similarity of 0.8."""
+    few = met.where(F.col("n") <= MAX_BUCKET).select("key", F.col("set_id").alias("u"), F.col("size").alias("size_u"))
+    both = few.join(few.withColumnsRenamed({"u": "v", "size_u": "size_v"}), "key")
+    return both.where("u < v and 5 * size_u >= 4 * size_v and 5 * size_v >= 4 * size_u").select("u", "v").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,7 +220,7 @@ def crowded_links(sets: DataFrame) -> DataFrame:
     n = F.size("shingles")
     low = F.slice("shingles", 1, n - F.ceil(n * 4 / 5).cast("int") + 2)
     every = F.flatten(F.transform(low, lambda x, i: F.transform(F.slice(low, i + 2, F.size(low)), lambda y: F.xxhash64(x, y))))
-    keyed = sets.select("set_id", F.explode(F.array_distinct(every)).alias("key"))
+    keyed = sets.select("set_id", F.size("shingles").alias("size"), F.explode(F.array_distinct(every)).alias("key"))
     met = stored(_counted(keyed))
     links = _similar(_pairs(met), sets)
     many = met.where(F.col("n") > MAX_BUCKET).join(sets, "set_id")
@@ -220,8 +234,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (u, v) between sets, enough to connect all that are similar; rows: paragraph_table(docs)."""
     bands = [f"k{i}" for i in range(band_count(LONGEST + SHINGLE))]
     keys = [F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(bands)]
-    one = rows.where(F.size("keys") > 0).select("set_id", *keys).groupBy("set_id").agg(*[F.min(c).alias(c) for c in bands])
-    keyed = one.select("set_id", F.explode(F.array_compact(F.array(*bands))).alias("key"))
+    one = rows.where(F.size("keys") > 0).select("set_id", "n", *keys).groupBy("set_id").agg(F.min("n").alias("size"), *[F.min(c).alias(c) for c in bands])
+    keyed = one.select("set_id", "size", F.explode(F.array_compact(F.array(*bands))).alias("key"))
     # counted where the rows of a key meet, so that they are shuffled once; sets are distinct here
     met = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     pairs = stored(_pairs(met))
