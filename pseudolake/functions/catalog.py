@@ -17,6 +17,11 @@ class Pattern(NamedTuple):
         """Unicode classes and boundaries, as the patterns are written for them."""
         return ("(?iuU)" if self.ignore_case else "(?U)") + self.regex
 
+    @property
+    def java_needs(self) -> str:
+        """`needs`, by the same rules for digits and case, so that it is never narrower than the pattern."""
+        return ("(?iuU)" if "\\d" in self.needs else "") + self.needs
+
 
 # The categories, and for each the patterns that find it.
 TYPES = ("PERSON", "SURNAME", "POSITION", "DEPARTMENT", "ORG", "LOC", "PRODUCT", "PASSPORT", "PHONE", "EMAIL", "WEB", "INN", "MONEY", "MISC")

@@ -110,6 +110,23 @@ def one_line(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"\s*\n+\s*", " / ")
 
 
+def fmt_cell(c: Column, kind: str = "string") -> Column:
+    """A cell as people read it: ISO dates (times only where there is one), no escaped carriage returns, one line; null becomes ''."""
+    if kind == "date":
+        shown = F.date_format(c, "yyyy-MM-dd")
+    elif kind.startswith("timestamp"):
+        shown = F.when(c == F.date_trunc("day", c).cast(kind), F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    else:
+        shown = normalize_line(F.replace(c.cast("string"), F.lit("_x000D_"), F.lit("")))
+    return F.coalesce(shown, F.lit(""))
+
+
+def prefixed_model(c: Column, provider: str) -> Column:
+    """What follows "provider/" in a model's name, null for other names; the provider in any case."""
+    name = F.regexp_extract(F.trim(c), r"(?s)^[^/]*/(.+)$", 1)
+    return F.when((F.lower(F.substring_index(F.trim(c), "/", 1)) == provider) & (name != ""), name)
+
+
 def find_lines(text: Column, needle: str) -> Column:
     """The lines with `needle`, whatever the case and ё or е."""
     fold = lambda c: F.translate(F.lower(c), "ё", "е")

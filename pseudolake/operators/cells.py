@@ -66,7 +66,8 @@ def table_overview(cells: DataFrame) -> DataFrame:
 
 
 def rows_to_markdown(cells: DataFrame) -> DataFrame:
-    """(doc_id, sheet, markdown): the whole grid, its first row the heading, missing cells empty."""
+    """(doc_id, sheet, markdown): the whole grid, its first row the heading, missing cells empty; of repeated cells the least value."""
+    cells = cells.groupBy(*GRID, "row", "col").agg(F.min("value").alias("value"))
     width = Window.partitionBy(*GRID)
     rows = cells.withColumn("n_cols", F.max("col").over(width)).groupBy(*GRID, "row").agg(F.max("n_cols").alias("n_cols"), F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit(""))))).alias("m"))
     line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n_cols")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))), " | "), F.lit(" |"))

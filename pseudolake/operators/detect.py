@@ -30,7 +30,7 @@ def regex_spans(text: Column, catalog: Iterable[cat.Pattern] = cat.CATALOG) -> C
             return span(m["start"], m["start"] + F.length(value), trimmed, F.lit(p.type), F.lit(cat.CONFIDENCE))
 
         found = F.filter(F.transform(tx.matches(text, p.java), one), lambda s: s["value"] != "")
-        return F.when(text.rlike(p.needs), found).otherwise(no_spans())
+        return F.when(text.rlike(p.java_needs), found).otherwise(no_spans())
 
     return F.coalesce(F.concat(*map(of, catalog)), no_spans())
 
@@ -228,10 +228,19 @@ def expand_occurrences(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame, catalog: Iterable[cat.Pattern] = cat.CATALOG, model: DataFrame | None = None, expand: bool = True) -> DataFrame:
-    """docs (doc_id, text) -> spans of patterns, of a model's spans if given, of quoted names, in all their places."""
-    exact = docs.select("doc_id", "text", resolve_overlaps(regex_spans(F.col("text"), catalog)).alias("spans"))
+    """docs (doc_id, text) -> spans of patterns, of a model's spans if given, of quoted names, in all their places.
+
+    With a model there is a column `failed`: a text on which the model failed has one row with failed = true and no span,
+    and no other, so that a failure is never taken for a text without personal data.
+    """
+    broken = None if model is None else model.where("failed").select("doc_id").distinct()
+    sound = docs if broken is None else docs.join(broken, "doc_id", "left_anti")
+    exact = sound.select("doc_id", "text", resolve_overlaps(regex_spans(F.col("text"), catalog)).alias("spans"))
     if model is not None:
         found = model.where("not failed").groupBy("doc_id").agg(F.array_sort(F.collect_list(span(F.col("start"), F.col("end"), F.col("value"), F.col("type"), F.col("confidence")))).alias("found"))
         exact = exact.join(found, "doc_id", "left").withColumn("spans", merge_spans(F.col("spans"), F.col("found")))
     spans = exact.select("doc_id", F.inline("spans"))
-    return expand_occurrences(quoted_cores(spans, docs), docs) if expand else spans
+    spans = expand_occurrences(quoted_cores(spans, sound), sound) if expand else spans
+    if broken is None:
+        return spans
+    return spans.withColumn("failed", F.lit(False)).unionByName(broken.withColumn("failed", F.lit(True)), allowMissingColumns=True)

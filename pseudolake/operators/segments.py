@@ -65,7 +65,8 @@ def text_parts(messages: DataFrame) -> DataFrame:
 
 
 def put_parts(messages: DataFrame, new: DataFrame) -> DataFrame:
-    """`messages` with the text parts of `new` (conv_id, turn, part, text) in place; other parts and the order stay."""
+    """`messages` with the text parts of `new` (conv_id, turn, part, text) in place; other parts and the order stay. Of repeated rows the least text counts."""
+    new = new.groupBy("conv_id", "turn", "part").agg(F.min("text").alias("text"))
     lists = new.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("part", "text"))).alias("new_"))
     put = F.transform("parts", lambda p, k: F.when(F.col("new_").isNotNull() & F.map_contains_key("new_", k), p.withField("text", F.element_at("new_", k))).otherwise(p))
     return messages.join(lists, ["conv_id", "turn"], "left").withColumn("parts", F.when(F.col("parts").isNull(), F.col("parts")).otherwise(put)).drop("new_")

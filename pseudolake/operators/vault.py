@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
+from ..sources.shared import shared_folder
 
 
 def next_counter(vault: DataFrame) -> DataFrame:
@@ -28,11 +29,17 @@ def assign_tokens(spans: DataFrame, vault: DataFrame, order: list[str], allocato
     """New vault rows (session_id, token, original_value, entity_type) for values that the vault doesn't have.
 
     counter: numbers go on from the session's largest, one counter for all types, in order of first mention.
-    per_type: the same for each type of a session. hash: numbers from the value's hash, without any order or window.
+    per_type: the same for each type of a session. hash: 62-bit numbers from the value's hash, in no order; values of a
+    session whose numbers clash with each other, or with the vault, get others (a window over the clashing ones only).
     """
     first = first_mentions(spans, order).join(vault.select("session_id", "original_value"), ["session_id", "original_value"], "left_anti")
     if allocator == "hash":
-        n = F.pmod(F.xxhash64("original_value"), F.lit(1 << 52))
+        number = lambda *more: F.pmod(F.xxhash64("original_value", *more), F.lit(1 << 62))
+        taken = vault.select("session_id", F.regexp_extract("token", r"_(\d+)\]$", 1).try_cast("long").alias("hashed"), F.lit(True).alias("taken")).where("hashed is not null").distinct()
+        first = first.withColumn("hashed", number()).join(taken, ["session_id", "hashed"], "left")
+        again = F.row_number().over(Window.partitionBy("session_id", "hashed").orderBy("original_value")) + F.when(F.col("taken"), 1).otherwise(0)
+        first = first.withColumn("again", again)
+        n = F.when(F.col("again") == 1, F.col("hashed")).otherwise(number(F.col("again")))
     else:
         keys = ["session_id"] + (["entity_type"] if allocator == "per_type" else [])
         row = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "original_value"))
@@ -46,7 +53,10 @@ def assign_tokens_globally(spans: DataFrame, order: list[str]) -> DataFrame:
     first = first_mentions(spans.withColumn("session_id", F.lit("all")), order)
     parts = max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = first.repartitionByRange(parts, "at", "original_value").sortWithinPartitions("at", "original_value")
-    placed = placed.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
+    # written once, so that a lost executor can't move the bounds between the two readings
+    folder = shared_folder(first.sparkSession, "placed")
+    placed.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()).write.parquet(folder)
+    placed = first.sparkSession.read.parquet(folder)
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = sizes.select("part", "low", before.alias("before"))  # one row a partition

@@ -18,9 +18,18 @@ def empty_vault(df: DataFrame) -> DataFrame:
 def anonymize_texts(
     docs: DataFrame, known: DataFrame | None = None, catalog: Iterable[cat.Pattern] = cat.CATALOG, expand: bool = False, model: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, session_id, text) -> texts with tokens, new vault rows, spans. Null texts stay null."""
+    """docs (doc_id, session_id, text) -> texts with tokens, new vault rows, spans. Null texts stay null.
+
+    With a model the texts have a column `failed`; a text on which the model failed is withheld: its text is null.
+    """
     known = empty_vault(docs) if known is None else known
-    found = detect.detect(docs, catalog, model, expand).join(docs.select("doc_id", "session_id"), "doc_id")
+    found = detect.detect(docs, catalog, model, expand)
+    if model is not None:
+        broken = found.where("failed").select("doc_id", "failed")
+        found = found.where("not failed").drop("failed")
+        docs = docs.join(broken, "doc_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+        docs = docs.withColumn("text", F.when(~F.col("failed"), F.col("text")))
+    found = found.join(docs.select("doc_id", "session_id"), "doc_id")
     chosen = replace.collected(found, ["doc_id", "session_id"])
     spans = chosen.select("doc_id", "session_id", F.inline(replace.select_non_overlapping(F.col("spans"))))
     new = vault.assign_tokens(spans, known, ["doc_id"])

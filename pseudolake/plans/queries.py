@@ -364,17 +364,13 @@ def reuse_unchanged(spark, sf_dir):
     return vault.reusable(o, m, "2")
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^0-9A-Za-z_À-ɏ])(Licensed under the Apache License)([^0-9A-Za-z_À-ɏ]|$)', '\1[PRODUCT_1]\3', 'g'),
- '(^|[^0-9A-Za-z_À-ɏ])(worthless)([^0-9A-Za-z_À-ɏ]|$)', '\1[MISC_2]\3', 'g') AS text FROM documents WHERE text NOT LIKE '%worthless worthless%' AND text NOT LIKE '%worthless%worthless%'""")
-def replace_by_value(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text not like '%worthless%worthless%'").select("doc_id", "text", F.lit(1).alias("one"))
-    values = spark.createDataFrame([(1, "Licensed under the Apache License", "[PRODUCT_1]"), (1, "worthless", "[MISC_2]")], "one int, value string, token string")
-    return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
+_AROUND = r"'(^|[^0-9A-Za-z_À-ɏ])({})([^0-9A-Za-z_À-ɏ]|$)', '\1{}\3', 'g'"
+_PRODUCT, _MISC = _AROUND.format("Licensed under the Apache License", "[PRODUCT_1]"), _AROUND.format("worthless", "[MISC_2]")
 
 
-@query()
-def replace_by_value_all(spark, sf_dir):
-    """Over all documents: neighbouring matches have no SQL."""
+# A match takes the character after it along, so that of neighbours every other one is found at once: twice finds all.
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {_PRODUCT}), {_PRODUCT}), {_MISC}), {_MISC}) AS text FROM documents")
+def replace_by_value(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1).alias("one"))
     values = spark.createDataFrame([(1, "Licensed under the Apache License", "[PRODUCT_1]"), (1, "worthless", "[MISC_2]")], "one int, value string, token string")
     return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
@@ -453,7 +449,10 @@ def stream_restore(spark, sf_dir):
     return streams.collected(streams.restore_all(chunks, known, shared_folder(spark, "chunks")))
 
 
-@query("SELECT user_id, event_type, min(CAST(ts AS TIMESTAMP)) AS ts FROM events GROUP BY user_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)) // 600000000")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, CAST(ts AS TIMESTAMP) AS ts FROM events),
+k AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY user_id, event_type
+ UNION ALL SELECT k.user_id, k.event_type, min(e.ts) FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 600 SECONDS GROUP BY k.user_id, k.event_type)
+SELECT user_id, event_type, ts FROM k""")
 def coalesce_duplicates(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
     return streams.coalesce_duplicates(e, ["user_id", "event_type"])
@@ -523,15 +522,9 @@ def coerce_value(spark, sf_dir):
     return v.select("o_orderkey", F.col("v.date").alias("d"), F.col("v.int").alias("i"), F.col("v.text").alias("t"))
 
 
-@query("SELECT doc_id, translate(lower(text), 'СЕё', 'cee') AS norm FROM documents WHERE NOT contains(text, 'ß') AND lang <> 'fr'")
-def normalize_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(tx.foldable(F.col("text")) & (F.col("lang") != "fr"))
-    return d.select("doc_id", tx.normalize_for_search(F.col("text")).alias("norm"))
-
-
 @query()
-def normalize_search_all(spark, sf_dir):
-    """Over all documents: the fold of other letters has no SQL."""
+def normalize_search(spark, sf_dir):
+    """The fold of all letters has no SQL."""
     return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_for_search(F.col("text")).alias("norm"))
 
 
@@ -541,14 +534,65 @@ def session_id_check(spark, sf_dir):
     return p.select("page_id", tx.valid_session_id(F.concat(F.lit("s-"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, " x").otherwise("_y"))).alias("ok"))
 
 
+@query(r"""SELECT o_orderkey, CASE WHEN hour(d) + minute(d) + second(d) = 0 THEN strftime(d, '%Y-%m-%d') ELSE strftime(d, '%Y-%m-%d %H:%M:%S') END AS shown, trim(replace(regexp_replace(t, '\s*\n+\s*', ' ', 'g'), '_x000D_', '')) AS line
+FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_orderkey % 86400 END) AS d, ' ' || o_orderpriority || '_x000D_' || chr(10) || ' ' || o_orderstatus AS t FROM orders)""")
+def cell_display(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    seconds = F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(F.col("o_orderkey") % 86400)
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_interval(secs=seconds)
+    text = F.concat(F.lit(" "), "o_orderpriority", F.lit("_x000D_\n "), "o_orderstatus")
+    return o.select("o_orderkey", tx.fmt_cell(at, "timestamp_ntz").alias("shown"), tx.fmt_cell(text).alias("line"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 1 AND role <> '' THEN role || '/' || turn END AS model FROM conversations""")
+def model_prefix(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    name = F.concat("role", F.lit("/"), F.col("turn").cast("string"))
+    asked = F.when(k == 0, name).when(k == 1, F.concat(F.lit(" Local/"), name)).otherwise(F.lit("local/"))
+    return c.select("conv_id", "turn", tx.prefixed_model(asked, "local").alias("model"))
+
+
+@query("""SELECT conv_id, trim(regexp_replace(string_agg(text, chr(10) ORDER BY turn), '\\s*\\n+\\s*', ' / ', 'g')) AS line FROM conversations GROUP BY 1""")
+def one_line(spark, sf_dir):
+    whole = segments.joined_text(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return whole.select("conv_id", tx.one_line(F.col("text")).alias("line"))
+
+
+@query("""SELECT conv_id, turn, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 2""")
+def nth_occurrence(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return segments.nth_occurrence(said, ["conv_id"], ["turn"], 2)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, coalesce(bool_and(turn % 2 = 0 OR trim(text) = ''), true) AND NOT bool_or(turn % 5 = 4) AS empty FROM conversations GROUP BY 1""")
+def empty_streams(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), F.lit("x"), F.lit("</think> "))).otherwise(F.col("text"))
+    channel = F.when(F.col("turn") % 5 == 4, "tool").otherwise("content")
+    return segments.empty_streams(c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), channel.alias("channel"), text.alias("text")))
+
+
+@query("""SELECT conv_id, turn, text, role FROM conversations""")
+def multimodal_parts(spark, sf_dir):
+    """Text parts are taken out of messages, changed, changed back and put in place again; other parts stay."""
+    c = table(spark, sf_dir, "conversations")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    messages = c.select("conv_id", "turn", F.array(part("text", F.col("text")), part("image", F.col("role"))).alias("parts"))
+    own = segments.text_parts(segments.put_parts(messages, segments.text_parts(messages).withColumn("text", F.reverse("text"))))
+    back = segments.put_parts(messages, own.withColumn("text", F.reverse("text")))
+    return back.select("conv_id", "turn", F.col("parts")[0]["text"].alias("text"), F.col("parts")[1]["text"].alias("role"))
+
+
 # ---- cell grids ------------------------------------------------------------------------------------------------
 
 COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
-CELLS = "cells AS (SELECT 'book' || (p_partkey % 4) AS doc_id, 'Sheet1' AS sheet, unnest([1, 2, 3, 4, 5]) AS col, CAST(row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) + 1 AS INTEGER) AS row, unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part UNION ALL SELECT DISTINCT 'book' || (p_partkey % 4), 'Sheet1', unnest([1, 2, 3, 4, 5]), 1, unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size']) FROM part)"
+CELLS = "cells AS (SELECT 'book' || (p_partkey // 1000) AS doc_id, 'Sheet1' AS sheet, unnest([1, 2, 3, 4, 5]) AS col, CAST(row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) + 1 AS INTEGER) AS row, unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part UNION ALL SELECT DISTINCT 'book' || (p_partkey // 1000), 'Sheet1', unnest([1, 2, 3, 4, 5]), 1, unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size']) FROM part)"
 
 
 def cells(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("book", F.concat(F.lit("book"), (F.col("p_partkey") % 4).cast("string")))
+    """Books of a thousand parts each, so that their number grows with the table and not their size."""
+    p = table(spark, sf_dir, "part").withColumn("book", F.concat(F.lit("book"), F.expr("p_partkey div 1000").cast("string")))
     p = p.withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy("p_partkey")))
     return grid.from_table(p, F.col("book"), F.col("r"), COLUMNS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,8 +57,10 @@ def regroup(chunks: DataFrame, idle: int | None = 600_000) -> DataFrame:
 def restore_stream(chunks: DataFrame, vault: DataFrame, channels: tuple[str, ...] | None = None, idle: int | None = 600_000) -> DataFrame:
     """(stream_id, channel, seq, text, is_last): tokens of `vault` (stream_id, token, original_value) restored in the stream.
 
-    With `channels` only those are restored (the content, say), the rest passes as it came.
+    With `channels` only those are restored (the content, say), the rest passes as it came. Of several values of one token
+    in the vault the smallest counts.
     """
+    vault = vault.where("token is not null").groupBy("stream_id", "token").agg(F.min("original_value").alias("original_value"))
     mapped = vault.groupBy("stream_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "original_value"))).alias("m"))
     wanted = chunks if channels is None else chunks.where(F.col("channel").isin(*channels))
     joined = regroup(wanted, idle).join(mapped, "stream_id", "left")
@@ -84,13 +86,31 @@ def collected(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id", "channel").agg(F.array_join(ordered, "").alias("text"))
 
 
-def coalesce_duplicates(requests: DataFrame, keys: list[str], time: str = "ts", within: str = "600 seconds") -> DataFrame:
-    """Requests without those that repeat one of the last ten minutes; in a batch, the first of each key and window."""
+def coalesce_duplicates(requests: DataFrame, keys: list[str], time: str = "ts", seconds: int = 600) -> DataFrame:
+    """Requests without those that repeat one that was kept less than `seconds` before, by key.
+
+    In a batch the rows of a key fall apart where `seconds` pass without one, and each such burst is folded by itself.
+    Of several rows of one time the least stays. Rows without a time stay.
+    """
     if requests.isStreaming:
-        return requests.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
-    bucket = F.window(time, within)
-    first = requests.groupBy(*keys, bucket.alias("w")).agg(F.min_by(F.struct(*[c for c in requests.columns if c not in keys]), F.col(time)).alias("r"))
-    return first.select(*keys, "r.*").select(requests.columns)
+        return requests.withWatermark(time, f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in requests.columns if c not in {*keys, time}]
+    by_time = Window.partitionBy(*keys).orderBy(time, *rest)
+    span = F.make_interval(secs=F.lit(seconds))
+    apart = F.when(F.col(time) < F.lag(time).over(by_time) + span, 0).otherwise(1)
+    timed = requests.where(F.col(time).isNotNull()).withColumn("apart_", apart)
+    timed = timed.withColumn("burst_", F.sum("apart_").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("apart_")
+    item = F.struct(time, *rest)
+    kind = timed.select(item.alias("r")).schema["r"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(kept: Column, r: Column) -> Column:
+        repeats = (F.size(kept) > 0) & (r[time] < F.try_element_at(kept, F.lit(-1))[time] + span)
+        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(r)))
+
+    lists = timed.groupBy(*keys, "burst_").agg(F.aggregate(F.array_sort(F.collect_list(item)), none, add).alias("kept_"))
+    out = lists.select(*keys, F.inline("kept_")).select(requests.columns)
+    return out.unionByName(requests.where(F.col(time).isNull()))
 
 
 def anonymize_batches(anonymize: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], vault_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
