@@ -32,11 +32,11 @@ from .common import cut, table
 #: Pieces of a group on average: 20 bytes each, so a group has a bounded size at any scale.
 GROUP_PIECES = 32_768
 #: Words of a generation of a Python worker's cache.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: New pre-tokens that go through the tokenizer in one text.
 JOINED = 2_000
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 
 #: The characters of words that are cut here, and the tokenizer's pattern of pre-tokens for them in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -85,6 +85,10 @@ class _Encoder:
                 self.new[t] = data[at:end]
                 at = end
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what comes next needs the memory."""
+        self.new, self.old = {}, {}
+
     def learn(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
         if len(self.new) > CACHE_WORDS:
@@ -157,6 +161,8 @@ def pieces(docs: DataFrame, size: int = 4096, path: str | None = None, with_ids:
                         part = data[at : at + 4 * size]
                         rows.append((doc_id, p, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=list(names))
+        if _WORKER:
+            _WORKER["encoder"].forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
