@@ -32,11 +32,11 @@ from .common import cut, table
 #: Pieces of a group on average: 20 bytes each, so a group has a bounded size at any scale.
 GROUP_PIECES = 32_768
 #: Words of a generation of a Python worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: New pre-tokens that go through the tokenizer in one text.
 JOINED = 2_000
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 #: The characters of words that are cut here, and the tokenizer's pattern of pre-tokens for them in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")

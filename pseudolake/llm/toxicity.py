@@ -36,7 +36,7 @@ FOLDS, STEPS, BATCH, RATE, DECAY = 4, 400, 128, 0.01, 1e-3
 #: Toxic texts that an n-gram is taken to have been seen in besides, at the usual rate.
 PRIOR = 3
 #: Words of texts that are scored at once.
-CHUNK_WORDS = 100_000
+CHUNK_WORDS = 30_000
 THRESHOLD = 0.3
 
 
