@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,30 +251,39 @@ def arrange(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(known), ids, mask
 
 
+def _highest(net: Net, texts: Iterable[str | None], size: int, fold: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The highest window's logit and the number of windows of `size` texts, CHUNK_WORDS words or so at a time."""
+    high, n = np.zeros(size), np.zeros(size, np.int64)
+    held: list[tuple[int, list[bytes]]] = []
+    total = 0
+
+    def flush():
+        at = [k for k, _ in held]
+        high[at], n[at] = net.scores([w for _, w in held], fold)
+
+    for i, text in enumerate(texts):
+        if words := words_of(text):
+            held.append((i, words))
+            total += len(words)
+        if total > CHUNK_WORDS:
+            flush()
+            held, total = [], 0
+    if held:
+        flush()
+    return high, n
+
+
 def _raw_scores(rows: DataFrame, net: Net, keep: str, fold: int = -1) -> DataFrame:
     """(the column `keep`, high double, n long) for every row; n is 0 for texts without words."""
     shared = rows.sparkSession.sparkContext.broadcast(net)
     kind = rows.schema[keep].dataType.simpleString()
 
-    def make():
-        def step(batch):
-            texts = batch["text"]
-            high, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            held: list[tuple[int, list[bytes]]] = []
-            total = 0
-            for i in range(len(texts) + 1):
-                if held and (i == len(texts) or total > CHUNK_WORDS):
-                    at = [k for k, _ in held]
-                    high[at], n[at] = shared.value.scores([w for _, w in held], fold)
-                    held, total = [], 0
-                if i < len(texts) and (words := words_of(texts[i])):
-                    held.append((i, words))
-                    total += len(words)
-            return {keep: batch[keep], "high": high, "n": n}
-
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, n = _highest(shared.value, (x.as_py() for x in batch["text"]), len(batch), fold)
+            yield pa.RecordBatch.from_arrays([batch[keep], pa.array(high), pa.array(n)], names=[keep, "high", "n"])
 
-    return map_batches(rows.select(keep, "text"), f"{keep} {kind}, high double, n long", make)
+    return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, high double, n long")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Net, np.ndarray] | None:
@@ -311,9 +322,16 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose text scores under THRESHOLD, with all their columns."""
     if (model := train(docs, labels)) is None:
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("kept"), "text")
-    clean = _raw_scores(rows, model[0], "kept").where(_probability(model[1]) < THRESHOLD)
-    return clean.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
+    shared, w, at = docs.sparkSession.sparkContext.broadcast(model[0]), model[1], docs.columns.index("text")
+
+    # rows stay in Arrow, and their texts are decoded one by one
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, n = _highest(shared.value, (x.as_py() for x in batch.column(at)), len(batch))
+            toxic = (n > 0) & (sig(high * w[0] + w[1]) >= THRESHOLD)
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
