@@ -60,6 +60,32 @@ def _over_windows(f, x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+
+
+def _sets(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of runs of `size` words with hashes h: which run, distinct shingles, set_id, and all sets' shingles, ascending.
+
+    Runs of fewer than SHINGLE words have none.
+    """
+    unit = np.repeat(np.arange(len(size)), size)
+    s = np.full(max(0, len(h) - SHINGLE + 1), 7, np.uint64)
+    for k in range(SHINGLE):
+        s = mixed(s + h[k : k + len(s)])
+    inside = unit[: len(s)] == unit[len(unit) - len(s) :]
+    s, u = s[inside], unit[: len(s)][inside]
+    order = np.lexsort((s, u))
+    s, u = s[order], u[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1])
+    s, u = s[new], u[new]
+    new = np.ones(len(s), bool)
+    new[1:] = u[1:] != u[:-1]
+    first = np.flatnonzero(new)
+    return u[first], np.diff(np.append(first, len(s))), np.add.reduceat(mixed(s), first).view(np.int64) if len(s) else first, s
+
+
 def paragraphs(text: str | None) -> dict[str, np.ndarray]:
     """The paragraphs of a text: at (words before), words, and its set: n (distinct shingles), set_id, and all sets' shingles, ascending."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(_ENDS)
@@ -68,7 +94,7 @@ def paragraphs(text: str | None) -> dict[str, np.ndarray]:
     if total < SHINGLE:
         none = np.empty(0, np.int64)
         return {"at": none, "words": none, "n": none, "set_id": none, "shingles": none.view(np.uint64)}
-    h = mixed(np.fromiter(map(zlib.crc32, words), np.uint64, total))
+    h = _word_hashes(words)
     lowest = np.zeros(total, np.uint64)
     if total > LONGEST:
         low = _over_windows(np.minimum, h)
@@ -78,7 +104,9 @@ def paragraphs(text: str | None) -> dict[str, np.ndarray]:
     starts, last, at = [0], 0, 0
     byte = np.frombuffer(data, np.uint8)
     space = (byte == 32) | (byte == 10)
-    ends = np.cumsum(~space & np.r_[True, space[:-1]])[byte == 10]  # words before each end of a sentence
+    begins = ~space
+    begins[1:] &= space[:-1]
+    ends = np.cumsum(begins)[byte == 10]  # words before each end of a sentence
     for end in [*ends.tolist(), total]:
         if end - at > LONGEST:
             for x in (at + np.flatnonzero(is_cut[at:end])).tolist():
@@ -89,22 +117,8 @@ def paragraphs(text: str | None) -> dict[str, np.ndarray]:
             starts.append(last := at)
     start = np.array(starts, np.int64)
     size = np.diff(np.append(start, total))
-    s = np.full(total - SHINGLE + 1, 7, np.uint64)
-    for k in range(SHINGLE):
-        s = mixed(s + h[k : k + len(s)])
-    unit = np.repeat(np.arange(len(start)), size)
-    inside = unit[: len(s)] == unit[SHINGLE - 1 :]
-    s, u = s[inside], unit[: len(s)][inside]
-    order = np.lexsort((s, u))
-    s, u = s[order], u[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (u[1:] != u[:-1])]
-    s, u = s[new], u[new]
-    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    which = u[first]
-    return {
-        "at": start[which], "words": size[which], "n": np.diff(np.append(first, len(s))),
-        "set_id": np.add.reduceat(mixed(s), first).view(np.int64), "shingles": s,
-    }
+    which, n, set_id, shingles = _sets(h, size)
+    return {"at": start[which], "words": size[which], "n": n, "set_id": set_id, "shingles": shingles}
 
 
 def _smallest(p: dict[str, np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,31 +156,34 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again from the first document that has it.
+    """(set_id, shingles array<long>, ascending) of the sets `ids`, each read again at its place in the first document that has it.
 
     A set comes twice only where several rows have that document's id.
     """
     ids = ids.distinct()
-    at = maybe_in(rows.select("set_id", "doc_id"), "set_id", ids).join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    asked = stored(at.groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted")))
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("words").cast("long"))
+    at = maybe_in(rows.select("set_id", "doc_id", "at", "words"), "set_id", ids).join(ids, "set_id")
+    at = at.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min_by(place, "doc_id").alias("place"))
+    asked = stored(at.groupBy("doc_id").agg(F.collect_list("set_id").alias("wanted"), F.collect_list("place").alias("places")))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = maybe_in(texts, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
 
     def make():
         def step(batch):
             ids, values, sizes = [], [], []
-            for text, wanted in zip(batch["text"], batch["wanted"]):
-                p = paragraphs(text)
-                here = np.isin(p["set_id"], np.array(wanted, np.int64))
-                here[here] = np.isin(np.flatnonzero(here), np.flatnonzero(here)[np.unique(p["set_id"][here], return_index=True)[1]])
-                ids.append(p["set_id"][here])
-                values.append(p["shingles"][np.repeat(here, p["n"])].view(np.int64))
-                sizes.append(p["n"][here])
+            for text, wanted, places in zip(batch["text"], batch["wanted"], batch["places"]):
+                words = (text or "").encode("utf-8", "surrogatepass").translate(_ENDS).split()
+                runs = [words[x >> 32 : (x >> 32) + (x & 0xFFFFFFFF)] for x in places]
+                _, n, set_id, shingles = _sets(_word_hashes([w for run in runs for w in run]), np.fromiter(map(len, runs), np.int64, len(runs)))
+                here = np.isin(set_id, np.array(wanted, np.int64))  # another row with the id may have other words there
+                ids.append(set_id[here])
+                values.append(shingles[np.repeat(here, n)].view(np.int64))
+                sizes.append(n[here])
             return {"set_id": np.concatenate(ids) if ids else [], "shingles": _lists(values, sizes)}
 
         return step
 
-    return stored(map_batches(texts.select("text", "wanted"), "set_id long, shingles array<long>", make))
+    return stored(map_batches(texts.select("text", "wanted", "places"), "set_id long, shingles array<long>", make))
 
 
 def _counted(keyed: DataFrame) -> DataFrame:
