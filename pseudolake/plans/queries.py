@@ -138,6 +138,67 @@ def org_spans(spark, sf_dir):
     return _kind_spans(spark, sf_dir, cat.only("ORG")[:1])
 
 
+TAGGED = """tagged AS (SELECT doc_id, text || ' Петров А. Б., паспорт 4' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ' 1' || lpad(CAST(doc_id % 99991 AS VARCHAR), 5, '0')
+ || '; К. Л. Сидорова-Мак, серия: 4511 № 654321, ИНН 77' || lpad(CAST(doc_id % 99999989 AS VARCHAR), 8, '0') || ', ОГРН: 10277001325' || lpad(CAST(doc_id % 10 AS VARCHAR), 1, '0')
+ || ', цена ' || (1 + doc_id % 9) || ' 250,50 руб и ' || (10000 + doc_id % 999) || ' USD, www.host' || (doc_id % 13) || '.example.org/p.' AS text FROM documents)"""
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with names, passports, tax numbers, sums and an address at the end."""
+    i = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    text = F.concat(
+        "text", F.lit(" Петров А. Б., паспорт 4"), F.lpad(s(i % 1000), 3, "0"), F.lit(" 1"), F.lpad(s(i % 99991), 5, "0"),
+        F.lit("; К. Л. Сидорова-Мак, серия: 4511 № 654321, ИНН 77"), F.lpad(s(i % 99999989), 8, "0"), F.lit(", ОГРН: 10277001325"), s(i % 10),
+        F.lit(", цена "), s(1 + i % 9), F.lit(" 250,50 руб и "), s(10000 + i % 999), F.lit(" USD, www.host"), s(i % 13), F.lit(".example.org/p."),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def _tagged_spans(spark, sf_dir, catalog):
+    return tagged(spark, sf_dir).select("doc_id", F.inline(detect.regex_spans(F.col("text"), catalog))).drop("confidence")
+
+
+def _tagged_sql(kind: str, *patterns: str) -> str:
+    names = [f"{kind.lower()}{k}" for k in range(len(patterns))]
+    ctes = ", ".join(sql_spans(p, "tagged", "doc_id", kind, n) for n, p in zip(names, patterns))
+    return f"WITH {TAGGED}, {ctes} " + " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
+
+
+@query(_tagged_sql("PASSPORT", r"\b\d{4}\s*\d{6}\b", r"(?i)(?:серия|паспорт)[:\s]*\d{4}\s*(?:№|номер)?[:\s]*\d{6}"))
+def passport_spans(spark, sf_dir):
+    return _tagged_spans(spark, sf_dir, cat.only("PASSPORT"))
+
+
+@query(_tagged_sql("PERSON", r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?\s+[А-ЯЁ]\.\s*[А-ЯЁ]\.", r"[А-ЯЁ]\.[ \t]?[А-ЯЁ]\.[ \t]+[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"))
+def person_spans(spark, sf_dir):
+    return _tagged_spans(spark, sf_dir, cat.only("PERSON"))
+
+
+@query(_tagged_sql("INN", r"(?i)(?:ИНН|ОГРН|КПП)[:\s]*\d{10,12}\b"))
+def inn_spans(spark, sf_dir):
+    return _tagged_spans(spark, sf_dir, cat.only("INN")[:1])
+
+
+_SUM = r"[ \t\x{00A0}]*(?:руб[а-яё]*|₽|RUB\b|USD\b|EUR\b|CNY\b|юан[а-яё]*|долл[а-яё]*|евро|¥|£|\$|€)"
+
+
+@query(_tagged_sql(
+    "MONEY", r"(?i)\b\d{1,3}(?:[ \t\x{00A0}]\d{3})*(?:[.,]\d+)?" + _SUM, r"\b\d{1,3}(?:[ \x{00A0}\x{2009}]\d{3})+(?:[.,]\d+)?\b", r"(?i)\b\d{4,}(?:[.,]\d+)?" + _SUM
+))
+def money_spans(spark, sf_dir):
+    return _tagged_spans(spark, sf_dir, cat.only("MONEY")[:3])
+
+
+RE_WWW = r"(?i)\bwww\.[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:/[^\s<>\"'')\]]*)?"
+
+
+@query(f"""WITH {TAGGED}, {sql_spans(RE_WWW, 'tagged', 'doc_id', 'WEB', 'w')}
+SELECT doc_id, "start", CAST("start" + length(rtrim(value, '.,;:!?)]}}»"''…')) AS INTEGER) AS "end", rtrim(value, '.,;:!?)]}}»"''…') AS value, type FROM w""")
+def www_spans(spark, sf_dir):
+    return _tagged_spans(spark, sf_dir, cat.only("WEB")[1:2])
+
+
 @query(f"WITH {TWO} SELECT session_id, type, count(*) AS entities, count(DISTINCT value) AS mappings FROM spans GROUP BY ALL")
 def entity_counts(spark, sf_dir):
     docs = seeded(spark, sf_dir)
