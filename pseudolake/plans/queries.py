@@ -252,6 +252,73 @@ def dedup_spans(spark, sf_dir):
     return d.groupBy((F.col("doc_id") % 100).alias("grp"), "type", "value").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {SEEDED}, {sql_spans(RE_ORG, 'seeded', 'doc_id', 'ORG', 'o')}, c AS (SELECT DISTINCT doc_id, regexp_extract(value, '«([^»]+)»', 1) AS core FROM o)
+SELECT * FROM o UNION ALL SELECT doc_id, CAST(instr(text, core) - 1 AS INTEGER), CAST(instr(text, core) - 1 + length(core) AS INTEGER), core, 'ORG' FROM c JOIN seeded USING (doc_id)""")
+def quoted_names(spark, sf_dir):
+    docs = seeded(spark, sf_dir).select("doc_id", "text")
+    spans = docs.select("doc_id", F.inline(detect.regex_spans(F.col("text"), cat.only("ORG")[:1])))
+    return detect.quoted_cores(spans, docs).drop("confidence")
+
+
+@query(f"""WITH lic AS (SELECT doc_id, text FROM documents WHERE text LIKE '%License%'), {sql_spans('(?i)[[:word:]]*license[[:word:]]*', 'lic', 'doc_id', 'MISC', 'w')}
+SELECT doc_id, "start", "end", 'License' AS value, type FROM w WHERE lower(value) = 'license'""")
+def expand_values(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    at = F.instr("text", F.lit("License")) - 1
+    seen = docs.select("doc_id", detect.span(at, at + 7, F.lit("License"), F.lit("MISC"), F.lit(0.9)).alias("s")).where("s.start >= 0").select("doc_id", "s.*")
+    return detect.expand_occurrences(seen, docs).drop("confidence")
+
+
+@query(f"""WITH {TAGGED} SELECT doc_id, CAST(instr(text, ' 250,50 руб и ') - 2 AS INTEGER) AS "start", CAST(instr(text, ' 250,50 руб и ') + 6 AS INTEGER) AS "end" FROM tagged""")
+def whole_numbers(spark, sf_dir):
+    d = tagged(spark, sf_dir).withColumn("at", F.instr("text", F.lit("250,50 руб и ")) - 1)
+    return d.select("doc_id", detect.extend_numbers(F.col("text"), F.col("at"), F.col("at") + 3).alias("p")).select("doc_id", "p.start", "p.end")
+
+
+@query("""WITH p AS (SELECT doc_id, text, CASE WHEN instr(text, 'LICENSE') > 0 THEN instr(text, 'LICENSE') ELSE nullif(instr(lower(text), 'license'), 0) END AS pos FROM documents)
+SELECT doc_id, CAST(pos - 1 AS INTEGER) AS "start", CAST(pos + 6 AS INTEGER) AS "end", CASE WHEN pos IS NOT NULL THEN substring(text, pos, 7) END AS value FROM p""")
+def locate_values(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", detect.locate_normalized(F.col("text"), F.lit("LICENSE")).alias("p")).select("doc_id", "p.start", "p.end", "p.value")
+
+
+@query(f"""WITH {LINE_SPANS}, one AS (SELECT * FROM ls JOIN (SELECT l_orderkey AS doc_id FROM lineitem GROUP BY 1 HAVING count(*) > 1) USING (doc_id)),
+e AS (SELECT doc_id, "start", "end", value, type FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", value, type) = 1),
+m AS (SELECT doc_id, "start", "end", value, type FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "start" DESC, "end" DESC, value DESC, type DESC) = 1),
+j AS (SELECT e.doc_id, m."start" <= e."end" AND m."end" >= e."start" AS near, length(m.value) > length(e.value) AS longer, e."start" AS es, e."end" AS ee, e.value AS ev, e.type AS et, m."start" AS ms, m."end" AS me, m.value AS mv, m.type AS mt FROM e JOIN m USING (doc_id))
+SELECT doc_id, es AS "start", ee AS "end", ev AS value, et AS type FROM j WHERE NOT (near AND longer) UNION ALL SELECT doc_id, ms, me, mv, mt FROM j WHERE NOT near OR longer""")
+def merge_model_spans(spark, sf_dir):
+    item = F.struct("start", "end", "value", "type")
+    x = line_spans(spark, sf_dir).groupBy("doc_id").agg(F.min(item).alias("e"), F.max(item).alias("m"), F.count("*").alias("n")).where("n > 1")
+    one = lambda c: F.array(detect.span(F.col(f"{c}.start"), F.col(f"{c}.end"), F.col(f"{c}.value"), F.col(f"{c}.type"), F.lit(1.0)))
+    return x.select("doc_id", F.inline(detect.merge_spans(one("e"), one("m")))).drop("confidence")
+
+
+@query("""SELECT p_partkey, regexp_full_match(upper(p_brand), '[A-Z]+') AS acronym, regexp_matches(p_name, '^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё.\\- ]*$') AS name_like,
+ true AS numeric_key, p_partkey % 3 = 0 AS tokens FROM part""")
+def value_predicates(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    letters = F.when(F.upper("p_brand").rlike("^[A-Z]+$"), F.upper("p_brand")).otherwise(F.lower("p_brand"))
+    marked = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" [ORG_1]"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", tx.is_acronym(letters).alias("acronym"), tx.is_name_like(F.col("p_name")).alias("name_like"), tx.is_numeric_value(F.col("p_partkey").cast("string")).alias("numeric_key"), tx.has_tokens(marked).alias("tokens"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN 'content' ELSE 'tool' END AS channel, 'n' || (conv_id % 25) AS session_id, text || ' ' || CASE turn % 2 WHEN 0 THEN n_name ELSE '[ORG_1]' END AS text
+FROM conversations JOIN nation ON n_nationkey = conv_id % 25""")
+def restore_content(spark, sf_dir):
+    c, n = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "nation")
+    session = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    known = n.select(session(F.col("n_nationkey")).alias("session_id"), F.lit("[ORG_1]").alias("token"), F.col("n_name").alias("original_value"), F.lit("ORG").alias("entity_type"))
+    channel = F.when(F.col("turn") % 2 == 0, "content").otherwise("tool")
+    answers = c.select("conv_id", "turn", channel.alias("channel"), session(F.col("conv_id") % 25).alias("session_id"), F.concat("text", F.lit(" [ORG_1]")).alias("text"))
+    return jobs.restore_answers(answers, known, full=False)
+
+
+@query("""SELECT * FROM (SELECT conv_id, array_to_string(list_filter(string_split(string_agg(text, chr(10) ORDER BY turn), chr(10)), lambda l: contains(replace(lower(l), 'ё', 'е'), 'the')), chr(10)) AS text FROM conversations GROUP BY 1) WHERE text <> ''""")
+def dump_lines(spark, sf_dir):
+    return segments.dump(table(spark, sf_dir, "conversations"), "conv_id", "turn", "the")
+
+
 @query()
 def chunk_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
