@@ -58,10 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows are narrow."""
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows are narrow.
+
+    With a folder it lies there, so that the caller can remove() all tables of a step at once.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
