@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ann, clusters, decontaminate, html, language, manifest, packing, pii, quality, simhash, substring, toxicity
+from . import ann, chat, clusters, decontaminate, html, language, manifest, packing, pii, quality, simhash, substring, toxicity
 
-MODULES = (decontaminate, toxicity, pii, quality, language, substring, simhash, packing, html, ann, clusters, manifest)
+MODULES = (decontaminate, toxicity, pii, quality, language, substring, simhash, packing, html, ann, clusters, manifest, chat)
 
 
 def queries() -> dict:
