@@ -32,7 +32,7 @@ Render = Callable[[list[tuple[str, str]]], str]
 
 #: Characters that no template treats in a special way (fixed values from a private-use area).
 PROBES = ("\ue0f1", "\ue0f2")
-#: Characters that are compared at a time where one output doesn't begin with another.
+#: Characters that are compared at first where one output doesn't begin with another; a power of two.
 STEP = 1 << 14
 
 
@@ -51,10 +51,13 @@ def common_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    at = 0
-    while a[at : at + STEP] == b[at : at + STEP]:
-        at += STEP
-    return at + next(i for i, (x, y) in enumerate(zip(a[at : at + STEP], b[at : at + STEP])) if x != y)
+    at, step = 0, STEP
+    while step:  # they differ within n characters
+        if a[at : at + step] == b[at : at + step]:
+            at += step
+        else:
+            step //= 2
+    return at
 
 
 def probed(render: Render, before: list[tuple[str, str]], turn: tuple[str, str], which: int, output: str) -> tuple[int, int] | None:
@@ -101,10 +104,14 @@ _TURN = re.compile(r"<s>(?P<role>.*?)\[INST\](?P<text>.*?)\[/INST\]</s>\n", re.S
 
 
 def escape(text: str) -> str:
+    if "\\" not in text and "<" not in text and "[" not in text:
+        return text
     return _ESCAPED.sub(lambda m: _CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", lambda m: _PLAIN[m[1]], text, flags=re.S)
 
 
