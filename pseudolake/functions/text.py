@@ -19,9 +19,10 @@ EXPANDING = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000
 _FOLDED = [(chr(c), chr(c).casefold()) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).casefold()) == 1 and chr(c).casefold() != chr(c).lower()]
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """All matches of a Java pattern, with places in code points (end exclusive)."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast(PLACED).alias("out"))
 
     def add(a: Column, x: Column) -> Column:
@@ -31,7 +32,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.when(x["m"].isNull(), a).otherwise(F.struct(end.alias("pos"), F.concat(a["out"], F.array(span)).alias("out")))
 
     found = F.aggregate(pairs, zero, add, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(PLACED))
+    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(PLACED))
 
 
 def places(text: Column, value: Column) -> Column:

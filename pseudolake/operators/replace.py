@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as cat
 from ..functions import text as tx
 from .detect import no_spans, span
+from .dictionary import value_hits
 
 
 def select_non_overlapping(spans: Column) -> Column:
@@ -54,61 +55,11 @@ def deanonymize_subset(texts: DataFrame, vault: DataFrame, wanted: DataFrame, ke
     return deanonymize(texts, subset, keys), unknown
 
 
-def value_hits(texts: DataFrame, values: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Places of dictionary values in texts: an equi join of a text's words with each value's first word, then a search.
-
-    values: (on, value, token). A place counts if no word character touches it. Among places that overlap, the
-    earliest goes first and the longest of one start: (keys, start, end, token).
-    """
-    rest = [c for c in on if c not in keys]
-    apart = r"(?U)\W+"
-    words = texts.select(*keys, *rest, F.explode(F.array_distinct(F.split("text", apart))).alias("word"))
-    v = values.where(F.col("value").rlike(r"(?U)\w")).withColumn("word", F.regexp_extract("value", r"(?U)\w+", 0))
-    pairs = words.join(v.select(*on, "value", "token", "word"), [*on, "word"]).select(*keys, "value", "token")
-    hits = pairs.join(texts.select(*keys, "text"), keys).withColumn("start", F.explode(tx.places(F.col("text"), F.col("value"))))
-    hits = hits.withColumn("end", F.col("start") + F.length("value"))
-    free = ~tx.is_word_char(F.when(F.col("start") > 0, F.substring("text", F.col("start"), F.lit(1)))) & ~tx.is_word_char(F.substring("text", F.col("end") + 1, F.lit(1)))
-    hits = hits.where(free)
-    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", (-F.length("value")).alias("shorter"), "end", "token"))).alias("h"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        one = F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["token"].alias("token"))
-        return F.when(x["start"] < a["pos"], a).otherwise(F.struct(x["end"].cast("int").alias("pos"), F.concat(a["out"], F.array(one)).alias("out")))
-
-    return lists.select(*keys, F.inline(F.aggregate("h", zero, add, lambda a: a["out"])))
-
-
 def replace_by_value(texts: DataFrame, values: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Exact values (case counts, not inside words, longest first) replaced by their tokens in one pass."""
+    """Exact values (case counts, not inside words, longest first) replaced by their tokens in one pass; see dictionary.value_hits."""
     return apply_tokens(texts, value_hits(texts, values, keys, on), keys)
 
 
-def redact_spans(text: Column, names: list[str]) -> Column:
-    """Spans of the user's own values: any case, not inside words, placeholders left alone; numbers in four spellings with their decimals."""
-    hidden = F.transform(tx.matches(text, r"\[[A-Z_]+_\d+\]"), lambda m: F.struct(m["start"], m["end"], F.repeat(F.lit(" "), m["end"] - m["start"]).alias("token")))
-    masked = tx.cut_out(text, hidden)
-    parts = []
-    for name in names:
-        numeric = bool(name) and all(c.isdigit() or c in " \u00a0.,+-" for c in name) and any(map(str.isdigit, name))
-        tight = name.replace(" ", "").replace("\u00a0", "")
-        forms = list(dict.fromkeys([name, tight, name.replace(",", "."), tight.replace(",", ".")])) if numeric else [name]
-        for form in forms:
-            quoted = r"\Q" + form.replace(r"\E", r"\E\\E\Q") + r"\E"
-            pattern = r"(?<![0-9.,])" + quoted + r"(?:[.,]\d+)?(?![0-9])" if numeric else r"(?iu)(?<![A-Za-zА-Яа-яЁё0-9_])" + quoted + r"(?![A-Za-zА-Яа-яЁё0-9_])"
-            like = F.when(tx.is_name_like(F.lit(name)), "PERSON").otherwise("MISC")
-            parts.append(_named(masked, text, pattern, like))
-
-    def add(kept: Column, s: Column) -> Column:
-        return F.when(F.exists(kept, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"])), kept).otherwise(F.concat(kept, F.array(s)))
-
-    return F.aggregate(F.concat(*parts), no_spans(), add) if parts else no_spans()
-
-
-def _named(masked: Column, text: Column, pattern: str, kind: Column) -> Column:
-    return F.transform(tx.matches(masked, pattern), lambda m: span(m["start"], m["end"], F.substring(text, m["start"] + 1, m["end"] - m["start"]), kind, F.lit(1.0)))
-
-
 def leaks(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """(keys of `texts`, original_value): values of the session that still stand in a text as words of their own."""
     keys = [c for c in texts.columns if c != "text"]

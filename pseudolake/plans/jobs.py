@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
-from ..operators import detect, replace, segments, vault
+from ..operators import detect, dictionary, replace, segments, vault
+from ..sources.shared import kept
 
 
 def empty_vault(df: DataFrame) -> DataFrame:
@@ -20,6 +21,7 @@ def anonymize_texts(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, session_id, text) -> texts with tokens, new vault rows, spans. Null texts stay null.
 
+    Spans and new vault rows are narrow tables, written once; texts are read once for the spans and once for the result.
     With a model the texts have a column `failed`; a text on which the model failed is withheld: its text is null.
     """
     known = empty_vault(docs) if known is None else known
@@ -31,8 +33,8 @@ def anonymize_texts(
         docs = docs.withColumn("text", F.when(~F.col("failed"), F.col("text")))
     found = found.join(docs.select("doc_id", "session_id"), "doc_id")
     chosen = replace.collected(found, ["doc_id", "session_id"])
-    spans = chosen.select("doc_id", "session_id", F.inline(replace.select_non_overlapping(F.col("spans"))))
-    new = vault.assign_tokens(spans, known, ["doc_id"])
+    spans = kept(chosen.select("doc_id", "session_id", F.inline(replace.select_non_overlapping(F.col("spans")))), "spans")
+    new = kept(vault.assign_tokens(spans, known, ["doc_id"]), "new")
     tokens = vault.tokens_of(spans, known.select(new.columns).unionByName(new), ["doc_id"])
     return replace.apply_tokens(docs, tokens, ["doc_id"]), new, spans
 
@@ -47,8 +49,8 @@ def anonymize_segments(
     local = segments.split_by_segments(found, parts, key, order)
     keys = [key, order]
     chosen = replace.collected(local, keys).select(*keys, F.inline(replace.select_non_overlapping(F.col("spans"))))
-    chosen = chosen.join(parts.select(*keys, "session_id"), keys)
-    new = vault.assign_tokens(chosen, known, keys)
+    chosen = kept(chosen.join(parts.select(*keys, "session_id"), keys), "spans")
+    new = kept(vault.assign_tokens(chosen, known, keys), "new")
     tokens = vault.tokens_of(chosen, known.select(new.columns).unionByName(new), keys)
     return replace.apply_tokens(parts, tokens, keys), new, chosen
 
@@ -66,14 +68,18 @@ def restore_answers(answers: DataFrame, known: DataFrame, full: bool = True) ->
     return replace.deanonymize(answers.where(own), known, keys).unionByName(answers.where(~own))
 
 
-def extra_redact(texts: DataFrame, names: list[str], known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """texts (keys, session_id, text): the user's own values replaced; new vault rows; (value, found) for each value asked for."""
-    found = texts.select(*keys, "session_id", F.inline(replace.redact_spans(F.col("text"), names)))
+def extra_redact(texts: DataFrame, names: DataFrame | list[str], known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts (keys, session_id, text): the user's own values replaced; new vault rows; (value, found) for each value asked for.
+
+    names: a table (seq, value) of any size, or a list; a smaller seq goes first where spans overlap.
+    """
+    if isinstance(names, list):
+        names = texts.sparkSession.createDataFrame(list(enumerate(names)), "seq long, value string")
+    found = kept(dictionary.redactions(texts, names, keys).join(texts.select(*keys, "session_id"), keys), "redactions")
     new = vault.assign_tokens(found, known, keys)
     tokens = vault.tokens_of(found, known.select(new.columns).unionByName(new), keys)
-    asked = texts.sparkSession.createDataFrame([(n,) for n in names], "value string")
-    hit = found.select(F.lower(F.regexp_replace("value", "[ \\u00A0,.]", "")).alias("k")).distinct()
-    report = asked.withColumn("k", F.lower(F.regexp_replace("value", "[ \\u00A0,.]", ""))).join(hit.withColumn("found", F.lit(True)), "k", "left")
+    plain = F.lower(F.regexp_replace("value", "[ \\u00A0,.]", ""))
+    report = names.withColumn("k", plain).join(found.select(plain.alias("k"), F.lit(True).alias("found")).distinct(), "k", "left")
     return replace.apply_tokens(texts, tokens, keys), new, report.select("value", F.coalesce("found", F.lit(False)).alias("found"))
 
 

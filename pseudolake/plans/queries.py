@@ -369,13 +369,6 @@ def restore_docs(spark, sf_dir):
     return jobs.restore(texts, new, ["doc_id"])
 
 
-@query(f"WITH {SEEDED} SELECT session_id, count(*) AS docs, 0::BIGINT AS leaking FROM seeded GROUP BY 1")
-def leak_check(spark, sf_dir):
-    texts, new, _ = two_kinds(spark, sf_dir)
-    bad = replace.leaks(texts, new).select("doc_id").distinct().withColumn("bad", F.lit(1))
-    return texts.join(bad, "doc_id", "left").groupBy("session_id").agg(F.count("*").alias("docs"), F.count("bad").alias("leaking"))
-
-
 @query(f"""WITH {TWO}, {FIRST}, {ANON}, {sql_spans('[[]([A-Z_]+)_([0-9]+)[]]', 'anon', 'doc_id', 't', 't')}
 SELECT doc_id, "start", "end", value AS token, regexp_extract(value, '[[]([A-Z_]+)_', 1) AS type, CAST(regexp_extract(value, '_([0-9]+)[]]', 1) AS BIGINT) AS n FROM t""")
 def token_scan(spark, sf_dir):
@@ -504,14 +497,6 @@ def replace_by_value(spark, sf_dir):
     return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
 
 
-@query(f"""WITH {SEEDED} SELECT doc_id, regexp_matches(text, 'Фирма 3»') AS has_3, text LIKE '%[ORG]%' AS token FROM seeded""")
-def extra_redact(spark, sf_dir):
-    d = seeded(spark, sf_dir)
-    texts, _, _ = jobs.extra_redact(d, ["фирма 3"], jobs.empty_vault(d), ["doc_id"])
-    hit = F.col("text").rlike(r"\[(?:PERSON|MISC)_\d+\]»")
-    return texts.select("doc_id", hit.alias("has_3"), F.contains("text", F.lit("[ORG]")).alias("token"))
-
-
 # ---- conversations and segments --------------------------------------------------------------------------------
 
 
@@ -701,15 +686,16 @@ def empty_streams(spark, sf_dir):
     return segments.empty_streams(c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), channel.alias("channel"), text.alias("text")))
 
 
-@query("""SELECT conv_id, turn, text, role FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS text, role, 'end ' || turn AS last FROM conversations""")
 def multimodal_parts(spark, sf_dir):
-    """Text parts are taken out of messages, changed, changed back and put in place again; other parts stay."""
+    """The first text part of every other message is put in place reversed; its other parts and other messages stay."""
     c = table(spark, sf_dir, "conversations")
     part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    messages = c.select("conv_id", "turn", F.array(part("text", F.col("text")), part("image", F.col("role"))).alias("parts"))
-    own = segments.text_parts(segments.put_parts(messages, segments.text_parts(messages).withColumn("text", F.reverse("text"))))
-    back = segments.put_parts(messages, own.withColumn("text", F.reverse("text")))
-    return back.select("conv_id", "turn", F.col("parts")[0]["text"].alias("text"), F.col("parts")[1]["text"].alias("role"))
+    end = F.concat(F.lit("end "), F.col("turn").cast("string"))
+    messages = c.select("conv_id", "turn", F.array(part("image", F.col("role")), part("text", F.col("text")), part("text", end)).alias("parts"))
+    new = segments.text_parts(messages).where("part = 1 and turn % 2 = 0").withColumn("text", F.reverse("text"))
+    put = segments.put_parts(messages, new)
+    return put.select("conv_id", "turn", F.col("parts")[1]["text"].alias("text"), F.col("parts")[0]["text"].alias("role"), F.col("parts")[2]["text"].alias("last"))
 
 
 # ---- cell grids ------------------------------------------------------------------------------------------------

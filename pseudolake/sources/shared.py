@@ -1,16 +1,26 @@
-"""A folder that driver and executors share."""
+"""Folders and tables that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that isn't set."""
+    """A new folder below spark.checkpoint.dir; a temporary one only where that isn't set, and on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that its executors share")
         base = tempfile.mkdtemp(prefix="pseudolake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table that is used more than once to the shared folder and reads it from there: its size is known from then on."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
