@@ -11,7 +11,7 @@ from ..functions import catalog as cat
 from ..functions import text as tx
 from ..operators import cells as grid
 from ..operators import detect, replace, segments, vault
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, spread
 from ..streaming import restore as streams
 from . import jobs
 
@@ -43,7 +43,7 @@ SEEDED = """seeded AS (SELECT d.doc_id, 's' || (d.doc_id % 16) AS session_id, d.
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with values of each kind at the end, in 16 sessions."""
-    d, c = table(spark, sf_dir, "documents"), table(spark, sf_dir, "customer")
+    d, c = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "customer")
     i = F.col("doc_id")
     s = lambda x: x.cast("string")
     text = F.concat(
@@ -321,7 +321,7 @@ def dump_lines(spark, sf_dir):
 
 @query()
 def chunk_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", F.posexplode(detect.chunk_bounds(F.coalesce("text", F.lit("")))).alias("chunk", "c")).select("doc_id", "chunk", "c.start", "c.end")
 
 
@@ -492,7 +492,7 @@ _PRODUCT, _MISC = _AROUND.format("Licensed under the Apache License", "[PRODUCT_
 # A match takes the character after it along, so that of neighbours every other one is found at once: twice finds all.
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {_PRODUCT}), {_PRODUCT}), {_MISC}), {_MISC}) AS text FROM documents")
 def replace_by_value(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1).alias("one"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("one", F.lit(1))
     values = spark.createDataFrame([(1, "Licensed under the Apache License", "[PRODUCT_1]"), (1, "worthless", "[MISC_2]")], "one int, value string, token string")
     return replace.replace_by_value(d, values, ["doc_id"], ["one"]).select("doc_id", "text")
 
@@ -584,7 +584,7 @@ def spec(spark, sf_dir):
         .when(k % 4 == 1, F.concat(F.lit("PERSON_"), s(k % 7), F.lit(", [ORG_"), s(k % 5), F.lit("], FOO_1")))
         .when(k % 4 == 2, F.concat(F.lit("с PERSON_4 по PERSON_"), s(k % 9))).otherwise(F.col("o_orderpriority"))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select("o_orderkey", text.alias("text"))
 
 
 @query(f"""WITH {SPEC} SELECT o_orderkey, CASE o_orderkey % 4
@@ -617,7 +617,7 @@ def command_intent(spark, sf_dir):
 
 @query(r"""SELECT page_id, regexp_replace(html, '(?i)(\bhref\s*=\s*)"(?:https?:|ftp:|mailto:|www\.)[^"'']*"', '\1"#"', 'g') AS html FROM pages""")
 def scrub_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.scrub_link_targets(F.col("html")).alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", tx.scrub_link_targets(F.col("html")).alias("html"))
 
 
 @query("""SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(w, '(\\d)(\\d{3})$', '\\1 \\2'), '(\\d)(\\d{3}) ', '\\1 \\2 '), '(\\d)(\\d{3}) ', '\\1 \\2 ') || ',' || f || ' ₽' AS shown

@@ -24,3 +24,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals a table of fewer splits than cores out by its keys, before costly work on each row; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df._jdf.rdd().getNumPartitions() < cores else df
