@@ -558,7 +558,8 @@ def stream_restore(spark, sf_dir):
     n = F.ceil(F.length("text") / 200).cast("int")
     cut = texts.select(F.col("doc_id").cast("string").alias("stream_id"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)).cast("long"))).alias("seq"), n.alias("n"))
     chunks = cut.select("stream_id", F.lit("content").alias("channel"), "seq", F.substring("text", (F.col("seq") * 200 + 1).cast("int"), F.lit(200)).alias("text"), (F.col("seq") >= F.col("n") - 1).alias("is_last"))
-    known = new.join(texts.select("session_id", F.col("doc_id").cast("string").alias("stream_id")), "session_id").select("stream_id", "token", "original_value")
+    held = replace.find_tokens(texts, ["doc_id", "session_id"]).select(F.col("doc_id").cast("string").alias("stream_id"), "session_id", "token").distinct()
+    known = held.join(new, ["session_id", "token"]).select("stream_id", "token", "original_value")
     return streams.collected(streams.restore_all(chunks, known, shared_folder(spark, "chunks")))
 
 

@@ -1,14 +1,16 @@
-"""Streams: restoring tokens that are torn between chunks, anonymising batches with a growing vault, duplicate requests."""
+"""Streams: restoring tokens that are torn between chunks, duplicate requests."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .event_time import firsts
+
 OUTPUT = "stream_id string, channel string, seq long, text string, is_last boolean"
 
 
@@ -86,14 +88,15 @@ def collected(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id", "channel").agg(F.array_join(ordered, "").alias("text"))
 
 
-def coalesce_duplicates(requests: DataFrame, keys: list[str], time: str = "ts", seconds: int = 600) -> DataFrame:
+def coalesce_duplicates(requests: DataFrame, keys: list[str], time: str = "ts", seconds: int = 600, late: int = 600) -> DataFrame:
     """Requests without those that repeat one that was kept less than `seconds` before, by key.
 
     In a batch the rows of a key fall apart where `seconds` pass without one, and each such burst is folded by itself.
-    Of several rows of one time the least stays. Rows without a time stay.
+    Of several rows of one time the least stays. Rows without a time stay. A stream gives the same rows, once the
+    watermark has passed them; rows that come more than `late` seconds behind the latest time seen are dropped.
     """
     if requests.isStreaming:
-        return requests.withWatermark(time, f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
+        return firsts(requests, keys, time, seconds, late)
     rest = [c for c in requests.columns if c not in {*keys, time}]
     by_time = Window.partitionBy(*keys).orderBy(time, *rest)
     span = F.make_interval(secs=F.lit(seconds))
@@ -111,17 +114,3 @@ def coalesce_duplicates(requests: DataFrame, keys: list[str], time: str = "ts",
     lists = timed.groupBy(*keys, "burst_").agg(F.aggregate(F.array_sort(F.collect_list(item)), none, add).alias("kept_"))
     out = lists.select(*keys, F.inline("kept_")).select(requests.columns)
     return out.unionByName(requests.where(F.col(time).isNull()))
-
-
-def anonymize_batches(anonymize: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], vault_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: anonymize(batch, vault) -> (texts, new vault rows); both are kept by batch id, so that a batch that runs again replaces itself."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "session_id string, token string, original_value string, entity_type string, batch long"
-        vault = spark.read.schema(schema).option("basePath", vault_path).parquet(vault_path).where(F.col("batch") < batch_id) if batch_id else spark.createDataFrame([], schema)
-        texts, new = anonymize(batch, vault.drop("batch"))
-        new.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
-        texts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return run
