@@ -113,6 +113,16 @@ def chunk_bounds(text: Column, size: int = 1500, overlap: int = 200) -> Column:
 Predictor = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
 
 
+def each_or_none(predict: Callable[[list[str]], list], texts: list[str]) -> list:
+    """What a model says of each text: one call for all; where that fails, one for each, and None for those that fail."""
+    try:
+        return list(predict(texts))
+    except Exception:  # noqa: BLE001  told by the caller's column
+        if len(texts) < 2:
+            return [None] * len(texts)
+    return [each_or_none(predict, [t])[0] for t in texts]
+
+
 def gazetteer(words: dict[str, str], confidence: float = 0.9) -> Callable[[], Predictor]:
     """A predictor from a fixed list of values and types; it stands where a trained model would."""
     import re
@@ -127,7 +137,8 @@ def gazetteer(words: dict[str, str], confidence: float = 0.9) -> Callable[[], Pr
 def model_spans(docs: DataFrame, load: Callable[[], Predictor], threshold: float = 0.3, size: int = 1500, overlap: int = 200) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, start, end, value, type, confidence, failed): a predictor over chunks, places in the whole text.
 
-    load() runs once a task. A chunk on which the predictor fails gives a row with failed = true and no span, so
+    load() runs once a task, and its predictor sees all chunks of an Arrow batch in one call; if that fails, one by one. A
+    chunk on which the predictor fails gives a row with failed = true and no span, so
     that a failure is never taken for a text without personal data.
     """
     pieces = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(chunk_bounds(F.col("text"), size, overlap)).alias("c"))
@@ -138,10 +149,8 @@ def model_spans(docs: DataFrame, load: Callable[[], Predictor], threshold: float
         predict = load()
         for f in frames:
             rows = []
-            for doc_id, base, piece in zip(f["doc_id"], f["base"], f["piece"]):
-                try:
-                    found = predict([piece])[0]
-                except Exception:  # noqa: BLE001  told by the column
+            for doc_id, base, piece, found in zip(f["doc_id"], f["base"], f["piece"], each_or_none(predict, f["piece"].tolist())):
+                if found is None:
                     rows.append((doc_id, None, None, None, None, None, True))
                     continue
                 rows += [(doc_id, base + a, base + b, piece[a:b], kind, float(p), False) for a, b, kind, p in found if p >= threshold]

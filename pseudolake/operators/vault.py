@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
-from ..sources.shared import shared_folder
+from .numbering import numbered
 
 
 def next_counter(vault: DataFrame) -> DataFrame:
@@ -51,18 +51,7 @@ def assign_tokens(spans: DataFrame, vault: DataFrame, order: list[str], allocato
 def assign_tokens_globally(spans: DataFrame, order: list[str]) -> DataFrame:
     """One session for everything: numbers by a range-partitioned sort and the sizes of the partitions before, no single-task window."""
     first = first_mentions(spans.withColumn("session_id", F.lit("all")), order)
-    parts = max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = first.repartitionByRange(parts, "at", "original_value").sortWithinPartitions("at", "original_value")
-    # written once, so that a lost executor can't move the bounds between the two readings
-    folder = shared_folder(first.sparkSession, "placed")
-    placed.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()).write.parquet(folder)
-    placed = first.sparkSession.read.parquet(folder)
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = sizes.select("part", "low", before.alias("before"))  # one row a partition
-    n = F.col("id") - F.col("low") + 1 + F.col("before")
-    numbered = placed.join(F.broadcast(offset), "part")
-    return numbered.select("session_id", F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), n.cast("string"), F.lit("]")).alias("token"), "original_value", "entity_type")
+    return numbered(first, ["at", "original_value"], "n").select("session_id", F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("token"), "original_value", "entity_type")
 
 
 def merge_vault(vault: DataFrame, new: DataFrame) -> DataFrame:
