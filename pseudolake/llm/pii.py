@@ -1,14 +1,17 @@
 """Information-theoretic sanitisation of personal data, native: DataFrame functions only.
 
-Base spans (e-mail, IP address, card, phone) come from fixed patterns and checks. Each distinct value found
-is a protected entity. Terms are the words within REACH words of an occurrence. Over all documents
-    disclosure(t, e) = PMI(t, e) / IC(e),  PMI = ln(N * n_te / (n_t * n_e)),  IC = ln(N / n_e)
-says how much of the entity's information the term gives away: 1 if it occurs nowhere else. A term seen with
-the entity in SUPPORT documents at least is generalised from GENERALISE on and removed from REMOVE on,
-where it stands near the entity. Spans of both kinds are added after the base spans, which stay.
-
-Counts cover all documents. A first pass keeps the contexts of entities; the words of all documents are
-counted through a filter of bounded size over hashes of the candidate terms, and an exact join follows.
+Base spans (e-mail, IP address, card, phone) come from fixed patterns and checks. Each distinct value is a protected
+entity, and so is what values have in common: an address's domain, a network, a card's issuer, a phone's area. Terms are
+the words of three letters or more anywhere in a document, outside base spans. Over all documents
+    disclosure(t, e) = PMI(t, e) / IC(e) * n_te / (n_te + DOUBT),  PMI = ln(N * n_te / (n_t * n_e)),  IC = ln(N / n_e)
+says how much of the entity's information a term gives away (1 if it occurs nowhere else), shrunk where few documents
+tell: one alone, in which every rare word would point to every entity, proves nothing. A term is generalised from
+GENERALISE on and removed from REMOVE on, wherever it stands in a document that holds the entity. Spans of both
+kinds are added after the base spans, which stay. Copies are documents too: rare words that all copies of a text share
+with an entity do point to it, so a corpus with copies had better be deduplicated before.
+
+Counts cover all documents and whole texts. n_t is counted through a filter of bounded size over hashes of the candidate
+terms, and an exact join follows; terms meet the entities of their document only where their counts allow a disclosure.
 
 A null text counts as empty and has no spans; documents of N include it. Repeated rows (same id and text)
 count as documents of their own and get the same spans. Other columns are not read.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns in Java's dialect; possessive where the next character can't belong to the run before,
@@ -32,8 +35,7 @@ PATTERNS = {
 }
 #: What a text needs for a match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-REACH, CONTEXT_CHARS = 8, 200
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
+DOUBT, GENERALISE, REMOVE = 0.5, 0.75, 0.9
 #: Slots (bytes) of the filter over hashes of candidate terms: SPARSE for each term, but no more than MAX_SLOTS.
 SPARSE, MAX_SLOTS = 64, 1 << 21
 #: Copies of a join key's rows that share a hot entity's occurrences.
@@ -96,77 +98,99 @@ def row_key(text: Column) -> Column:
     return F.struct(F.xxhash64(F.col("doc_id"), text).alias("a"), F.xxhash64(F.lit(1), text, F.col("doc_id")).alias("b"))
 
 
-def _near_terms(piece: Column, at: Column, last: bool, cut_off: Column) -> Column:
-    """The REACH words nearest to an entity in the text before (last) or after it, as spans in the text.
+def _entities(span: Column) -> Column:
+    """What a base span names: its value, and the group that its value belongs to."""
+    value = F.lower(span["value"])
+    digits = _digits(value)
+    group = (
+        F.when(span["kind"] == "email", F.substring_index(value, "@", -1)).when(span["kind"] == "ip", F.substring_index(value, ".", 3))
+        .when(span["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat_ws(":", span["kind"], value), F.concat_ws(":", span["kind"], F.lit("group"), group))
 
-    A word that touches the far edge of a piece cut from a longer text may be partial and is left out.
-    """
-    words = _matches(piece, _WORD, F.lit("term"))
-    if last:
-        words = F.filter(words, lambda w: ~cut_off | (w["start"] > 0))
-        words = F.slice(words, F.greatest(F.lit(1), F.size(words) - REACH + 1), REACH)
-    else:
-        words = F.slice(F.filter(words, lambda w: ~cut_off | (w["end"] < F.length(piece))), 1, REACH)
-    return F.transform(words, lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), F.lower(w["value"]).alias("term")))
+
+def _words(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= 3), F.lower)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with base spans replaced by spaces."""
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        gap = F.substring(text, a["pos"] + 1, F.greatest(F.lit(0), s["start"] - a["pos"]))
+        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.concat(a["out"], F.array(gap)).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    return F.aggregate(ordered, zero, add, lambda a: F.concat(F.array_join(a["out"], " "), F.lit(" "), F.substring(text, a["pos"] + 1, F.length(text))))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, spans, contexts) of all documents; contexts hold the text around each span."""
+    """(key, doc_id, spans) of all documents; with base spans also (text, entities, terms)."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = rows.select(row_key(F.col("text")).alias("key"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    text = F.col("text")
+    some = F.size("spans") > 0
+    entities = F.array_distinct(F.flatten(F.transform("spans", _entities)))
+    terms = F.array_distinct(_words(_masked(F.col("text"), F.col("spans"))))
+    return spans.select("key", "doc_id", "spans", *[F.when(some, c).alias(n) for n, c in (("text", F.col("text")), ("entities", entities), ("terms", terms))])
 
-    def context(s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS)
-        return F.struct(
-            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), s["end"].alias("end"), begin.alias("begin"),
-            F.substring(text, begin + 1, s["start"] - begin).alias("before"), F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS)).alias("after"),
-        )
 
-    contexts = F.when(F.size("spans") > 0, F.transform("spans", context))
-    return spans.select("key", "doc_id", "spans", contexts.alias("contexts"))
+def _word_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_t): the documents whose text holds a word, for the words of `terms` and a few others."""
+    slots = min(MAX_SLOTS, SPARSE << terms.count().bit_length())
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    packed = terms.select(slot(F.col("term")).alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    wanted = bytearray(slots)
+    for at, bits in packed.collect():  # slots / 64 rows at most
+        for k in range(64):
+            wanted[64 * at + k] = bits >> k & 1
+    maybe = F.filter(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: F.substring(F.lit(wanted), slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
+    return docs.select(F.explode(F.array_distinct(maybe)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Spans to add: (key, start, end, kind), kind `generalise` or `remove`."""
+def disclosures(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share) of disclosing terms, and (key, entity, term) of the documents' pairs whose counts allow a disclosure."""
+    n = F.lit(float(max(scanned.count(), 1)))
     # the rows of a document get numbers apart, so that each counts as a document of its own
     hot = scanned.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id())
-    ctx = hot.select("key", "row", "spans", F.explode("contexts").alias("c"))
-    before = _near_terms(F.col("c.before"), F.col("c.begin"), True, F.col("c.begin") > 0)
-    after = _near_terms(F.col("c.after"), F.col("c.end"), False, F.length("c.after") >= CONTEXT_CHARS)
-    near = ctx.select("key", "row", "spans", F.col("c.entity").alias("entity"), F.explode(F.concat(before, after)).alias("t"))
-    free = near.where(~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))))
-    near = cut(free.select("key", "row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
+    held = hot.select("key", "row", F.explode("entities").alias("entity"), "terms")
+    # a share can't exceed n_te / (n_te + DOUBT), and n_te is at most n_e
+    least = GENERALISE * DOUBT / (1 - GENERALISE)
+    counts = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    counts = stored(counts.where((F.col("n_e") >= least * 0.999999) & (F.col("n_e") < n)))
+    # nor does it reach GENERALISE if n_t is above n_te * (N / n_e) ** (1 - GENERALISE)
+    most = F.col("n_e") * F.pow(n / F.col("n_e"), 1 - GENERALISE) * 1.000001
+    met = stored(held.drop("terms").join(counts.withColumn("most", most), "entity"))
+    words = hot.select("row", F.explode("terms").alias("term")).join(met.groupBy("row").agg(F.max("most").alias("row_most")), "row")
+    words = stored(words)
+    n_t = _word_counts(docs, words.select("term").distinct())
+    rare = words.join(n_t, "term").where(F.col("n_t") <= F.col("row_most")).select("row", "term", "n_t")
+    pairs = stored(met.join(rare, "row").where(F.col("n_t") <= F.col("most")).select("key", "entity", "term", "n_t", "n_e"))
+    both = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te"))
+    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e")) * F.col("n_te") / (F.col("n_te") + DOUBT)
+    told = both.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    return told, pairs.select("key", "entity", "term")
 
-    n = F.lit(float(max(scanned.count(), 1)))
-    together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    of_entity = hot.select("row", F.explode("contexts.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # A term in m_t documents near any entity is in n_t >= m_t documents, so that this bound loses no term.
-    around = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
-    together = together.join(of_entity, "entity").join(around, "term")
-    together = cut(together.where(F.col("m_t") <= F.col("n_te") * F.pow(n / F.col("n_e"), 1 - GENERALISE) * 1.000001))
-
-    slots = min(MAX_SLOTS, SPARSE << together.select("term").distinct().count().bit_length())
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
-    wanted = bytearray(slots)
-    for r in together.select(slot(F.col("term")).alias("s")).distinct().collect():  # `slots` rows at most
-        wanted[r.s] = 1
-    words = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}]+"), F.lower)
-    maybe = F.filter(words, lambda w: F.substring(F.lit(wanted), slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
-    counted = docs.select(F.explode(F.array_distinct(maybe)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-
-    scored = together.join(counted, "term").withColumn("ic", F.log(n / F.col("n_e")))
-    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.col("ic")
-    told = scored.where(F.col("ic") > 0).withColumn("share", share).where(F.col("share") >= GENERALISE)
+
+def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Spans to add: (key, start, end, kind), kind `generalise` or `remove`."""
+    told, pairs = disclosures(docs, scanned)
     told = told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    at = near.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int"))
-    return at.join(told, ["entity", "term", "salt"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    at = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int"))
+    kinds = at.join(told, ["entity", "term", "salt"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    lists = kinds.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    hot = scanned.where(F.size("spans") > 0).select("key", "text", "spans").dropDuplicates(["key"]).join(lists, "key")
+    found = hot.select("key", "spans", "kinds", F.explode(_matches(F.col("text"), _WORD, F.lit("term"))).alias("w"))
+    found = found.withColumn("kind", F.try_element_at("kinds", F.lower(F.col("w.value")))).where("kind is not null")
+    free = found.where(~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))))
+    return free.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """For every row (key, doc_id, spans, added): base spans, and spans of disclosing terms by kind and start."""
-    scanned = cut(_scan(docs))
+    scanned = stored(_scan(docs))
     found = disclosing_terms(docs, scanned).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     return scanned.select("key", "doc_id", "spans").join(found, "key", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
 
@@ -176,7 +200,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, becomes the length of the new text; null texts stay null.
     """
-    scanned = cut(_scan(docs))
+    scanned = stored(_scan(docs))
     found = disclosing_terms(docs, scanned).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added_"))
     keyed = docs.select("*", row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key_"))
     text = F.col("text")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -68,6 +69,59 @@ def test_disclosing_terms_and_redaction(spark, monkeypatch):
     assert pii.redact(df.limit(0)).count() == pii.sanitise(df.limit(0)).count() == 0
 
 
+def entities(text):
+    out = set()
+    for kind, a, b in brute(text):
+        v = text[a:b].lower()
+        d = re.sub("[^0-9]", "", v)
+        group = {"email": v.rsplit("@", 1)[-1], "ip": ".".join(v.split(".")[:3]), "card": d[:6], "phone": d[:4]}[kind]
+        out |= {f"{kind}:{v}", f"{kind}:group:{group}"}
+    return out
+
+
+def words(text):
+    spans = brute(text)
+    return {w for w in re.findall(r"[^\W\d_]+", "".join(" " if any(a <= i < b for _, a, b in spans) else c for i, c in enumerate(text)).lower()) if len(w) >= 3}
+
+
+def brute_shares(texts):
+    n, held, has = len(texts), [entities(t) for t in texts], [words(t) for t in texts]
+    everywhere = [{w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3} for t in texts]
+    out = {}
+    for e in set().union(*held):
+        own = [i for i in range(n) if e in held[i]]
+        for t in set().union(*(has[i] for i in own)):
+            both = [i for i in own if t in has[i]]
+            n_t, s = sum(t in x for x in everywhere), len(both)
+            if len(own) < n:
+                share = math.log(n * len(both) / (n_t * len(own))) / math.log(n / len(own)) * s / (s + 0.5)
+                if share >= 0.75:
+                    out[e, t] = round(share, 9)
+    return out
+
+
+def test_shares_equal_brute_force_far_from_the_entity(spark):
+    rng = random.Random(9)
+    common = ["alpha", "beta", "gamma", "delta", "ab", "été"]
+    say = lambda k: " ".join(rng.choice(common) for _ in range(k))
+    texts = [f"{say(5)} Nickname{'abcd'[i % 4]} {say(150)} user{i % 4}@host{i % 2}.example {say(9)}" for i in range(16)]  # 500 characters and more away
+    texts += [f"{say(20)} 10.1.2.{i} Serverroom {say(3)}" for i in range(5)] + ["copied Toldagain alpha x@y.zz"] * 7 + [say(60) for _ in range(80)]
+    texts += ["call +1 555 123 4567 Rare", "", "Nicknamea alone", "4111 1111 1111 1111 Payee", "4111 1111 1111 1111 Payee again"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scanned = pii.stored(pii._scan(df))
+    got = {(r.entity, r.term): round(r.share, 9) for r in pii.disclosures(df, scanned)[0].collect()}
+    want = brute_shares(texts)
+    assert got == want
+    assert ("email:user0@host0.example", "nicknamea") in got and ("ip:group:10.1.2", "serverroom") in got and ("email:x@y.zz", "toldagain") in got and not any(t == "rare" for _, t in got)
+    spans = {r.doc_id: {(texts[r.doc_id][a.start : a.end], a.kind) for a in r.added} for r in pii.sanitise(df).collect()}
+    for i, t in enumerate(texts):
+        kinds = {}
+        for (e, w), share in want.items():
+            if e in entities(t):
+                kinds[w] = max(kinds.get(w, ""), "remove" if share >= 0.9 else "generalise")
+        assert {(x.lower(), k) for x, k in spans[i]} == {(w, k) for w, k in kinds.items() if w in words(t)}
+
+
 def test_query_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, "x 10.1.1.1 a@b.cc", 5), (2, None, 5)], "doc_id long, text string, spans int")
     df.write.parquet(str(tmp_path / "documents.parquet"))
