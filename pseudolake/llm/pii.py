@@ -10,8 +10,8 @@ GENERALISE on and removed from REMOVE on, wherever it stands in a document that
 kinds are added after the base spans, which stay. Copies are documents too: rare words that all copies of a text share
 with an entity do point to it, so a corpus with copies had better be deduplicated before.
 
-Counts cover all documents and whole texts. n_t is counted through a filter of bounded size over hashes of the candidate
-terms, and an exact join follows; terms meet the entities of their document only where their counts allow a disclosure.
+Counts cover all documents and whole texts; nothing but numbers of rows reaches the driver. Terms meet the entities of
+their document only where their counts allow a disclosure.
 
 A null text counts as empty and has no spans; documents of N include it. Repeated rows (same id and text)
 count as documents of their own and get the same spans. Other columns are not read.
@@ -36,8 +36,6 @@ PATTERNS = {
 #: What a text needs for a match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 DOUBT, GENERALISE, REMOVE = 0.5, 0.75, 0.9
-#: Slots (bytes) of the filter over hashes of candidate terms: SPARSE for each term, but no more than MAX_SLOTS.
-SPARSE, MAX_SLOTS = 64, 1 << 21
 #: Copies of a join key's rows that share a hot entity's occurrences.
 SALT = 16
 
@@ -135,18 +133,10 @@ def _scan(docs: DataFrame) -> DataFrame:
     return spans.select("key", "doc_id", "spans", *[F.when(some, c).alias(n) for n, c in (("text", F.col("text")), ("entities", entities), ("terms", terms))])
 
 
-def _word_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): the documents whose text holds a word, for the words of `terms` and a few others."""
-    slots = min(MAX_SLOTS, SPARSE << terms.count().bit_length())
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
-    packed = terms.select(slot(F.col("term")).alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits"))
-    wanted = bytearray(slots)
-    for at, bits in packed.collect():  # slots / 64 rows at most
-        for k in range(64):
-            wanted[64 * at + k] = bits >> k & 1
-    maybe = F.filter(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: F.substring(F.lit(wanted), slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
-    return docs.select(F.explode(F.array_distinct(maybe)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): the documents whose text holds a word; added up in each task before words are shuffled."""
+    words = _words(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,8 +154,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     met = stored(held.drop("terms").join(counts.withColumn("most", most), "entity"))
     words = hot.select("row", F.explode("terms").alias("term")).join(met.groupBy("row").agg(F.max("most").alias("row_most")), "row")
     words = stored(words)
-    n_t = _word_counts(docs, words.select("term").distinct())
-    rare = words.join(n_t, "term").where(F.col("n_t") <= F.col("row_most")).select("row", "term", "n_t")
+    rare = words.join(_word_counts(docs), "term").where(F.col("n_t") <= F.col("row_most")).select("row", "term", "n_t")
     pairs = stored(met.join(rare, "row").where(F.col("n_t") <= F.col("most")).select("key", "entity", "term", "n_t", "n_e"))
     both = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te"))
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e")) * F.col("n_te") / (F.col("n_te") + DOUBT)
