@@ -252,10 +252,14 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     bands = [f"k{i}" for i in range(band_count(LONGEST + SHINGLE))]
     keys = [F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(bands)]
     one = rows.where(F.size("keys") > 0).select("set_id", "n", *keys).groupBy("set_id").agg(F.min("n").alias("size"), *[F.min(c).alias(c) for c in bands])
-    keyed = one.select("set_id", "size", F.explode(F.array_compact(F.array(*bands))).alias("key"))
-    # counted where the rows of a key meet, so that they are shuffled once; sets are distinct here
-    met = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-    pairs = stored(_pairs(met))
+    keyed = stored(one.select("set_id", "size", F.explode(F.array_compact(F.array(*bands))).alias("key")))
+    # sets are distinct here, so a key of two has its pair in the bounds; keys of more are joined, which splits under skew
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("set_id", "size")]
+    several = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), *ends).where("n > 1"))
+    twos = several.where("n = 2 and 5 * low_size >= 4 * high_size").select(F.col("low_set_id").alias("u"), F.col("high_set_id").alias("v"))
+    more = several.where("n > 2").select("key", "n")
+    met = stored(maybe_in(keyed, "key", more).join(more, "key"))
+    pairs = stored(twos.unionByName(_pairs(met)).distinct())
     crowded = met.where(F.col("n") > MAX_BUCKET).select("set_id").distinct()
     sets = fetch_sets(docs, rows, pairs.select(F.explode(F.array("u", "v")).alias("set_id")).unionByName(crowded))
     return _similar(pairs, sets).unionByName(crowded_links(sets.join(crowded, "set_id", "left_semi")))
