@@ -12,8 +12,8 @@ pairs of their n - ceil(0.8 n) + 2 smallest values, two of which they share by t
 compared in blocks of BLOCK sets, of which only a spanning forest leaves a task. No link is lost, whatever the size.
 Linked sets form classes (connected components).
 
-A paragraph repeats if its class is in two documents or more. Neighbouring ones that all stay, or all go, form an island; it is aligned with the
-first other document that has its rarest paragraph, and grows at both ends word by word (up to REACH words) as long
+A paragraph repeats if its class is in two documents or more. Neighbouring ones that all stay, or all go, form an island; it is aligned, by each of its
+paragraphs, with the first and the last document that has that one, and grows at both ends word by word (up to REACH words) as long
 as the words agree. Islands with up to GAP words between them are one passage; one of RUN_WORDS words or more is
 reported. To be removed are its paragraphs (with the words grown) but the first occurrence of each class.
 
@@ -313,17 +313,16 @@ def grown_islands(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, island, start, end, left, right, class_id, first_doc): islands of touching paragraphs, with the words they grow by at either end."""
     rep = hits.groupBy("class_id").agg(F.min(F.struct("doc_id", "at", "words")).alias("low"), F.max(F.struct("doc_id", "at", "words")).alias("high"))
     islands = stored(hits.groupBy("doc_id", "island").agg(
-        F.min("at").alias("start"), F.max(F.col("at") + F.col("words")).alias("end"), F.min(F.struct("n", "at", "class_id", "words")).alias("rarest"),
-        F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"),
+        F.min("at").alias("start"), F.max(F.col("at") + F.col("words")).alias("end"), F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"),
     ))
-    pairs = islands.select("doc_id", "island", "start", "end", "rarest", F.col("rarest.class_id").alias("class_id")).join(rep, "class_id")
-    pairs = pairs.withColumn("other", F.when(F.col("low.doc_id") != F.col("doc_id"), F.col("low")).otherwise(F.col("high")))
+    pairs = hits.select("doc_id", "island", "at", "words", "class_id").join(islands.select("doc_id", "island", "start", "end"), ["doc_id", "island"]).join(rep, "class_id")
+    pairs = pairs.withColumn("other", F.explode(F.array_distinct(F.array("low", "high")))).where("other.doc_id <> doc_id")
     # paragraphs that are similar only may differ at one edge: aligned at the first word and at the last
-    first = F.col("other.at") - F.col("rarest.at")
-    shifts = F.array_distinct(F.array(first, first + F.col("other.words") - F.col("rarest.words")))
+    first = F.col("other.at") - F.col("at")
+    shifts = F.array_distinct(F.array(first, first + F.col("other.words") - F.col("words")))
     sides = F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("left")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("left")))
     ends = pairs.select("doc_id", "island", F.col("other.doc_id").alias("other"), F.explode(sides).alias("e"), shifts.alias("shifts"))
-    ends = ends.select("doc_id", "island", "other", "e.pos", "e.left", F.explode("shifts").alias("shift"))
+    ends = ends.select("doc_id", "island", "other", "e.pos", "e.left", F.explode("shifts").alias("shift")).distinct()
     ends = stored(ends.withColumn("other_pos", F.col("pos") + F.col("shift")).drop("shift"))
     here, there = ends.select("doc_id", "pos", "left"), ends.select(F.col("other").alias("doc_id"), F.col("other_pos").alias("pos"), "left")
     around = stored(_words_around(docs, here.unionByName(there).distinct()))
@@ -332,7 +331,7 @@ def grown_islands(docs: DataFrame, hits: DataFrame) -> DataFrame:
     by = _agree(F.col("words"), F.col("there"))
     grown = both.groupBy("doc_id", "island").agg(F.max(F.when(F.col("left"), by)).alias("left"), F.max(F.when(~F.col("left"), by)).alias("right"))
     zero = F.lit(0)
-    return islands.drop("rarest").join(grown, ["doc_id", "island"], "left").withColumn("left", F.coalesce("left", zero)).withColumn("right", F.coalesce("right", zero))
+    return islands.join(grown, ["doc_id", "island"], "left").withColumn("left", F.coalesce("left", zero)).withColumn("right", F.coalesce("right", zero))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
