@@ -12,8 +12,8 @@ pairs of their n - ceil(0.8 n) + 2 smallest values, two of which they share by t
 compared in blocks of BLOCK sets, of which only a spanning forest leaves a task. No link is lost, whatever the size.
 Linked sets form classes (connected components).
 
-A paragraph repeats if its class is in two documents or more. Neighbouring ones that all stay, or all go, form an island; it is aligned, by each of its
-paragraphs, with the first and the last document that has that one, and grows at both ends word by word (up to REACH words) as long
+A paragraph repeats if its class is in two documents or more. Neighbouring ones that all stay, or all go, form an island; each end is aligned
+with the first and the last document of each class of the island, by the nearest paragraph of such a class, and grows word by word (up to REACH words) as long
 as the words agree. Islands with up to GAP words between them are one passage; one of RUN_WORDS words or more is
 reported. To be removed are its paragraphs (with the words grown) but the first occurrence of each class.
 
@@ -41,6 +41,7 @@ SHINGLE, SIMILAR = 5, 0.8
 LONGEST, WINDOW = 20, 16
 MAX_BUCKET, BLOCK = 32, 256
 RUN_WORDS, REACH, GAP = 50, 28, 2
+SPREAD = 1024  # paragraphs of a class in one task
 
 _ENDS = bytes(10 if chr(b) in ".?!\n\r" else c for b, c in enumerate(WORD_TABLE))
 
@@ -311,18 +312,32 @@ def _agree(a: Column, b: Column) -> Column:
 
 def grown_islands(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, island, start, end, left, right, class_id, first_doc): islands of touching paragraphs, with the words they grow by at either end."""
-    rep = hits.groupBy("class_id").agg(F.min(F.struct("doc_id", "at", "words")).alias("low"), F.max(F.struct("doc_id", "at", "words")).alias("high"))
-    islands = stored(hits.groupBy("doc_id", "island").agg(
-        F.min("at").alias("start"), F.max(F.col("at") + F.col("words")).alias("end"), F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"),
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("words").cast("long"))
+    first, last = (F.when(F.col("doc_id") == F.col(c), place) for c in ("first_doc", "last_doc"))
+    rep = hits.where("doc_id = first_doc or doc_id = last_doc").groupBy("class_id", "first_doc", "last_doc", "n").agg(F.min(first).alias("low"), F.max(last).alias("high"))
+    at_end = F.struct("at", "words", "class_id", "n")
+    near = stored(hits.groupBy("doc_id", "island", "first_doc", "last_doc").agg(
+        F.min(at_end).alias("left"), F.max(at_end).alias("right"), F.max(F.col("at") + F.col("words")).alias("end"), F.min("class_id").alias("lowest"),
+    ))
+    islands = stored(near.groupBy("doc_id", "island").agg(
+        F.min("left.at").alias("start"), F.max("end").alias("end"), F.min("lowest").alias("class_id"), F.min("first_doc").alias("first_doc"),
     ))
-    pairs = hits.select("doc_id", "island", "at", "words", "class_id").join(islands.select("doc_id", "island", "start", "end"), ["doc_id", "island"]).join(rep, "class_id")
-    pairs = pairs.withColumn("other", F.explode(F.array_distinct(F.array("low", "high")))).where("other.doc_id <> doc_id")
+    sides = F.array(F.struct(F.lit(True).alias("left"), F.col("left").alias("by")), F.struct(F.lit(False).alias("left"), F.col("right").alias("by")))
+    asked = near.select("doc_id", "island", F.explode(sides).alias("e")).select("doc_id", "island", "e.left", "e.by.*")
+    # a class of many paragraphs is dealt out to several tasks
+    parts = F.ceil(F.col("n") / SPREAD)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("doc_id", "island"), parts))
+    rep = rep.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pairs = asked.join(rep.drop("n"), ["class_id", "part"])
+    others = F.array(F.struct(F.col("first_doc").alias("doc_id"), F.col("low").alias("place")), F.struct(F.col("last_doc").alias("doc_id"), F.col("high").alias("place")))
+    pairs = pairs.select("doc_id", "island", "left", "at", "words", F.explode(others).alias("other")).where("other.doc_id <> doc_id")
+    pairs = pairs.join(islands.select("doc_id", "island", "start", "end"), ["doc_id", "island"])
     # paragraphs that are similar only may differ at one edge: aligned at the first word and at the last
-    first = F.col("other.at") - F.col("at")
-    shifts = F.array_distinct(F.array(first, first + F.col("other.words") - F.col("words")))
-    sides = F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("left")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("left")))
-    ends = pairs.select("doc_id", "island", F.col("other.doc_id").alias("other"), F.explode(sides).alias("e"), shifts.alias("shifts"))
-    ends = ends.select("doc_id", "island", "other", "e.pos", "e.left", F.explode("shifts").alias("shift")).distinct()
+    there, there_words = F.shiftright(F.col("other.place"), 32).cast("int"), F.col("other.place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    shift = there - F.col("at")
+    shifts = F.array_distinct(F.array(shift, shift + there_words - F.col("words")))
+    pos = F.when(F.col("left"), F.col("start")).otherwise(F.col("end")).alias("pos")
+    ends = pairs.select("doc_id", "island", F.col("other.doc_id").alias("other"), pos, "left", F.explode(shifts).alias("shift"))
     ends = stored(ends.withColumn("other_pos", F.col("pos") + F.col("shift")).drop("shift"))
     here, there = ends.select("doc_id", "pos", "left"), ends.select(F.col("other").alias("doc_id"), F.col("other_pos").alias("pos"), "left")
     around = stored(_words_around(docs, here.unionByName(there).distinct()))
