@@ -124,3 +124,27 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
     texts += [" ".join([*stem, word(), word()]) for _ in range(60)]
     classes, n = _classes_match(spark, texts)
     assert n == 250 and 1 < classes < n
+
+
+def test_versions_of_a_text_are_aligned_with_both_ends_of_a_class(spark, monkeypatch):
+    """Three versions, of which the last two share a run that the first breaks by a word; classes dealt out to tasks change nothing."""
+    rng = random.Random(5)
+    base = sentences(rng, 40).split()
+    at = next(k for k in range(200, len(base)) if base[k][-1] != "." and base[k - 1][-1] != ".")
+    first, other = list(base), list(base)
+    first[at] = "changed"
+    other[at - 60] = "altered"
+    rows = [(1, " ".join(first)), (2, " ".join(base)), (3, " ".join(other))] + [(i, " ".join(base[:120])) for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return sorted((r.doc_id, r.start, r.end) for r in substring.repeated_passages(df).collect())
+
+    whole = found()
+    covered = {(d, k) for d, a, b in whole for k in range(a, b)}
+    words = {d: words_of(t) for d, t in rows}
+    for d, e in ((2, 3), (3, 2)):
+        runs = [k for k in range(len(words[d]) - 49) if words[d][k : k + 50] == words[e][k : k + 50]]
+        assert runs and all((d, j) in covered for k in runs for j in range(k, k + 50))
+    monkeypatch.setattr(substring, "SPREAD", 4)
+    assert found() == whole
