@@ -38,5 +38,11 @@ def write_copies(docs: DataFrame, path: str, kind: str = "anonymized") -> None:
 
 
 def write_review(texts: DataFrame, path: str) -> None:
-    """Review copies of anonymised texts (session_id, text), one folder a session."""
-    texts.select("session_id", "text").write.mode("append").partitionBy("session_id").text(path)
+    """Review copies of anonymised texts (session_id, request_id, text), one folder a session and in it one a request.
+
+    Safe to run again: a request that comes again replaces its own copy, all others stay. Null ids share Spark's folder
+    for null partitions; null texts have no copy.
+    """
+    rows = texts.where("text is not null").select("session_id", "request_id", "text")
+    writer = rows.repartition("session_id", "request_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("session_id", "request_id").text(path)
