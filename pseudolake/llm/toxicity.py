@@ -37,8 +37,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
 FOLDS, STEPS, BATCH, RATE, DECAY = 4, 400, 128, 0.01, 1e-3
 #: Toxic texts that an n-gram is taken to have been seen in besides, at the usual rate.
 PRIOR = 3
-#: Words of texts that are scored at once.
-CHUNK_WORDS = 30_000
+#: Words of texts that are scored at once; windows of a piece of a longer text, and of a step of the network.
+CHUNK_WORDS, PIECE_WINDOWS, STEP_WINDOWS = 20_000, 512, 1024
 THRESHOLD = 0.3
 
 
@@ -147,8 +147,8 @@ class Net:
         chars = np.add.reduceat(self.p["char"][bucket], first, axis=0) / n[:, None]
         return np.hstack([self.p["word"][rows], chars, word_odds(words, self.odds[fold])]), (rows, bucket, word, n)
 
-    def run(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """States (windows x WINDOW x HIDDEN) of one direction; x: inputs by word; ids, mask: words of windows."""
+    def run(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
+        """States (windows x WINDOW x HIDDEN) of one direction; x: inputs by word; ids, mask: words of windows; keep: what gradients need."""
         h_dim, u = HIDDEN, self.p[f"U{side}"]
         a = x @ self.p[f"W{side}"] + self.p[f"c{side}"]
         h = np.zeros((len(ids), h_dim), np.float32)
@@ -158,14 +158,15 @@ class Net:
             zr = sig(g[:, : 2 * h_dim] + h @ u[:, : 2 * h_dim])
             z, r = zr[:, :h_dim], zr[:, h_dim:]
             new = np.tanh(g[:, 2 * h_dim :] + (r * h) @ u[:, 2 * h_dim :])
-            kept.append((t, h, z, r, new))
+            if keep:
+                kept.append((t, h, z, r, new))
             h = np.where(m, new + z * (h - new), h)
             states[:, t] = h
         return states, kept
 
-    def forward(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray):
-        f, kept_f = self.run(x, ids, mask, "f")
-        b, kept_b = self.run(x, ids, mask, "b")
+    def forward(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
+        f, kept_f = self.run(x, ids, mask, "f", keep)
+        b, kept_b = self.run(x, ids, mask, "b", keep)
         s = np.concatenate([f, b], axis=2)
         e = np.where(mask, (s @ self.p["att"])[:, :, 0], -1e9)
         w = np.exp(e - e.max(1, keepdims=True))
@@ -177,7 +178,7 @@ class Net:
         """Of the mean cross-entropy of a batch."""
         p, hd = self.p, HIDDEN
         x, (rows, bucket, word, n) = self.inputs(words, fold)
-        logit, (s, w, pool, *kept) = self.forward(x, ids, mask)
+        logit, (s, w, pool, *kept) = self.forward(x, ids, mask, keep=True)
         d = ((sig(logit) - y) / len(y)).astype(np.float32)
         g = {"out": pool.T @ d[:, None], "bias": np.array([d.sum()], np.float32)}
         d_pool = d[:, None] * p["out"].T
@@ -237,7 +238,7 @@ class Net:
         n = np.array(first)
         x, _ = self.inputs(list(known), fold)
         ids, mask = np.concatenate(ids), np.concatenate(mask)
-        logit = np.concatenate([self.forward(x, ids[k : k + 2048], mask[k : k + 2048])[0] for k in range(0, len(ids), 2048)])
+        logit = np.concatenate([self.forward(x, ids[k : k + STEP_WINDOWS], mask[k : k + STEP_WINDOWS])[0] for k in range(0, len(ids), STEP_WINDOWS)])
         return np.maximum.reduceat(logit, np.cumsum(n) - n), n
 
 
@@ -251,26 +252,36 @@ def arrange(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(known), ids, mask
 
 
+def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """A text's words in pieces of at most PIECE_WINDOWS windows; together these are the windows of the whole text."""
+    step, more = PIECE_WINDOWS * STRIDE, WINDOW - STRIDE
+    for a in range(0, max(1, len(words) - more), step):
+        yield words[a : a + step + more]
+
+
 def _highest(net: Net, texts: Iterable[str | None], size: int, fold: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The highest window's logit and the number of windows of `size` texts, CHUNK_WORDS words or so at a time."""
-    high, n = np.zeros(size), np.zeros(size, np.int64)
+    """The highest window's logit (0 without words) and the number of windows of `size` texts, CHUNK_WORDS words or so at a time."""
+    high, n = np.full(size, -np.inf), np.zeros(size, np.int64)
     held: list[tuple[int, list[bytes]]] = []
     total = 0
 
     def flush():
-        at = [k for k, _ in held]
-        high[at], n[at] = net.scores([w for _, w in held], fold)
+        at = np.array([k for k, _ in held])
+        logit, windows = net.scores([w for _, w in held], fold)
+        np.maximum.at(high, at, logit)
+        np.add.at(n, at, windows)
 
     for i, text in enumerate(texts):
-        if words := words_of(text):
-            held.append((i, words))
-            total += len(words)
-        if total > CHUNK_WORDS:
-            flush()
-            held, total = [], 0
+        words = words_of(text)
+        for piece in pieces(words) if words else ():
+            held.append((i, piece))
+            total += len(piece)
+            if total > CHUNK_WORDS:
+                flush()
+                held, total = [], 0
     if held:
         flush()
-    return high, n
+    return np.where(n > 0, high, 0), n
 
 
 def _raw_scores(rows: DataFrame, net: Net, keep: str, fold: int = -1) -> DataFrame:
