@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +104,13 @@ def maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).mapInArrow(run, rows.schema)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system: workers outlive their tasks, and what comes next needs it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def held_out(id_col: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder `part` modulo `parts`; a null id counts as ''."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == part
@@ -121,6 +129,7 @@ def map_batches(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out.values(), types)],
                     names=list(out),
                 )
+        give_back()
 
     names_types = _arrow_fields(df.sparkSession, schema)
     types = [t for _, t in names_types]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 
 #: Pieces of a group on average: 20 bytes each, so a group has a bounded size at any scale.
 GROUP_PIECES = 32_768
@@ -88,6 +88,7 @@ class _Encoder:
     def forget(self) -> None:
         """Workers outlive their tasks; what comes next needs the memory."""
         self.new, self.old = {}, {}
+        give_back()
 
     def learn(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""

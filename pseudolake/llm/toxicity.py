@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam_step, char_ngrams, char_prefixes, cut, held_out, labelled_sample, logistic, map_batches, sample_shares, table, words_of
+from .common import adam_step, char_ngrams, char_prefixes, cut, give_back, held_out, labelled_sample, logistic, map_batches, sample_shares, table, words_of
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, VOCAB, CHAR_BITS, ODDS_BITS = 12, 12, 12, 4096, 12, 16
@@ -293,6 +293,7 @@ def _raw_scores(rows: DataFrame, net: Net, keep: str, fold: int = -1) -> DataFra
         for batch in batches:
             high, n = _highest(shared.value, (x.as_py() for x in batch["text"]), len(batch), fold)
             yield pa.RecordBatch.from_arrays([batch[keep], pa.array(high), pa.array(n)], names=[keep, "high", "n"])
+        give_back()
 
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, high double, n long")
 
@@ -341,6 +342,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             high, n = _highest(shared.value, (x.as_py() for x in batch.column(at)), len(batch))
             toxic = (n > 0) & (sig(high * w[0] + w[1]) >= THRESHOLD)
             yield batch.filter(pa.array(~toxic))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
