@@ -107,3 +107,24 @@ def test_bound_training_scores_at_the_true_shares(spark, monkeypatch):
     monkeypatch.setattr(tox, "SAMPLE_CLEAN", 75)
     seen = {r.doc_id: r.score for r in tox.score(docs, tox.train(docs, lab)).collect()}
     assert 0.35 < np.mean([seen[i] for i in range(0, 600, 6)]) < 0.65  # half of the texts with the word are toxic
+
+
+def test_pieces_hold_the_windows_of_the_whole_text():
+    rng = random.Random(4)
+    step, more = tox.PIECE_WINDOWS * tox.STRIDE, tox.WINDOW - tox.STRIDE
+    windows = lambda w: [w[a : a + tox.WINDOW] for a in tox.window_starts(len(w))]
+    for n in [1, more, more + 1, tox.WINDOW, tox.WINDOW + 1, step, step + more, step + more + 1, 3 * step - 1, *(rng.randint(1, 4 * step) for _ in range(20))]:
+        words = [b"%d" % k for k in range(n)]
+        assert [x for p in tox.pieces(words) for x in windows(p)] == windows(words)
+
+
+def test_long_texts_score_like_their_windows():
+    rng = random.Random(6)
+    words = [b"w%d" % k for k in range(3000)]
+    net = tox.Net([np.random.default_rng(1).standard_normal(1 << tox.ODDS_BITS).astype(np.float32)] * 2, {w: k for k, w in enumerate(words[:500])})
+    texts = [[rng.choice(words) for _ in range(n)] for n in (3, 40, 13_000, 30_000, 1, 700)]
+    high, n = tox._highest(net, [None, *(b" ".join(t).decode() for t in texts), ""], len(texts) + 2)
+    assert n[0] == n[-1] == high[0] == high[-1] == 0
+    for k, t in enumerate(texts, 1):
+        each = net.scores([t[a : a + tox.WINDOW] for a in tox.window_starts(len(t))])[0]
+        assert n[k] == len(each) and abs(high[k] - each.max()) < 1e-4
