@@ -15,8 +15,8 @@ from ..streaming.restore import coalesce_duplicates as coalesced
 from . import streams
 from .queries import EMAIL, FIRST, PHONE, TWO, query, seeded, table
 
-#: Rows of a file of a stream, at most, and files at least.
-FILE_ROWS, FILES = 50_000, 4
+#: Batches of a stream, and rows of a file of one, about; a batch of fewer rows still has a file for each core, of LEAST_ROWS at least.
+BATCHES, FILE_ROWS, LEAST_ROWS = 4, 50_000, 100
 
 
 class Stopped(Exception):
@@ -24,14 +24,24 @@ class Stopped(Exception):
 
 
 def as_files(rows: DataFrame, column: str, folder: str) -> DataFrame:
-    """A stream of files, each a range of a whole-number column, one file a batch, in ascending order."""
+    """A stream of BATCHES ranges of a column (or SQL expression) of numbers in ascending order, null first, of about as many rows each.
+
+    The number of batches doesn't grow with the table, as each has costs of its own; the number of files of a batch does,
+    so that all cores write and read it. The table is read once for the bounds, once for their counts and once for each batch.
+    """
     spark = rows.sparkSession
-    low, high, n = rows.agg(F.min(column), F.max(column), F.count("*")).first()
-    files = max(FILES, -(-n // FILE_ROWS))
-    for k in range(files):
-        place = F.floor((F.col(column) - (low or 0)) * files / ((high or 0) - (low or 0) + 1))
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    bounds = rows.agg(F.percentile_approx(F.expr(column), [k / BATCHES for k in range(1, BATCHES)])).first()[0] or []
+    place = sum((F.when(F.expr(column) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+    counts = {r["place"]: r["count"] for r in rows.groupBy(place.alias("place")).count().collect()} or {0: 0}
+    most = max(counts.values())
+    files = max(1, -(-most // FILE_ROWS), min(spark.sparkContext.defaultParallelism, most // LEAST_ROWS))
+    written = 0
+    for k in sorted(counts):
+        rows.where(place == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
+        written += files
+        for _ in range(written - len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a partition without rows has no file, but a batch is a number of files
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
 
 
 def stopped_once(writer: Callable[[Callable[[int, str], None] | None], DataStreamWriter], batch: int, name: str) -> None:
@@ -84,11 +94,14 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timed_events(spark: SparkSession, sf_dir: str, folder: str, far_days: int) -> DataFrame:
-    """A stream of events in files by id, and of one later row of no user, by which all other times have passed."""
+    """A stream of events in order of their times, and of one later row of no user, by which all other times have passed.
+
+    Events arrive by time and not by id, so that none is late, whatever ids a table gives its events.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     end = e.agg((F.max("event_id") + 1).alias("event_id"), (F.max("ts") + F.make_interval(days=F.lit(far_days))).alias("ts"))
     end = end.where("event_id is not null").select("event_id", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), "ts")
-    return as_files(e.unionByName(end), "event_id", folder)
+    return as_files(e.unionByName(end), "unix_micros(ts)", folder)
 
 
 def _run(stream: DataFrame, folder: str) -> DataFrame:

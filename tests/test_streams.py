@@ -93,3 +93,26 @@ def test_sessions_expire_and_keep_their_metadata(spark, tmp_path):
     rows = [("a", START + timedelta(hours=h), n) for h, n in ((0, 5), (1, 6), (23, 7), (24, 8), (30, 9), (60, 1))]
     got = _run(event_time.sessions(_timed(spark, tmp_path, rows), ["key"], "ts", 86400, 3600, "n").withColumn("x", F.lit(1)), tmp_path)
     assert sorted((str(r.created_at), r.requests, r.metadata) for r in got.collect()) == [(str(START), 3, "5"), (str(START + timedelta(hours=24)), 2, "8"), (str(START + timedelta(hours=60)), 1, "1")]
+
+
+def test_batches_are_few_and_no_range_is_torn(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 990 THEN id ELSE 100000 * id END AS n", "id").unionByName(spark.sql("SELECT cast(null AS bigint) AS n, -1L AS id"))
+    stream, seen = stream_queries.as_files(rows, "n", str(tmp_path)), []
+    stream.writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r.id for r in batch.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [i for batch in seen for i in batch] == list(range(-1, 1000)) and len(seen) == stream_queries.BATCHES
+    assert max(map(len, seen)) < 300  # balanced, whatever the values
+
+
+def test_no_event_is_late_whose_id_says_another_order(spark, tmp_path):
+    events = spark.range(2000).selectExpr("id AS event_id", "id % 7 AS user_id", "'a' AS event_type", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, (2000 - id) * 600) AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = stream_queries._timed_events(spark, str(tmp_path), str(tmp_path), 3).drop("event_id")
+    out = stream_queries._run(event_time.sessions(got, ["user_id"], "ts", 86400, 600), str(tmp_path)).where("user_id is not null")
+    assert out.agg(F.sum("requests")).first()[0] == 2000
+
+
+def test_keys_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_time, "BUCKETS", 1)
+    rows = [(k, START + timedelta(seconds=100 * i), i) for i in range(60) for k in ("a", "b", None)]
+    got = _run(restore.coalesce_duplicates(_timed(spark, tmp_path, rows), ["key"], late=1200).withColumn("x", F.lit(1)), tmp_path)
+    assert sorted((r.key, r.n) for r in got.collect()) == sorted((k, n) for k in "ab" for n in range(0, 60, 6))
