@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Keys share the state of a bucket, as a call for each key costs more than its rows do; a bucket's keys are decided one by one.
+BUCKETS = 1024
 #: A row that waits: its time in microseconds and its other columns as JSON.
 Row = tuple[int, str]
 #: decide(memory, rows whose time has come, watermark) -> (output rows, memory, time to look again or None to forget the key)
@@ -20,37 +22,56 @@ def _order(row: Row) -> tuple:
     return row[0], tuple((v is not None, v) for v in json.loads(row[1]).values())
 
 
+def _sorted(rows: list[Row]) -> list[Row]:
+    return sorted(rows, key=_order if len({at for at, _ in rows}) < len(rows) else lambda row: row[0])
+
+
+def bucket(*keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket_")
+
+
 def in_order(requests: DataFrame, keys: list[str], time: str, seconds_late: int, decide: Decide, out: str) -> DataFrame:
     """(keys, out): what `decide` says of each key's rows, which wait until the watermark has passed them.
 
-    Rows that come more than seconds_late behind the latest time seen are dropped. State is a key's waiting rows and
-    its memory; a key that is forgotten has none.
+    Rows that come more than seconds_late behind the latest time seen are dropped. State is the keys' waiting rows and
+    their memory, by bucket of keys; a key that is forgotten has none.
     """
     rest = [c for c in requests.columns if c not in {*keys, time}]
-    packed = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
-    rows = requests.withWatermark(time, f"{seconds_late} seconds").select(*keys, time, F.unix_micros(time).alias("at_"), packed.alias("row_"))
-    names = keys + [c.strip().split()[0] for c in out.split(",")]
+    whole = {"ignoreNullFields": "false"}
+    packed = F.to_json(F.struct(*rest), whole) if rest else F.lit("{}")
+    rows = requests.withWatermark(time, f"{seconds_late} seconds").select(bucket(*keys), F.to_json(F.struct(*keys), whole).alias("key_"), time, F.unix_micros(time).alias("at_"), packed.alias("row_"))
+    names = ["key_"] + [c.strip().split()[0] for c in out.split(",")]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting = json.loads(state.get[0]) if state.exists else [{}, []]
-        waiting = [tuple(r) for r in waiting]
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
         if not state.hasTimedOut:
-            waiting += [r for f in frames for r in zip(f["at_"].tolist(), f["row_"])]
+            for f in frames:
+                for key, at, row in zip(f["key_"], f["at_"].tolist(), f["row_"]):
+                    held.setdefault(key, [{}, []])[1].append((at, row))
         passed = max(0, state.getCurrentWatermarkMs()) * 1000
-        ready = sorted((r for r in waiting if r[0] <= passed), key=_order)
-        waiting = [r for r in waiting if r[0] > passed]
-        found, memory, again = decide(memory, ready, passed)
-        wake = min([t for t, _ in waiting] + ([again] if again is not None and again > passed else []), default=None)
-        if wake is None:
-            state.remove()
+        rows, wakes = [], []
+        for key, (memory, waiting) in list(held.items()):
+            ready = _sorted([(at, row) for at, row in waiting if at <= passed])
+            waiting = [(at, row) for at, row in waiting if at > passed]
+            found, memory, again = decide(memory, ready, passed)
+            rows += [(key, *r) for r in found]
+            wake = min([at for at, _ in waiting] + ([again] if again is not None and again > passed else []), default=None)
+            if wake is None:
+                del held[key]
+            else:
+                held[key] = [memory, waiting]
+                wakes.append(wake)
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(min(wakes) // 1000 + 1)
         else:
-            state.update((json.dumps([memory, waiting]),))
-            state.setTimeoutTimestamp(wake // 1000 + 1)
-        yield pd.DataFrame([(*key, *r) for r in found], columns=names)
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    types = ", ".join(f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in keys)
-    got = rows.groupBy(*keys).applyInPandasWithState(step, f"{types}, {out}", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
-    return got
+    got = rows.groupBy("bucket_").applyInPandasWithState(step, f"key_ string, {out}", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    # a projection, as it has to follow the operator's columnar rows
+    return got.withColumn("key_", F.from_json("key_", requests.select(*keys).schema)).select("key_.*", *names[1:])
 
 
 def firsts(requests: DataFrame, keys: list[str], time: str, seconds: int, seconds_late: int) -> DataFrame:
@@ -67,7 +88,6 @@ def firsts(requests: DataFrame, keys: list[str], time: str, seconds: int, second
 
     rest = [c for c in requests.columns if c not in {*keys, time}]
     got = in_order(requests.where(F.col(time).isNotNull()), keys, time, seconds_late, decide, "at_ long, row_ string")
-    # made of the key's columns too, as a projection has to follow the operator's columnar rows
     got = got.withColumn(time, F.timestamp_micros("at_").cast(requests.schema[time].dataType))
     if rest:
         got = got.withColumn("row_", F.from_json("row_", requests.select(*rest).schema)).select(*keys, time, "row_.*")
