@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import catalog
 
+#: A character that texts hardly have.
+MARK = "\x00"
 PLACED = "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<start:int,end:int,value:string,type:string,confidence:double>>"
 
@@ -20,19 +24,29 @@ _FOLDED = [(chr(c), chr(c).casefold()) for c in range(0x110000) if not 0xD800 <=
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
-    """All matches of a Java pattern, with places in code points (end exclusive)."""
+    """All matches of a Java pattern, with places in code points (end exclusive).
+
+    The pattern runs over a text once: matches are put between marks, and the text is cut at the marks. Only a text that has
+    the mark itself is searched twice, for what lies between matches and for the matches.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(PLACED).alias("out"))
+    none = F.array().cast(PLACED)
+    cut = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    pairs = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.array(g, m))
+    pieces = F.when(F.contains(text, F.lit(MARK)), F.filter(F.flatten(pairs), lambda x: x.isNotNull())).otherwise(cut)
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("found"), none.alias("out"))
 
     def add(a: Column, x: Column) -> Column:
-        start = a["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(end.alias("pos"), F.concat(a["out"], F.array(span)).alias("out")))
+        end = a["pos"] + F.length(x)
+        span = F.struct(a["pos"].alias("start"), end.alias("end"), x.alias("value"))
+        return F.struct(end.alias("pos"), (~a["found"]).alias("found"), F.when(a["found"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    return F.coalesce(F.aggregate(pieces, zero, add, lambda a: a["out"]), none)
+
 
-    found = F.aggregate(pairs, zero, add, lambda a: a["out"])
-    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(PLACED))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, however often it is used, also in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def places(text: Column, value: Column) -> Column:
@@ -248,18 +262,24 @@ def parse_placeholder_spec(text: Column) -> Column:
         wrong = F.concat(t1, F.lit("_"), n1.cast("string"), F.lit("–"), t2, F.lit("_"), n2.cast("string"), F.when(t1 != t2, ": two types").otherwise(": downwards"))
         return F.struct(F.coalesce(found, F.array().cast("array<struct<at:int,t:string,n:int>>")).alias("found"), F.when(~good, wrong).alias("wrong"))
 
-    ranges = F.transform(matches(text, range_re), one_range)
-    singles = F.transform(
-        matches(cut_out(text, F.transform(matches(text, range_re), lambda m: F.struct(m["start"], m["end"], F.repeat(F.lit(" "), m["end"] - m["start"]).alias("token")))), token_re),
-        lambda m: F.struct(m["start"].alias("at"), F.upper(F.regexp_extract(m["value"], token_re, 1)).alias("t"), F.regexp_extract(m["value"], token_re, 2).cast("int").alias("n")),
-    )
-    listed = F.array_sort(F.concat(F.flatten(F.transform(ranges, lambda r: r["found"])), singles))
+    single = lambda m: F.struct(m["start"].alias("at"), F.upper(F.regexp_extract(m["value"], token_re, 1)).alias("t"), F.regexp_extract(m["value"], token_re, 2).cast("int").alias("n"))
+    blank = lambda m: F.struct(m["start"], m["end"], F.repeat(F.lit(" "), m["end"] - m["start"]).alias("token"))
     name = lambda x: F.concat(x["t"], F.lit("_"), x["n"].cast("string"))
-    good = F.filter(listed, lambda x: F.array_contains(known, x["t"]))
-    bad = F.transform(F.filter(listed, lambda x: ~F.array_contains(known, x["t"])), lambda x: F.concat(name(x), F.lit(": unknown type")))
-    tokens = F.array_distinct(F.transform(good, lambda x: F.concat(F.lit("["), name(x), F.lit("]"))))
-    errors = F.concat(F.filter(F.transform(ranges, lambda r: r["wrong"]), lambda w: w.isNotNull()), bad)
-    return F.struct(tokens.alias("tokens"), errors.alias("errors"))
+
+    def told(listed: Column, ranges: Column) -> Column:
+        good = F.filter(listed, lambda x: F.array_contains(known, x["t"]))
+        bad = F.transform(F.filter(listed, lambda x: ~F.array_contains(known, x["t"])), lambda x: F.concat(name(x), F.lit(": unknown type")))
+        tokens = F.array_distinct(F.transform(good, lambda x: F.concat(F.lit("["), name(x), F.lit("]"))))
+        errors = F.concat(F.filter(F.transform(ranges, lambda r: r["wrong"]), lambda w: w.isNotNull()), bad)
+        return F.struct(tokens.alias("tokens"), errors.alias("errors"))
+
+    def parsed(found: Column) -> Column:
+        masked = cut_out(text, F.transform(found, blank))
+        singles = once(masked, lambda rest: F.transform(matches(rest, token_re), single))
+        listed = lambda ranges: F.array_sort(F.concat(F.flatten(F.transform(ranges, lambda r: r["found"])), singles))
+        return once(F.transform(found, one_range), lambda ranges: once(listed(ranges), lambda x: told(x, ranges)))
+
+    return once(matches(text, range_re), parsed)
 
 
 # Words between a command and its list.
@@ -278,7 +298,6 @@ def parse_value_list(segment: Column) -> Column:
         return F.regexp_replace(item, r"^[:;—–-]+[ \t]*|[ \t]+$", "")
 
     def joined(group: Column) -> Column:
-        items = F.filter(F.transform(F.split(group, r"(?U),|\s+и\s+"), trimmed), lambda x: x != "")
         start = F.array().cast("array<string>")
 
         def add(a: Column, x: Column) -> Column:
@@ -286,10 +305,14 @@ def parse_value_list(segment: Column) -> Column:
             torn = (F.size(a) > 0) & x.rlike(r"^\d{1,3}$") & F.coalesce(last.rlike("^(?:\\d{1,3}(?:[ \\u00A0]\\d{3})*|\\d+)$"), F.lit(False))
             return F.when(torn, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(last, F.lit(","), x)))).otherwise(F.concat(a, F.array(x)))
 
-        return F.when(F.size(items) > 0, F.aggregate(items, start, add)).otherwise(start)
+        return F.aggregate(F.filter(F.transform(F.split(group, r"(?U),|\s+и\s+"), trimmed), lambda x: x != ""), start, add)
 
     merged = F.flatten(F.transform(F.split(plain, "[;\n]"), joined))
     fits = lambda x: F.length(x).between(2, 100) & (F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")) <= 8) & x.rlike("[A-Za-zА-Яа-яЁё0-9]")
-    good = F.filter(merged, fits)
-    first = F.filter(good, lambda x, k: F.array_position(F.transform(good, F.lower), F.lower(x)) == k + 1)
-    return F.struct(first.alias("values"), F.filter(merged, lambda x: ~fits(x)).alias("errors"))
+
+    def told(merged: Column) -> Column:
+        distinct = lambda good, low: F.filter(good, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+        first = once(F.filter(merged, fits), lambda good: once(F.transform(good, F.lower), lambda low: distinct(good, low)))
+        return F.struct(first.alias("values"), F.filter(merged, lambda x: ~fits(x)).alias("errors"))
+
+    return once(merged, told)
