@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -27,6 +28,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals a table of fewer splits than cores out by its keys, before costly work on each row; larger tables stay as they are."""
+    """Deals a table of fewer splits than cores out by its keys, before costly work on each row; larger tables stay as they are.
+
+    It is dealt by a hash of the keys, as a join on keys by which a table is dealt into a fixed number of partitions takes
+    that number for its other side, whose small partitions are then merged apart (Can't zip RDDs).
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores, F.xxhash64(*keys)) if df._jdf.rdd().getNumPartitions() < cores else df
