@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .event_time import firsts
+from .event_time import bucket, firsts
 
-OUTPUT = "stream_id string, channel string, seq long, text string, is_last boolean"
+OUTPUT = "key_ string, seq long, text string, is_last boolean"
 
 
 def safe_prefix(buffer: str) -> tuple[str, str]:
@@ -23,37 +24,45 @@ def safe_prefix(buffer: str) -> tuple[str, str]:
 def regroup(chunks: DataFrame, idle: int | None = 600_000) -> DataFrame:
     """Chunks (stream_id, channel, seq, text, is_last) with brackets whole: a tail with an open bracket waits for its end.
 
-    One buffer for each stream and channel. The end of a stream (is_last) or `idle` milliseconds without a chunk
-    (None: only its end) empty it. Restoring is a join with the vault afterwards, so that the state holds no values.
+    One buffer for each stream and channel; streams share the state of a bucket, as a call for each costs more than its
+    chunks do. The end of a stream (is_last) or `idle` milliseconds without a chunk (None: only its end) empty its buffer.
+    Restoring is a join with the vault afterwards, so that the state holds no values.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, kept = state.get if state.exists else (-1, "")
-        if state.hasTimedOut:
-            state.remove()
-            if kept:
-                yield pd.DataFrame([(*key, seq, kept, True)], columns=["stream_id", "channel", "seq", "text", "is_last"])
-            return
-        rows, over = [], False
-        for c in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            over = bool(c.is_last)
-            out, kept = (kept + (c.text or ""), "") if over else safe_prefix(kept + (c.text or ""))
-            seq = int(c.seq)
-            if out or over:
-                rows.append((*key, seq, out, over))
-        if over:
-            state.remove()
-        else:
-            state.update((seq, kept))
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+        now = 0 if idle is None else state.getCurrentProcessingTimeMs()
+        rows = []
+        if not state.hasTimedOut:
+            for c in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples(index=False):
+                _, kept, _ = held.pop(c.key_, (0, "", 0))
+                over = bool(c.is_last)
+                out, kept = (kept + c.text, "") if over else safe_prefix(kept + c.text)
+                if out or over:
+                    rows.append((c.key_, int(c.seq), out, over))
+                if not over:
+                    held[c.key_] = [int(c.seq), kept, now + (idle or 0)]
+        for key, (seq, kept, end) in list(held.items()):
+            if idle is not None and end <= now:
+                del held[key]
+                if kept:
+                    rows.append((key, seq, kept, True))
+        if held:
+            state.update((json.dumps(held),))
             if idle is not None:
-                state.setTimeoutDuration(idle)
-        yield pd.DataFrame(rows, columns=["stream_id", "channel", "seq", "text", "is_last"])
-
-    rows = chunks.select("stream_id", "channel", F.col("seq").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
-    grouped = rows.groupBy("stream_id", "channel")
-    out = grouped.applyInPandasWithState(step, OUTPUT, "seq long, kept string", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
+                state.setTimeoutDuration(max(1, min(end for *_, end in held.values()) - now))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=["key_", "seq", "text", "is_last"])
+
+    keys = ["stream_id", "channel"]
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key_")
+    rows = chunks.select(bucket(*keys), key, F.col("seq").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    out = rows.groupBy("bucket_").applyInPandasWithState(step, OUTPUT, "kept string", "append", timeout)
     # a projection, as a shuffle can't follow the operator's columnar rows directly
-    return out.select("stream_id", "channel", "seq", F.concat("text", F.lit("")).alias("text"), "is_last")
+    return out.withColumn("key_", F.from_json("key_", "stream_id string, channel string")).select("key_.*", "seq", "text", "is_last")
 
 
 def restore_stream(chunks: DataFrame, vault: DataFrame, channels: tuple[str, ...] | None = None, idle: int | None = 600_000) -> DataFrame:

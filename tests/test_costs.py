@@ -4,10 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from pseudolake.functions import catalog as cat
 from pseudolake.functions import text as tx
 from pseudolake.operators import detect
 from pseudolake.sources.shared import spread
+from pseudolake.streaming import event_time, restore
 
 
 def _regexes(spark, column, name="text"):
@@ -37,3 +37,12 @@ def test_dealing_out_by_a_key_leaves_joins_their_own_shuffle(spark):
     docs = spread(spark.range(100).coalesce(1), "id")
     plan = docs._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(xxhash64" in plan and detect.detect(docs.selectExpr("id AS doc_id", "'ООО «Фирма» и Фирма' AS text")).count() == 200
+
+
+def test_streams_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_time, "BUCKETS", 1)
+    rows = [(f"d{k}", "content", seq, text, seq == 2) for k in range(5) for seq, text in enumerate((f"{k} [PER", "SON_1] and [", "x"))]
+    chunks = spark.createDataFrame(rows, "stream_id string, channel string, seq long, text string, is_last boolean")
+    vault = spark.createDataFrame([(f"d{k}", "[PERSON_1]", f"P{k}") for k in range(4)], "stream_id string, token string, original_value string")
+    got = {r.stream_id: r.text for r in restore.collected(restore.restore_all(chunks, vault, str(tmp_path))).collect()}
+    assert got == {f"d{k}": f"{k} {f'P{k}' if k < 4 else '[PERSON_1]'} and [x" for k in range(5)}
