@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from .detect import each_or_none
 
 #: score(texts, descriptions) -> a row of scores for each text
 Scorer = Callable[[list[str], list[str]], np.ndarray]
-#: Character n-grams are this long and hashed to so many buckets.
-GRAM, BUCKETS = 3, 1 << 15
+#: Character n-grams are this long, and their weights hashed to so many buckets.
+GRAM, BUCKETS = 3, 1 << 18
 
 
 def label_scores(texts: DataFrame, labels: dict[str, str], load: Callable[[], Scorer]) -> DataFrame:
@@ -38,41 +39,59 @@ def label_scores(texts: DataFrame, labels: dict[str, str], load: Callable[[], Sc
     return texts.where("text is not null").select("id", "text").mapInPandas(run, f"id {kind}, label string, score double, failed boolean")
 
 
+def _grams(text: str) -> list[str]:
+    text = text.lower()
+    return [text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))]
+
+
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 def ngram_weights(texts: DataFrame) -> np.ndarray:
-    """The inverse document frequency of each bucket of character n-grams over all texts; BUCKETS rows at most reach the driver."""
-    folded = F.lower("text")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - GRAM + 1, F.lit(1))), lambda i: F.crc32(F.substring(folded, i, F.lit(GRAM)).cast("binary")) % BUCKETS)
-    seen = texts.where("text is not null").select(F.explode(F.array_distinct(grams)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toPandas()
-    n = texts.where("text is not null").count()
-    counts = np.zeros(BUCKETS)
+    """The inverse document frequency of each bucket of character n-grams over all texts; BUCKETS rows at most reach the driver.
+
+    What no text has weighs nothing: its frequency would only tell how many texts there are, so that scores sank as texts grew in number.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            seen = Counter(b for t in f["text"] for b in {_bucket(g) for g in set(_grams(t))})
+            yield pd.DataFrame({"b": list(seen), "n": list(seen.values())}, dtype="int64")
+
+    known = texts.where("text is not null").select("text")
+    seen = known.mapInPandas(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    n, counts = known.count(), np.zeros(BUCKETS)
     counts[seen["b"].astype(int)] = seen["n"]
-    return np.log((n + 1) / (counts + 1)).astype(np.float32)
+    return np.where(counts > 0, np.log((n + 1) / (counts + 1)), 0).astype(np.float32)
 
 
 def ngram_scorer(weights: np.ndarray) -> Callable[[], Scorer]:
-    """A scorer by the cosine of weighted n-grams, of the line of a text that is nearest to a description."""
-
-    def vector(line: str) -> dict[int, float]:
-        line = line.lower()
-        counts: dict[int, float] = {}
-        for i in range(max(1, len(line) - GRAM + 1)):
-            b = zlib.crc32(line[i : i + GRAM].encode("utf-8", "surrogatepass")) % BUCKETS
-            counts[b] = counts.get(b, 0.0) + float(weights[b])
+    """A scorer by the cosine of weighted n-grams, of the line of a text that is nearest to a description.
+
+    Buckets give weights only: lines meet descriptions in the n-grams themselves, so that no collision counts as a likeness.
+    """
+
+    def vector(line: str) -> dict[str, float]:
+        counts = {g: n * float(weights[_bucket(g)]) for g, n in Counter(_grams(line)).items()}
         norm = sum(v * v for v in counts.values()) ** 0.5
-        return {b: v / norm for b, v in counts.items()} if norm else {}
+        return {g: v / norm for g, v in counts.items()} if norm else {}
 
     def load() -> Scorer:
-        cache: dict[str, dict[int, float]] = {}
+        cache: dict[str, dict[str, float]] = {}
 
         def score(texts: list[str], descriptions: list[str]) -> np.ndarray:
             for d in descriptions:
                 cache.setdefault(d, vector(d))
+            wanted = set().union(*(cache[d] for d in descriptions))
             out = np.zeros((len(texts), len(descriptions)))
             for i, t in enumerate(texts):
                 for line in filter(str.strip, t.split("\n")):
+                    if wanted.isdisjoint(_grams(line)):  # all its scores are zero
+                        continue
                     v = vector(line)
                     for j, d in enumerate(descriptions):
-                        out[i, j] = max(out[i, j], sum(x * v.get(b, 0.0) for b, x in cache[d].items()))
+                        out[i, j] = max(out[i, j], sum(x * v.get(g, 0.0) for g, x in cache[d].items()))
             return out
 
         return score

@@ -23,9 +23,10 @@ def command_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
     k = (F.col("conv_id") + F.col("turn")) % 4
     said = F.coalesce(*[F.when(k == i, F.lit("\n" + s)) for i, s in enumerate(SAID)], F.lit(""))
-    texts = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", said).alias("text"))
+    row = F.struct("conv_id", "turn", F.monotonically_increasing_id().alias("row"))  # ids made of conv_id and turn clash from turn 100 on
+    texts = c.select(row.alias("id"), F.concat("text", said).alias("text"))
     scores = scorer.label_scores(texts, COMMANDS, scorer.ngram_scorer(scorer.ngram_weights(texts)))
-    return vault.classify_by_labels(scores.where("not failed"), FLOOR).select("id", "label")
+    return vault.classify_by_labels(scores.where("not failed"), FLOOR).select((F.col("id.conv_id") * 100 + F.col("id.turn")).alias("id"), "label")
 
 
 # What invented names and the sentences around them are made of.

@@ -91,3 +91,23 @@ def test_the_cache_forgets_the_oldest_and_no_failure_is_kept(spark):
     out, second, misses = cache.cached_spans(more, first, load, limit=2)
     assert sorted(r.text for r in misses.collect()) == ["bad", "x new"] and sorted(r.seq for r in second.collect()) == [3, 4]
     assert {r.doc_id: len(r.spans) for r in out.collect()} == {5: 1, 4: 1, 3: 0, 9: 0, 7: 0, 8: 0, 10: 1}
+
+
+def test_ngrams_of_one_bucket_are_not_alike(monkeypatch):
+    monkeypatch.setattr(scorer, "BUCKETS", 1)
+    score = scorer.ngram_scorer(np.ones(1))()
+    assert score(["enzute zu er\nxy", "команды"], ["команда"]).tolist()[0] == [0.0] and score(["команды"], ["команда"])[0, 0] > 0.5
+
+
+def test_scores_do_not_sink_as_texts_grow_in_number(spark):
+    texts = spark.createDataFrame([(1, "вернись на облако"), (2, "nothing"), (3, "of this kind")], "id long, text string")
+    many = texts.crossJoin(spark.range(200).withColumnRenamed("id", "copy")).select("id", "text")
+    few, lots = (scorer.ngram_scorer(scorer.ngram_weights(t))()(["вернись на облако"], ["переключение на облако"])[0, 0] for t in (texts, many))
+    assert lots > 0.95 * few > 0.3
+
+
+def test_each_message_of_a_long_conversation_has_its_label(spark, tmp_path):
+    rows = [(c, t, "nothing here") for c in range(3) for t in (0, 1, 100, 101)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(((r.id, r.label) for r in model_queries.command_labels(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((c * 100 + t, [*model_queries.COMMANDS, None][(c + t) % 4]) for c, t, _ in rows), key=str)
