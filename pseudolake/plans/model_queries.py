@@ -64,7 +64,7 @@ def labelled(spark: SparkSession, sf_dir: str, held_out: bool) -> DataFrame:
     own = (k % 4 == 0) | (k % len(SENTENCES) == len(SENTENCES) - 1)
     named = table(spark, sf_dir, "orders").where(own if held_out else ~own).select(text.alias("text"), spans.alias("spans"))
     d = table(spark, sf_dir, "documents").where((F.col("doc_id") % 4 == 0) == held_out)
-    start = F.substring_index(F.regexp_replace("text", r"\s+", " "), ".", 3)
+    start = F.regexp_replace(F.substring_index("text", ".", 3), r"\s+", " ")
     return named.unionByName(d.select(start.alias("text"), F.array().cast("array<struct<start:int,end:int,type:string>>").alias("spans")))
 
 

@@ -111,3 +111,28 @@ def test_each_message_of_a_long_conversation_has_its_label(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(((r.id, r.label) for r in model_queries.command_labels(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(((c * 100 + t, [*model_queries.COMMANDS, None][(c + t) % 4]) for c, t, _ in rows), key=str)
+
+
+def test_lines_decoded_together_equal_lines_decoded_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    weights = recogniser.Weights(rng.normal(size=(recogniser.BUCKETS, 7)).astype(np.float32), rng.normal(size=(8, 7)).astype(np.float32))
+    said = "Иван Петров, ООО 12 x . Omsk a B-2 İ ё".split(" ")
+    texts = ["\n".join(" ".join(rng.choice(said, rng.integers(0, 9))) for _ in range(rng.integers(1, 6))) for _ in range(60)] + ["", "\n\n", "A"]
+    want = []
+    for text in texts:
+        found, base = [], 0
+        for raw in text.split("\n"):
+            line = recogniser.tokens(raw)
+            if any(w[0].isupper() for *_, w in line):
+                tags = recogniser.viterbi(weights.features[recogniser.features([w for *_, w in line])].astype(float).sum(1), weights.moves.astype(float))
+                found += [(base + a, base + b, kind, 0.8) for a, b, kind in recogniser.spans_of(line, tags)]
+            base += len(raw) + 1
+        want.append(found)
+    for known, block in ((1 << 18, 1 << 16), (3, 10)):
+        monkeypatch.setattr(recogniser, "KNOWN", known)
+        monkeypatch.setattr(recogniser, "BLOCK", block)
+        predict = recogniser.recogniser(weights)()
+        calls = []
+        monkeypatch.setattr(recogniser, "viterbi", lambda *a: calls.append(a))  # no line is decoded by itself
+        assert [x for k in range(0, len(texts), 20) for x in predict(texts[k : k + 20])] == want and any(want) and not calls
+        monkeypatch.undo()
