@@ -93,21 +93,28 @@ def dedup_spans(spans: DataFrame, keys: list[str], by: tuple[str, ...] = ("start
 
 def chunk_bounds(text: Column, size: int = 1500, overlap: int = 200) -> Column:
     """array of struct(start, end): chunks of at most `size`, cut after the last line end of their last fifth, `overlap` shared."""
-    overlap = min(overlap, size // 2)
-    total = F.length(text)
-    steps = F.sequence(F.lit(0), F.ceil(total / max(1, size * 4 // 5 - overlap)).cast("int") + 1)
+    overlap, head = min(overlap, size // 2), size * 4 // 5
     zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def add(a: Column, _: Column) -> Column:
-        start = a["start"]
-        end = F.least(start + size, total)
-        tail = F.substring(text, start + size * 4 // 5 + 1, F.greatest(F.lit(0), end - start - size * 4 // 5))
-        line = F.length(tail) - F.instr(F.reverse(tail), "\n") + 1
-        end = F.when((end < total) & F.contains(tail, F.lit("\n")), start + size * 4 // 5 + line).otherwise(end).cast("int")
-        piece = F.struct(start.alias("start"), end.alias("end"))
-        return F.when(a["done"], a).otherwise(F.struct((end - overlap).alias("start"), (end >= total).alias("done"), F.concat(a["out"], F.array(piece)).alias("out")))
+    def of(total: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(total / max(1, head - overlap)).cast("int") + 1)
 
-    return F.when(total <= size, F.array(F.struct(F.lit(0).alias("start"), total.alias("end")))).otherwise(F.aggregate(steps, zero, add, lambda a: a["out"]))
+        def end_of(start: Column, tail: Column) -> Column:
+            last = F.instr(F.reverse(tail), "\n")
+            end = F.least(start + size, total)
+            return F.when((end < total) & (last > 0), start + head + F.length(tail) - last + 1).otherwise(end).cast("int")
+
+        def cut(a: Column, end: Column) -> Column:
+            piece = F.struct(a["start"].alias("start"), end.alias("end"))
+            return F.struct((end - overlap).alias("start"), (end >= total).alias("done"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+        def add(a: Column, _: Column) -> Column:  # of each chunk, the last fifth is read once
+            tail = F.substring(text, a["start"] + head + 1, F.lit(size - head))
+            return F.when(a["done"], a).otherwise(tx.once(tail, lambda t: tx.once(end_of(a["start"], t), lambda end: cut(a, end))))
+
+        return F.when(total <= size, F.array(F.struct(F.lit(0).alias("start"), total.alias("end")))).otherwise(F.aggregate(steps, zero, add, lambda a: a["out"]))
+
+    return tx.once(F.length(text), of)
 
 
 Predictor = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
@@ -129,7 +136,8 @@ def gazetteer(words: dict[str, str], confidence: float = 0.9) -> Callable[[], Pr
 
     def load() -> Predictor:
         pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)") if words else None
-        return lambda texts: [[(m.start(), m.end(), words[m[0]], confidence) for m in pattern.finditer(t)] if pattern else [] for t in texts]
+        some = re.compile("|".join(map(re.escape, words)))  # without a look behind, texts with no value go fast
+        return lambda texts: [[(m.start(), m.end(), words[m[0]], confidence) for m in pattern.finditer(t)] if pattern and some.search(t) else [] for t in texts]
 
     return load
 

@@ -46,3 +46,8 @@ def test_streams_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch):
     vault = spark.createDataFrame([(f"d{k}", "[PERSON_1]", f"P{k}") for k in range(4)], "stream_id string, token string, original_value string")
     got = {r.stream_id: r.text for r in restore.collected(restore.restore_all(chunks, vault, str(tmp_path))).collect()}
     assert got == {f"d{k}": f"{k} {f'P{k}' if k < 4 else '[PERSON_1]'} and [x" for k in range(5)}
+
+
+def test_a_chunk_reads_its_tail_once(spark):
+    plan = spark.createDataFrame([("x",)], "text string").select(detect.chunk_bounds(F.col("text")).alias("out"))._jdf.queryExecution().analyzed().toString()
+    assert (plan.count("substring("), len(re.findall(r"length\(text", plan))) == (1, 1)
