@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pseudolake.functions import text as tx
 from pseudolake.operators import detect
+from pseudolake.plans import queries
 from pseudolake.sources.shared import spread
 from pseudolake.streaming import event_time, restore
 
@@ -51,3 +52,16 @@ def test_streams_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch):
 def test_a_chunk_reads_its_tail_once(spark):
     plan = spark.createDataFrame([("x",)], "text string").select(detect.chunk_bounds(F.col("text")).alias("out"))._jdf.queryExecution().analyzed().toString()
     assert (plan.count("substring("), len(re.findall(r"length\(text", plan))) == (1, 1)
+
+
+def test_texts_are_not_dealt_to_a_hundred_keys(spark, tmp_path):
+    spark.createDataFrame([(k, "a b") for k in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"c{k}") for k in range(300)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seeded = queries.seeded(spark, str(tmp_path))
+        plan = seeded._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and seeded.count() == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
