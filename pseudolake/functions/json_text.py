@@ -21,7 +21,9 @@ def is_json(text: Column) -> Column:
 def units(content: Column) -> Column:
     """The content of a string in units: as it is written, and what it says."""
     parts = F.regexp_extract_all(content, F.lit(UNIT), F.lit(0))
-    said = lambda u: F.when(F.startswith(u, F.lit("\\")), F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), u, F.lit('"}')), "v string")["v"], F.lit("\ufffd"))).otherwise(u)
+    read = lambda u: F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), u, F.lit('"}')), "v string")["v"], F.lit("\ufffd"))
+    short = lambda u: F.translate(F.substring(u, 2, 1), "bfnrt", "\b\f\n\r\t")
+    said = lambda u: F.when(~F.startswith(u, F.lit("\\")), u).when(u.rlike(r'^\\["\\/bfnrt]$'), short(u)).otherwise(read(u))
     return F.transform(parts, lambda u: F.struct(u.alias("raw"), said(u).alias("said")))
 
 

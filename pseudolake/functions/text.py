@@ -52,18 +52,34 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def places(text: Column, value: Column) -> Column:
     """array<int>: where a value (not empty) stands in a text, overlapping places too; linear in the text, like one search."""
     quoted = F.concat(F.lit(r"(?=\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    pieces = F.split(text, quoted, F.lit(-1))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
 
     def add(a: Column, piece: Column) -> Column:
         pos = a["pos"] + F.length(piece)
         return F.struct(pos.alias("pos"), F.concat(a["out"], F.array(pos)).alias("out"))
 
-    later = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), zero, add, lambda a: a["out"])
+    before = lambda pieces: F.slice(pieces, 1, F.size(pieces) - 1)
+    later = once(F.split(text, quoted, F.lit(-1)), lambda pieces: F.aggregate(before(pieces), zero, add, lambda a: a["out"]))
     first = F.when(F.startswith(text, value), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     return F.when(F.contains(text, value), F.concat(first, later)).otherwise(F.array().cast("array<int>"))
 
 
+#: Characters of a part of a text.
+PART = 1024
+
+
+def parts(text: Column) -> Column:
+    """array<string>: a text in parts of PART characters, so that what stands at a place is found without a walk from the beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def of_parts(parts: Column, start: Column, end: Column) -> Column:
+    """What stands at a place of a text in parts; null or '' outside."""
+    first = F.floor(start / PART).cast("int")
+    some = F.slice(parts, first + 1, F.greatest(F.floor((end - 1) / PART).cast("int") - first + 1, F.lit(0)))
+    return F.when(start >= 0, F.substring(F.array_join(some, ""), start - first * PART + 1, end - start))
+
+
 def cut_out(text: Column, spans: Column, put: str = "token") -> Column:
     """`text` with each span (sorted, apart) replaced by its field `put`; values are inserted literally."""
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
@@ -75,16 +91,33 @@ def cut_out(text: Column, spans: Column, put: str = "token") -> Column:
     return F.aggregate(spans, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text))))
 
 
+def _any_of(chars: str) -> str:
+    """A character class of a Java pattern; Latin characters are told before the many ranges behind them are gone through."""
+    ranges: list[list[int]] = []
+    for c in sorted(set(map(ord, chars))):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    low, high = ("".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges if (a < 0x250) == latin) for latin in (True, False))
+    return f"[{low}{f'[\\x{{250}}-\\x{{10ffff}}&&[{high}]]' if high else ''}]"
+
+
+def translated(c: Column, source: str, target: str) -> Column:
+    """translate(), which is slow, of texts with any of these characters only."""
+    return F.when(c.rlike(_any_of(source)), F.translate(c, source, target)).otherwise(c)
+
+
 def normalize_for_search(c: Column) -> Column:
     """Case folded, ё as е, look-alike Cyrillic letters as Latin ones; the length stays where foldable() holds."""
     source = "".join(a for a, _ in _FOLDED) + "ё" + CYRILLIC
     target = "".join(b for _, b in _FOLDED) + "e" + LATIN
-    return F.translate(F.lower(F.translate(c, source, target)), "ё" + CYRILLIC, "e" + LATIN)
+    return once(F.lower(translated(c, source, target)), lambda low: translated(low, "ё" + CYRILLIC, "e" + LATIN))
 
 
 def foldable(c: Column) -> Column:
     """Whether folding keeps the length of every character."""
-    return F.length(F.translate(c, EXPANDING, "")) == F.length(c)
+    return ~c.rlike(_any_of(EXPANDING))
 
 
 def is_word_char(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
 from ..functions import text as tx
+from ..sources.shared import kept
 
 
 def span(start: Column, end: Column, value: Column, kind: Column, confidence: Column) -> Column:
@@ -193,12 +194,39 @@ def quoted_cores(spans: DataFrame, texts: DataFrame) -> DataFrame:
 NUMBER_RUN = r"\d+(?:[.,]\d+|[ \u00A0\u2009]\d{1,3}(?!\d))*"
 
 
-def extend_numbers(text: Column, start: Column, end: Column) -> Column:
-    """struct(start, end): a partial number grown to the whole one (groups of up to three digits, decimals) around it."""
-    run = F.get(F.filter(tx.matches(text, NUMBER_RUN), lambda r: (r["start"] < end) & (r["end"] > start)), F.lit(0))
+def extend_numbers(text: Column, start: Column, end: Column, runs: Column | None = None) -> Column:
+    """struct(start, end): a partial number grown to the whole one (groups of up to three digits, decimals) around it.
+
+    runs: the matches of NUMBER_RUN, for a caller that asks for many places of a text.
+    """
+    runs = tx.matches(text, NUMBER_RUN) if runs is None else runs
+    run = F.get(F.filter(runs, lambda r: (r["start"] < end) & (r["end"] > start)), F.lit(0))
     return F.struct(F.coalesce(F.least(run["start"], start), start).cast("int").alias("start"), F.coalesce(F.greatest(run["end"], end), end).cast("int").alias("end"))
 
 
+def _occurrences(text: Column, hay: Column, key: Column, value: Column, numeric: Column) -> Column:
+    """array of struct(start, end, own): the places of a value in a text that may count; linear in the text, however many there are."""
+    acronym = tx.is_acronym(value)
+    starts, ends = tx.is_word_char(F.substring(value, 1, 1)), tx.is_word_char(F.right(value, F.lit(1)))
+
+    def found(hay_parts: Column, own_parts: Column, runs: Column) -> Column:
+        def one(at: Column) -> Column:
+            here = F.struct(at.cast("int").alias("start"), (at + F.length(value)).cast("int").alias("end"))
+            return tx.once(F.when(numeric, extend_numbers(text, at, at + F.length(value), runs)).otherwise(here), own)
+
+        def own(p: Column) -> Column:
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(numeric | acronym, tx.of_parts(own_parts, p["start"], p["end"])).alias("own"))
+
+        def good(p: Column) -> Column:
+            edge = lambda at: tx.is_word_char(tx.of_parts(hay_parts, at, at + 1))
+            return ~(starts & edge(p["start"] - 1) | ends & edge(p["end"])) & ~(acronym & p["own"].rlike(r"\p{Ll}"))
+
+        return F.filter(F.transform(tx.places(hay, key), one), good)
+
+    own_parts, runs = F.when(numeric | acronym, tx.parts(text)), F.when(numeric, tx.matches(text, NUMBER_RUN))
+    return tx.once(tx.parts(hay), lambda h: tx.once(own_parts, lambda o: tx.once(runs, lambda r: found(h, o, r))))
+
+
 def expand_occurrences(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Each value found once in a text is marked wherever it stands there: (doc_id, start, end, value, type, confidence).
 
@@ -207,7 +235,8 @@ def expand_occurrences(spans: DataFrame, texts: DataFrame) -> DataFrame:
     word character isn't found inside a longer word; longer values go first and what they cover is taken. Values of
     under two characters keep their own span only.
 
-    Values meet their own text by an equi join on doc_id; each value costs one search of that text.
+    Values meet their own text by an equi join on doc_id; each value costs one search of that text. Which places are taken
+    is told within islands of places that overlap, so that a text of many places costs no more than its share.
     """
     spans = spans.select("doc_id", "start", "end", "value", "type", "confidence")
     short = spans.where(F.length(F.trim("value")) < 2)
@@ -218,46 +247,48 @@ def expand_occurrences(spans: DataFrame, texts: DataFrame) -> DataFrame:
     docs = docs.withColumn("norm", F.when(F.col("folds"), tx.normalize_for_search(text)).otherwise(text))
 
     value = F.col("value")
-    v = unique.join(docs.select("doc_id", "folds"), "doc_id").withColumn("numeric", tx.is_numeric_value(value))
-    v = v.withColumn("key", F.when(F.col("folds") & tx.foldable(value) & ~F.col("numeric"), tx.normalize_for_search(value)).otherwise(value))
-    v = v.withColumn("raw", ~(F.col("folds") & tx.foldable(value)) | F.col("numeric"))
-    v = v.select("doc_id", "value", "type", "confidence", "numeric", "key", "raw", F.col("start").alias("seen"))
-    hits = v.join(docs, "doc_id").withColumn("hay", F.when(F.col("raw"), text).otherwise(F.col("norm")))
-    hits = hits.withColumn("at", F.explode(tx.places(F.col("hay"), F.col("key"))))
-    place = F.when(F.col("numeric"), extend_numbers(text, F.col("at"), F.col("at") + F.length("value"))).otherwise(F.struct(F.col("at").cast("int").alias("start"), (F.col("at") + F.length("value")).cast("int").alias("end")))
-    hits = hits.withColumn("p", place).withColumn("own", F.substring(text, F.col("p.start") + 1, F.col("p.end") - F.col("p.start")))
-    edge = lambda at: tx.is_word_char(F.when(at > 0, F.substring("hay", at, F.lit(1))))
-    inside = (tx.is_word_char(F.substring(value, 1, 1)) & edge(F.col("p.start"))) | (tx.is_word_char(F.right(value, F.lit(1))) & edge(F.col("p.end") + 1))
-    hits = hits.where(~inside & ~(tx.is_acronym(value) & F.col("own").rlike(r"\p{Ll}")))
-    ranked = hits.select("doc_id", (-F.length("value")).alias("shorter"), "seen", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.when(F.col("numeric"), F.col("own")).otherwise(value).alias("value"), "type", "confidence").distinct()
-
-    item = F.struct("shorter", "seen", "start", "end", "value", "type", "confidence")
-    lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("hits"))
-    taken = short.groupBy("doc_id").agg(F.collect_list(span(F.col("start"), F.col("end"), value, F.col("type"), F.col("confidence"))).alias("taken"))
-    both = lists.join(taken, "doc_id", "full")
+    v = unique.withColumn("numeric", tx.is_numeric_value(value)).withColumn("plain", tx.foldable(value)).withColumn("low", tx.normalize_for_search(value))
+    v = v.select("doc_id", "value", "type", "confidence", "numeric", "plain", "low", F.col("start").alias("seen")).join(docs, "doc_id")
+    folds = F.col("folds") & F.col("plain") & ~F.col("numeric")
+    v = v.withColumn("key", F.when(folds, F.col("low")).otherwise(value)).withColumn("hay", F.when(folds, F.col("norm")).otherwise(text))
+    hits = v.select("doc_id", "value", "type", "confidence", "numeric", "seen", F.inline(_occurrences(text, F.col("hay"), F.col("key"), value, F.col("numeric"))))
+    ranked = hits.select("doc_id", (-F.length("value")).alias("shorter"), "seen", "start", "end", F.when(F.col("numeric"), F.col("own")).otherwise(value).alias("value"), "type", "confidence").distinct()
+
+    placed = Window.partitionBy("doc_id").orderBy("start", "end")
+    both = ranked.unionByName(short.select("doc_id", F.lit(None).cast("int").alias("shorter"), F.lit(None).cast("int").alias("seen"), "start", "end", "value", "type", "confidence"))
+    both = both.withColumn("before", F.max("end").over(placed.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("island", F.sum(F.when(F.col("start") < F.col("before"), 0).otherwise(1)).over(placed.rowsBetween(Window.unboundedPreceding, 0)))
+    item, given = F.struct("shorter", "seen", "start", "end", "value", "type", "confidence"), F.col("shorter").isNull()
+    taken = F.collect_list(F.when(given, span(F.col("start"), F.col("end"), value, F.col("type"), F.col("confidence"))))
+    lists = both.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.when(~given, item))).alias("hits"), taken.alias("taken"))
 
     def add(kept: Column, h: Column) -> Column:
         clash = F.exists(kept, lambda s: (s["start"] < h["end"]) & (s["end"] > h["start"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(span(h["start"], h["end"], h["value"], h["type"], h["confidence"]))))
 
-    kept = F.when(F.col("hits").isNull(), F.col("taken")).otherwise(F.aggregate("hits", F.coalesce("taken", no_spans()), add))
-    return both.select("doc_id", F.inline(kept))
+    return lists.select("doc_id", F.inline(F.aggregate("hits", F.col("taken").cast(tx.SPAN), add)))
 
 
 def detect(docs: DataFrame, catalog: Iterable[cat.Pattern] = cat.CATALOG, model: DataFrame | None = None, expand: bool = True) -> DataFrame:
     """docs (doc_id, text) -> spans of patterns, of a model's spans if given, of quoted names, in all their places.
 
     With a model there is a column `failed`: a text on which the model failed has one row with failed = true and no span,
-    and no other, so that a failure is never taken for a text without personal data.
+    and no other, so that a failure is never taken for a text without personal data. Spans to expand are a narrow table
+    that is written once, as expansion uses it in many places: patterns run over a text once.
     """
     broken = None if model is None else model.where("failed").select("doc_id").distinct()
     sound = docs if broken is None else docs.join(broken, "doc_id", "left_anti")
-    exact = sound.select("doc_id", "text", resolve_overlaps(regex_spans(F.col("text"), catalog)).alias("spans"))
-    if model is not None:
+    exact = resolve_overlaps(regex_spans(F.col("text"), catalog))
+    if model is None:
+        spans = sound.select("doc_id", F.inline(exact))  # no column of its own, on which a filter would be inferred that computes it again
+    else:
+        exact = sound.select("doc_id", "text", exact.alias("spans"))
         found = model.where("not failed").groupBy("doc_id").agg(F.array_sort(F.collect_list(span(F.col("start"), F.col("end"), F.col("value"), F.col("type"), F.col("confidence")))).alias("found"))
         exact = exact.join(found, "doc_id", "left").withColumn("spans", merge_spans(F.col("spans"), F.col("found")))
-    spans = exact.select("doc_id", F.inline("spans"))
-    spans = expand_occurrences(quoted_cores(spans, sound), sound) if expand else spans
+        spans = exact.select("doc_id", F.inline("spans"))
+    if expand:
+        spans = kept(quoted_cores(kept(spans, "found"), sound), "cores")
+        spans = expand_occurrences(spans, sound)
     if broken is None:
         return spans
     return spans.withColumn("failed", F.lit(False)).unionByName(broken.withColumn("failed", F.lit(True)), allowMissingColumns=True)

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+#: Characters of a joined text in which spans and segments meet.
+BUCKET = 4096
+
+
 def segment_bounds(segments: DataFrame, key: str, order: str) -> DataFrame:
     """`segments` with seg_start and seg_end in the text joined by line ends (null texts count as empty)."""
-    size = F.length(F.coalesce("text", F.lit("")))
-    before = F.sum(size + 1).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sized = segments.withColumn("size_", F.length(F.coalesce("text", F.lit(""))))  # so that the window carries texts only where they are asked for
+    before = F.sum(F.col("size_") + 1).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(before, F.lit(0).cast("long"))
-    return segments.withColumn("seg_start", start).withColumn("seg_end", start + size)
+    return sized.withColumn("seg_start", start).withColumn("seg_end", F.col("seg_start") + F.col("size_")).drop("size_")
 
 
 def joined_text(segments: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,18 +29,28 @@ def joined_text(segments: DataFrame, key: str, order: str) -> DataFrame:
 def split_by_segments(spans: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:
     """Spans of joined texts in the places of their segments; a span over several is cut, at 0.8 of its confidence.
 
-    A range join within the key's hash partition. Blank parts go; a span that fits one segment is that segment's only.
+    Spans and segments meet by the stretches of BUCKET characters that both touch, once in the first of them, so that a
+    text of many segments costs no pairs of all spans and segments. Blank parts go; a span that fits one segment is that
+    segment's only.
     """
-    b = segment_bounds(segments, key, order).select(key, order, "seg_start", "seg_end", F.coalesce("text", F.lit("")).alias("seg_text"))
-    j = spans.join(b, key).where((F.col("start") < F.col("seg_end")) & (F.col("end") > F.col("seg_start")))
+
+    def dealt(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
+        at = lambda place: F.floor(place / BUCKET).cast("long")
+        df = df.withColumn(first, at(F.col(start)))
+        return df.withColumn("bucket", F.explode(F.sequence(first, F.greatest(F.col(first), at(F.col(end) - 1)))))
+
+    b = segment_bounds(segments.select(key, order, "text"), key, order).where("seg_end > seg_start").select(key, order, "seg_start", "seg_end")
+    j = dealt(spans, "start", "end", "first_").join(dealt(b, "seg_start", "seg_end", "seg_first"), [key, "bucket"])
+    j = j.where((F.col("start") < F.col("seg_end")) & (F.col("end") > F.col("seg_start")) & (F.col("bucket") == F.greatest("first_", "seg_first")))
     start, end = F.greatest("start", "seg_start"), F.least("end", "seg_end")
     whole = (F.col("start") >= F.col("seg_start")) & (F.col("end") <= F.col("seg_end"))
     local = (start - F.col("seg_start")).cast("int")
-    part = F.substring("seg_text", local + 1, (end - start).cast("int"))
-    out = j.select(
-        key, order, local.alias("start"), (end - F.col("seg_start")).cast("int").alias("end"),
-        F.when(whole, F.col("value")).otherwise(part).alias("value"), "type", (F.col("confidence") * F.when(whole, 1.0).otherwise(0.8)).alias("confidence"), whole.alias("whole"),
-    )
+    confidence = F.col("confidence") * F.when(whole, 1.0).otherwise(0.8)
+    out = j.select(key, order, local.alias("start"), (end - F.col("seg_start")).cast("int").alias("end"), "value", "type", confidence.alias("confidence"), whole.alias("whole"))
+    texts = segments.select(F.col(key).alias("k_"), F.col(order).alias("o_"), F.col("text").alias("seg_text"))
+    out = out.join(texts, (F.col(key) == F.col("k_")) & (F.col(order) == F.col("o_")) & ~F.col("whole"), "left").drop("k_", "o_")
+    part = F.substring("seg_text", F.col("start") + 1, F.col("end") - F.col("start"))
+    out = out.withColumn("value", F.when(F.col("whole"), F.col("value")).otherwise(part)).drop("seg_text")
     return out.where(F.col("whole") | (F.trim(F.regexp_replace("value", r"\s+", " ")) != "")).drop("whole")
 
 

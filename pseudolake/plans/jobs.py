@@ -46,6 +46,7 @@ def _segment_tokens(
     """(key, order, start, end, token) of parts of a text, new vault rows, spans."""
     known = empty_vault(parts) if known is None else known
     whole = segments.joined_text(parts, key, order).withColumnRenamed(key, "doc_id")
+    whole = kept(whole, "joined") if expand else whole  # read again for the places of what was found
     found = detect.detect(whole, catalog, None, expand).withColumnRenamed("doc_id", key)
     local = segments.split_by_segments(found, parts, key, order)
     keys = [key, order]

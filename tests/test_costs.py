@@ -1,11 +1,12 @@
 """What queries cost: nothing is computed again for each use or each key."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from pseudolake.functions import text as tx
-from pseudolake.operators import detect
+from pseudolake.operators import detect, segments
 from pseudolake.plans import queries
 from pseudolake.sources.shared import spread
 from pseudolake.streaming import event_time, restore
@@ -65,3 +66,66 @@ def test_texts_are_not_dealt_to_a_hundred_keys(spark, tmp_path):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and seeded.count() == 8
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_patterns_run_once_where_values_are_expanded(spark):
+    docs = spark.createDataFrame([(1, "a@corp.ru, b, a@corp.ru")], "doc_id long, text string")
+    found = detect.detect(docs)
+    assert "@[A-Za-z0-9.-]+" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.start, r.end) for r in found.collect()) == [(0, 9), (14, 23)]
+
+
+def test_a_long_text_is_not_walked_for_each_place(spark):
+    n = 3000  # each place costs a part of the text, and is compared with its island only
+    docs = spark.createDataFrame([(1, "ab@corp.ru АБВ абв 12; " * n)], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 0, 10, "ab@corp.ru", "EMAIL", 0.9), (1, 11, 14, "АБВ", "ORG", 0.9), (1, 19, 21, "12", "MONEY", 0.9)], "doc_id long, start int, end int, value string, type string, confidence double")
+    found = detect.expand_occurrences(spans, docs)
+    got = {(r.start, r.end, r.value) for r in found.collect()}
+    assert got == {(23 * k + a, 23 * k + b, v) for k in range(n) for a, b, v in ((0, 10, "ab@corp.ru"), (11, 14, "АБВ"), (19, 21, "12"))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "island" in plan
+
+
+def test_spans_meet_their_segments_by_stretches(spark, monkeypatch):
+    rng = random.Random(4)
+    parts = [(k, turn, rng.choice([None, "", "a", "abc \n d", "x" * 11])) for k in range(4) for turn in range(12)]
+    starts, want, spans = {}, set(), []
+    for k in range(4):
+        at = 0
+        for _, turn, text in (p for p in parts if p[0] == k):
+            starts[k, turn] = (at, text or "")
+            at += len(text or "") + 1
+        whole = "\n".join(text or "" for key, _, text in parts if key == k)
+        for _ in range(60):
+            a = rng.randrange(len(whole))
+            b = min(len(whole), a + rng.randrange(1, 30))
+            spans.append((k, a, b, whole[a:b], "T", 1.0))
+            for turn in range(12):
+                begin, text = starts[k, turn]
+                x, y = max(a, begin), min(b, begin + len(text))
+                one = begin <= a and b <= begin + len(text)
+                if x < y and (one or text[x - begin : y - begin].strip()):
+                    want.add((k, turn, x - begin, y - begin, text[x - begin : y - begin], 1.0 if one else 0.8))
+    segs = spark.createDataFrame(parts, "k long, turn long, text string")
+    df = spark.createDataFrame(spans, "k long, start int, end int, value string, type string, confidence double")
+    for size in (1, 4, 4096):
+        monkeypatch.setattr(segments, "BUCKET", size)
+        out = segments.split_by_segments(df, segs, "k", "turn")
+        assert {tuple(r) for r in out.select("k", "turn", "start", "end", "value", "confidence").collect()} == want
+    assert "bucket" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_stands_at_a_place_of_a_text_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tx, "PART", 3)
+    text = "aя😀b\nцd"
+    df = spark.createDataFrame([(text, a, b) for a in range(-1, 8) for b in range(a + 1, 9)], "t string, a int, b int")
+    got = df.select("t", "a", "b", tx.of_parts(tx.parts(F.col("t")), F.col("a"), F.col("b")).alias("x")).collect()
+    assert all((r.x or "") == (r.t[r.a : r.b] if r.a >= 0 else "") for r in got)
+
+
+def test_folding_tells_the_characters_it_changes(spark):
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), 0x1F600)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    plain = F.translate(F.lower(F.translate("c", "".join(a for a, _ in tx._FOLDED) + "ё" + tx.CYRILLIC, "".join(b for _, b in tx._FOLDED) + "e" + tx.LATIN)), "ё" + tx.CYRILLIC, "e" + tx.LATIN)
+    bad = df.where((tx.normalize_for_search(F.col("c")) != plain) | (tx.foldable(F.col("c")) != (F.length(F.translate("c", tx.EXPANDING, "")) == F.length("c"))))
+    assert bad.count() == 0
