@@ -105,3 +105,22 @@ def test_boilerplate_inside_lines_and_paragraphs_left_open():
     }
     for page, text in cases.items():
         assert html.parse(page)[0] == text, page
+
+
+def test_repeats_of_a_host_are_looked_up_in_articles(spark):
+    note = "write to us to have this letter each day of the week"
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    box = f'<div class="tnt-7"><p>{note}</p></div>'
+    own = [page(f"<article><h1>{say(k + 50)}</h1><p>{say(k)}</p>{box}</article>", foot=note) for k in range(4)]
+    assert texts(spark, own) == [f"{say(k + 50)}\n\n{say(k)}" for k in range(4)]
+    # the same words in a place of the article's own, in a place that has other text too, or of too few pages stay
+    for mark, other in (("<p>", []), ('<p class="a">', [page('<article><p class="a">' + say(9) + "</article>", foot=note)])):
+        plain = [page(f"<article>{'<p>' if not other else '<div>'}{say(k)}</{'p' if not other else 'div'}>{mark}{note}</article>", foot=note) for k in range(4)]
+        assert texts(spark, plain + other)[:4] == [f"{say(k)}\n\n{note}" for k in range(4)]
+    assert texts(spark, own[:2]) == [f"{say(k + 50)}\n\n{say(k)}\n\n{note}" for k in range(2)]
+    # titles that a list of all pages tells stay, and so does a page of nothing else
+    titles = "".join(f"<li>{say(k + 50)}</li>" for k in range(4))
+    listed = [page(f"<article><h1>{say(k + 50)}</h1><p>{say(k)}</p></article><aside>{titles}</aside>") for k in range(4)]
+    assert texts(spark, listed) == [f"{say(k + 50)}\n\n{say(k)}" for k in range(4)]
+    bare = [page(f"<article><h1>{k}</h1>{box}</article>", foot=note) for k in range(4)]
+    assert texts(spark, bare) == [f"{k}\n\n{note}" for k in range(4)]
