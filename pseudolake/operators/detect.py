@@ -121,14 +121,25 @@ def chunk_bounds(text: Column, size: int = 1500, overlap: int = 200) -> Column:
 Predictor = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
 
 
+#: What these tell of is the machine (memory, modules, files), not a text.
+MACHINE = (MemoryError, ImportError, OSError)
+
+
 def each_or_none(predict: Callable[[list[str]], list], texts: list[str]) -> list:
-    """What a model says of each text: one call for all; where that fails, one for each, and None for those that fail."""
+    """What a model says of each text: one call for all; where that fails, one for each, and None for those that fail.
+
+    A call that doesn't answer once a text has failed too: its answers can't be told apart. A failure that tells of the
+    machine is raised, so that Spark runs the task again or the job ends. A model is asked again after a failure, which
+    has to leave it as it was.
+    """
     try:
-        return list(predict(texts))
-    except Exception:  # noqa: BLE001  told by the caller's column
-        if len(texts) < 2:
-            return [None] * len(texts)
-    return [each_or_none(predict, [t])[0] for t in texts]
+        said = list(predict(texts))
+        if len(said) == len(texts):
+            return said
+    except Exception as error:  # noqa: BLE001  told by the caller's column
+        if len(texts) < 2 and isinstance(error, MACHINE):
+            raise
+    return [None] * len(texts) if len(texts) < 2 else [each_or_none(predict, [t])[0] for t in texts]
 
 
 def gazetteer(words: dict[str, str], confidence: float = 0.9) -> Callable[[], Predictor]:
@@ -147,8 +158,8 @@ def model_spans(docs: DataFrame, load: Callable[[], Predictor], threshold: float
     """docs (doc_id, text) -> (doc_id, start, end, value, type, confidence, failed): a predictor over chunks, places in the whole text.
 
     load() runs once a task, and its predictor sees all chunks of an Arrow batch in one call; if that fails, one by one. A
-    chunk on which the predictor fails gives a row with failed = true and no span, so
-    that a failure is never taken for a text without personal data.
+    chunk on which the predictor fails, or that has a span whose score is no number, gives a row with failed = true and
+    no span, so that a failure is never taken for a text without personal data.
     """
     pieces = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(chunk_bounds(F.col("text"), size, overlap)).alias("c"))
     pieces = pieces.select("doc_id", F.col("c.start").alias("base"), F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("piece"))
@@ -159,7 +170,7 @@ def model_spans(docs: DataFrame, load: Callable[[], Predictor], threshold: float
         for f in frames:
             rows = []
             for doc_id, base, piece, found in zip(f["doc_id"], f["base"], f["piece"], each_or_none(predict, f["piece"].tolist())):
-                if found is None:
+                if found is None or any(p != p for *_, p in found):
                     rows.append((doc_id, None, None, None, None, None, True))
                     continue
                 rows += [(doc_id, base + a, base + b, piece[a:b], kind, float(p), False) for a, b, kind, p in found if p >= threshold]
@@ -170,11 +181,11 @@ def model_spans(docs: DataFrame, load: Callable[[], Predictor], threshold: float
 
 
 def cut_at_newline(spans: DataFrame) -> DataFrame:
-    """Second-pass spans end at their first line end; blank ones go; the first of each place stays."""
+    """Second-pass spans end at their first line end; blank ones go; the first of each place stays. Rows without a value, which tell of failures, stay."""
     line = F.locate("\n", F.col("value"))
     value = F.when(line > 0, F.substring("value", F.lit(1), line - 1)).otherwise(F.col("value"))
     short = spans.withColumn("value", value).withColumn("end", (F.col("start") + F.length("value")).cast("int"))
-    return dedup_spans(short.where(F.trim("value") != ""), ["doc_id"], ("start", "end"))
+    return dedup_spans(short.where(F.col("value").isNull() | (F.trim("value") != "")), ["doc_id"], ("start", "end"))
 
 
 def quoted_core(value: Column) -> Column:

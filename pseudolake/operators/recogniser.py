@@ -190,19 +190,20 @@ class _Scores:
         self.learn([""])
 
     def learn(self, words: list[str]):
-        ids = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in ids]
+        """Words get their numbers last: where this fails, none has the number of another word's scores."""
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
         if not new:
             return
-        ids.update(zip(new, range(len(ids), len(ids) + len(new))))
         shapes = [self._shape_of(w) for w in new]
         score = lambda kind, said: self.weights[[zlib.crc32(x.encode("utf-8", "surrogatepass"), zlib.crc32(kind.encode())) % BUCKETS for x in said]]
         low = [w.lower() for w in new]
         own = score("w=", low) + score("s=", shapes) + score("p2=", [x[:2] for x in low]) + score("e2=", [x[-2:] for x in low]) + score("e3=", [x[-3:] for x in low])
-        self.own = np.concatenate([self.own, own])
-        self.near = np.concatenate([self.near, np.stack([score(f"{d}w=", low) + score(f"{d}s=", shapes) for d in AROUND])], 1)
-        self.shape = np.r_[self.shape, [self.shapes.setdefault(x, len(self.shapes)) for x in shapes]]
-        self.capital = np.r_[self.capital, [w[:1].isupper() for w in new]]
+        near = np.concatenate([self.near, np.stack([score(f"{d}w=", low) + score(f"{d}s=", shapes) for d in AROUND])], 1)
+        shape = np.r_[self.shape, [self.shapes.setdefault(x, len(self.shapes)) for x in shapes]]
+        capital = np.r_[self.capital, [w[:1].isupper() for w in new]]
+        before, own = len(self.own), np.concatenate([self.own, own])
+        self.own, self.near, self.shape, self.capital = own, near, shape, capital
+        self.ids.update(zip(new, range(before, len(own))))
 
     def _shape_of(self, word: str) -> str:
         signs = "".join(map(self.signs.__getitem__, word))
@@ -212,7 +213,7 @@ class _Scores:
 
     def of(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of the words of lines, each line with two empty rows before it, then where lines begin, and whether one has a capital."""
-        if len(self.ids) > KNOWN:
+        if not 0 < len(self.ids) <= KNOWN:  # none after a failure to forget
             self.forget()
         self.learn([w for line in lines for w in line])
         n = np.array([len(line) for line in lines])
@@ -274,6 +275,8 @@ def recogniser(weights: Weights, confidence: float = 0.8) -> Callable[[], Predic
 
 
 def second_pass_spans(docs: DataFrame, load: Callable[[], Predictor], **how) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, start, end, value, type, confidence): a second model's spans, cut at line ends, each place once."""
-    found = model_spans(docs, load, **how)
-    return cut_at_newline(found.where("not failed").drop("failed"))
+    """docs (doc_id, text) -> (doc_id, start, end, value, type, confidence, failed): a second model's spans, cut at line ends, each place once.
+
+    A text of which the model failed on a chunk has one row with failed = true and no span, besides the spans of its other chunks.
+    """
+    return cut_at_newline(model_spans(docs, load, **how))

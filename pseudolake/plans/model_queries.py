@@ -70,7 +70,7 @@ def labelled(spark: SparkSession, sf_dir: str, held_out: bool) -> DataFrame:
 
 @query()
 def second_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the second recogniser in all documents, each of which ends in a held-out sentence on a line of its own."""
+    """Spans of the second recogniser in all documents, each of which ends in a held-out sentence on a line of its own; failed = true tells of a document that it failed on."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     text, _ = invented(-F.col("doc_id") - 1, F.lit(len(SENTENCES) - 1))
     docs = d.select("doc_id", F.concat_ws("\n", "text", text).alias("text"))

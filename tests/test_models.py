@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from pseudolake.operators import cache, detect, recogniser, scorer, vault
 from pseudolake.plans import model_queries
@@ -136,3 +137,72 @@ def test_lines_decoded_together_equal_lines_decoded_alone(monkeypatch):
         monkeypatch.setattr(recogniser, "viterbi", lambda *a: calls.append(a))  # no line is decoded by itself
         assert [x for k in range(0, len(texts), 20) for x in predict(texts[k : k + 20])] == want and any(want) and not calls
         monkeypatch.undo()
+
+
+def failing_on(word, kind="PERSON"):
+    def load():
+        def predict(texts):
+            if any(word in t for t in texts):
+                raise ValueError
+            return [[(t.index("Иван"), t.index("Иван") + 4, kind, 0.9)] if "Иван" in t else [] for t in texts]
+
+        return predict
+
+    return load
+
+
+def test_a_failure_of_the_second_pass_is_no_text_without_names(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "Иван\nx"), (2, "boom"), (3, "no name"), (4, None), (5, "Иван " + "z" * 200 + " boom")], "doc_id long, text string")
+    found = recogniser.second_pass_spans(docs, failing_on("boom"), size=100, overlap=20).collect()
+    assert {(r.doc_id, r.start, r.value, r.failed) for r in found} == {(1, 0, "Иван", False), (2, None, None, True), (5, 0, "Иван", False), (5, None, None, True)} and len(found) == 4
+    spark.range(40).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(recogniser, "recogniser", lambda weights: failing_on("boom"))
+    got = model_queries.second_recogniser(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.failed} == {2, 5} and all((r.value is None) == r.failed for r in got)
+
+
+def test_answers_that_are_too_few_or_no_numbers_are_failures(spark):
+    assert detect.each_or_none(lambda texts: [t.upper() for t in texts if t != "mute"], ["a", "mute", "b"]) == ["A", None, "B"]
+    docs = spark.createDataFrame([(1, "Иван"), (2, "mute"), (3, "unsure")], "doc_id long, text string")
+
+    def load():
+        return lambda texts: [[(0, 4, "PERSON", float("nan") if t == "unsure" else 0.9)] for t in texts if t != "mute"]
+
+    assert {(r.doc_id, r.value, r.failed) for r in recogniser.second_pass_spans(docs, load).collect()} == {(1, "Иван", False), (2, None, True), (3, None, True)}
+
+
+def test_what_fails_by_the_machine_is_no_failure_of_a_text():
+    def model(texts):
+        if len(texts) > 1:
+            raise MemoryError  # too much at once
+        if texts == ["far"]:
+            raise FileNotFoundError
+        return texts
+
+    assert detect.each_or_none(model, ["a", "b"]) == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        detect.each_or_none(model, ["a", "far"])
+
+
+def test_a_recogniser_that_failed_is_as_it_was(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = recogniser.Weights(rng.normal(size=(recogniser.BUCKETS, 7)).astype(np.float32), rng.normal(size=(8, 7)).astype(np.float32))
+    texts = ["Иван Петров , Omsk", "Анна x B7b7 y Олег", "Договор Z подписал Олег Анна"]
+    want, shape, own = recogniser.recogniser(weights)()(texts), recogniser._shape, recogniser._Scores.learn
+
+    def failing(word):
+        if word == "B7b7":
+            raise ValueError
+        return shape(word)
+
+    predict = recogniser.recogniser(weights)()
+    monkeypatch.setattr(recogniser, "_shape", failing)
+    assert detect.each_or_none(predict, texts) == [want[0], None, want[2]] and want[0] and want[2]
+    monkeypatch.setattr(recogniser, "_shape", shape)
+    assert predict(texts) == want
+    monkeypatch.setattr(recogniser, "KNOWN", 3)
+    monkeypatch.setattr(recogniser._Scores, "learn", lambda self, words: own(self, words) if words != [""] else 1 / 0)  # fails as it forgets
+    assert detect.each_or_none(predict, texts) == [None] * 3
+    monkeypatch.setattr(recogniser._Scores, "learn", own)
+    assert predict(texts) == want
